@@ -22,21 +22,29 @@ from arborix.llm.text import SPACE
 from arborix.session import checkpointed
 
 #: (name, measure, good at, bad at): measure <= good votes good, measure >= bad
-#: votes bad, in between the rule abstains; reversed where good > bad.
+#: votes bad, in between the rule abstains; reversed where good > bad, and
+#: measure < -bad where bad is negative. Most rules know
+#: only junk and never vote good: votes for a text that is merely not junk would
+#: repeat one another.
 RULES = [
-    ("length", "n_words", 80.0, 50.0),
-    ("symbols", "n_symbols / greatest(n_words, 1)", 0.03, 0.10),
-    ("bangs", "n_bangs / greatest(n_words, 1)", 0.05, 0.25),
-    ("repeats", "n_repeat_words / greatest(n_words, 1)", 0.20, 0.45),
-    ("dup_lines", "n_dup_lines / greatest(n_lines, 1)", 0.05, 0.40),
-    ("word_long", "word_chars / greatest(n_words, 1)", 9.0, 13.0),
-    ("word_short", "word_chars / greatest(n_words, 1)", 3.5, 2.5),
-    ("capitals", "n_capitals / greatest(word_chars, 1)", 0.20, 0.50),
+    ("length", "n_words", 100.0, 50.0),
+    ("symbols", "n_symbols / greatest(n_words, 1)", None, 0.10),
+    ("bangs", "n_bangs / greatest(n_words, 1)", None, 0.25),
+    ("repeats", "n_repeat_words / greatest(n_words, 1)", None, 0.40),
+    ("dup_lines", "n_dup_lines / greatest(n_lines, 1)", None, 0.40),
+    ("word_long", "word_chars / greatest(n_words, 1)", 8.0, 13.0),
+    ("word_short", "word_chars / greatest(n_words, 1)", None, -2.5),
+    ("capitals", "n_capitals / greatest(word_chars, 1)", None, 0.50),
 ]
 
 MIN_WORDS = 50
-#: Prior share of good texts and of right votes, each worth PRIOR_WEIGHT texts.
-PRIOR_GOOD, PRIOR_RIGHT, PRIOR_WEIGHT = 0.8, 0.85, 20.0
+#: Where EM begins, and a prior worth PRIOR_WEIGHT texts: the share of good texts
+#: and the chances of the votes bad, none and good on a good and on a bad text.
+PRIOR_GOOD, PRIOR_WEIGHT = 0.9, 20.0
+PRIOR_VOTES = ((0.002, 0.798, 0.20), (0.25, 0.60, 0.15))
+#: A bad vote is rare on good texts and not rare on bad ones: chances stay below
+#: and above these, so that a rule never turns against its meaning.
+MOST_FALSE, LEAST_FOUND = 0.002, 0.10
 
 
 def let(value: Column, body) -> Column:
@@ -122,7 +130,10 @@ def votes(prefix: str = "") -> list[Column]:
     out = []
     for _, sql, good, bad in RULES:
         x = _measure(sql, prefix)
-        yes, no = (x <= good, x >= bad) if good < bad else (x >= good, x < bad)
+        if good is None:
+            yes, no = F.lit(False), (x >= bad) if bad > 0 else (x < -bad)
+        else:
+            yes, no = (x <= good, x >= bad) if good < bad else (x >= good, x < bad)
         out.append(F.when(no, -1).when(yes, 1).otherwise(0))
     return out
 
@@ -135,50 +146,62 @@ def pattern(prefix: str = "") -> Column:
     return code
 
 
-def estimate(patterns: list[tuple[int, int]], rounds: int = 100) -> tuple[float, list[float]]:
-    """EM over (pattern, count): share of good texts, accuracy of each rule.
+def estimate(patterns: list[tuple[int, int]], rounds: int = 200) -> tuple[float, list[list[float]]]:
+    """EM over (pattern, count): log odds of good, and for each rule the log
+    likelihood ratios of its votes bad, none and good.
 
-    Accuracies stay in 0.55..0.995, so that a rule never turns against its
-    meaning; abstentions say nothing. Without texts the priors are returned.
+    Each rule has its own chances of each vote on good and on bad texts; to
+    abstain is a vote like the others. Without texts the priors are returned.
     """
     k = len(RULES)
-    decoded = [([(code // 3 ** (k - 1 - j)) % 3 - 1 for j in range(k)], n) for code, n in sorted(patterns)]
-    good, right = PRIOR_GOOD, [PRIOR_RIGHT] * k
+    decoded = [([(code // 3 ** (k - 1 - j)) % 3 for j in range(k)], n) for code, n in sorted(patterns)]
+    good, chance = PRIOR_GOOD, [[list(side) for side in PRIOR_VOTES] for _ in RULES]
     for _ in range(rounds):
-        all_good = all_n = 0.0
-        hit, cast = [0.0] * k, [0.0] * k
+        odds, ratio = _weights(good, chance)
+        mass = [[[PRIOR_WEIGHT * x for x in side] for side in PRIOR_VOTES] for _ in RULES]
+        sums = [PRIOR_WEIGHT * PRIOR_GOOD, PRIOR_WEIGHT * (1 - PRIOR_GOOD)]
         for vote, n in decoded:
-            p = 1 / (1 + math.exp(-_logit(good, right, vote)))
-            all_good += p * n
-            all_n += n
+            logit = odds + sum(ratio[j][v] for j, v in enumerate(vote))
+            p = 1 / (1 + math.exp(-max(-500.0, min(500.0, logit))))
+            sums[0] += p * n
+            sums[1] += (1 - p) * n
             for j, v in enumerate(vote):
-                if v:
-                    cast[j] += n
-                    hit[j] += n * (p if v > 0 else 1 - p)
-        new = [min(0.995, max(0.55, (h + PRIOR_WEIGHT * PRIOR_RIGHT) / (c + PRIOR_WEIGHT))) for h, c in zip(hit, cast, strict=True)]
-        share = min(0.99, max(0.01, (all_good + PRIOR_WEIGHT * PRIOR_GOOD) / (all_n + PRIOR_WEIGHT)))
-        moved = max(abs(a - b) for a, b in zip([share, *new], [good, *right], strict=True))
-        good, right = share, new
+                mass[j][0][v] += p * n
+                mass[j][1][v] += (1 - p) * n
+        new = [[[x / sum(side) for x in side] for side in rule] for rule in mass]
+        for rule in new:
+            _hold(rule[0], min(rule[0][0], MOST_FALSE))
+            _hold(rule[1], max(rule[1][0], LEAST_FOUND))
+        share = min(0.95, max(0.05, sums[0] / sum(sums)))
+        moved = max([abs(share - good), *(abs(a - b) for x, y in zip(new, chance, strict=True) for p, q in zip(x, y, strict=True) for a, b in zip(p, q, strict=True))])
+        good, chance = share, new
         if moved < 1e-9:
             break
-    return good, right
+    return _weights(good, chance)
 
 
-def _logit(good: float, right: list[float], vote: list[int]) -> float:
-    return math.log(good / (1 - good)) + sum(v * math.log(a / (1 - a)) for v, a in zip(vote, right, strict=True))
+def _hold(side: list[float], bad: float) -> None:
+    """Set the chance of a bad vote and scale the other two to the rest."""
+    rest = side[1] + side[2]
+    side[1], side[2] = (side[1] / rest * (1 - bad), side[2] / rest * (1 - bad)) if rest else ((1 - bad) / 2, (1 - bad) / 2)
+    side[0] = bad
 
 
-def fit(counted: DataFrame, prefix: str = "") -> tuple[float, list[float]]:
-    """Accuracies for a table that with_counts() has prepared, base failures left out."""
+def _weights(good: float, chance: list) -> tuple[float, list[list[float]]]:
+    return math.log(good / (1 - good)), [[math.log(max(a, 1e-6) / max(b, 1e-6)) for a, b in zip(*rule, strict=True)] for rule in chance]
+
+
+def fit(counted: DataFrame, prefix: str = "") -> tuple[float, list[list[float]]]:
+    """The model of a table that with_counts() has prepared, base failures left out."""
     found = counted.where(~base_failed(prefix)).groupBy(pattern(prefix).alias("pattern")).count().collect()
     return estimate([(r["pattern"], r["count"]) for r in found])
 
 
-def posterior(model: tuple[float, list[float]], prefix: str = "") -> Column:
-    good, right = model
-    score = F.lit(math.log(good / (1 - good)))
-    for v, a in zip(votes(prefix), right, strict=True):
-        score = score + v * F.lit(math.log(a / (1 - a)))
+def posterior(model: tuple[float, list[list[float]]], prefix: str = "") -> Column:
+    odds, ratios = model
+    score = F.lit(odds)
+    for vote, (bad, none, good) in zip(votes(prefix), ratios, strict=True):
+        score = score + F.when(vote < 0, bad).when(vote > 0, good).otherwise(none)
     return 1 / (1 + F.exp(-score))
 
 
