@@ -57,4 +57,30 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_lm_scoring, op3_quality_rules, op4_mixing, op5_toxicity, op6_quality_classifier, op7_decontamination, op8_pii, op9_token_ids, op10_simhash)}
-ORACLES: dict[str, str] = {}
+
+#: The mix in SQL: targets by filling sources in the order of cap / weight, then
+#: one running sum for each source in the order of the hash-random key.
+OP4_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
+), w AS (
+  SELECT *, 2.0 * source_size AS cap,
+         [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3] AS weight FROM s
+), f AS (
+  SELECT *, cap / weight AS ratio,
+         (sum(source_size) OVER () * 1.5 - coalesce(sum(cap) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(weight) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w
+), t AS (
+  SELECT source, source_size, CAST(coalesce(least(cap, (SELECT level FROM f WHERE level < ratio ORDER BY ratio, level LIMIT 1) * weight), cap) AS DOUBLE) AS target FROM f
+), r AS (
+  SELECT doc_id, size, source_size, target,
+         coalesce(CAST(floor(target / nullif(source_size, 0)) AS BIGINT), 0) AS epochs,
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM sized d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+       CAST(epochs * size + greatest(0, least(size, CAST(floor(target) AS BIGINT) - epochs * source_size - before)) AS BIGINT) AS taken FROM r
+"""
+ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL}
