@@ -24,16 +24,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from arborix.llm.text import Memo, map_texts
+from arborix.llm.text import Memo
 
 END_ID = 1
 SHARD_IDS = 1 << 20
 BLOCK_BITS = 512
+#: Parts are dealt to partitions by hash; several for each even them out.
+PARTS_PER_PARTITION = 4
 MAGIC = b"DAC1"
 
 
@@ -101,25 +104,45 @@ class Codes:
 class Encoder:
     """Ids of a text, word by word.
 
-    The vocabulary's own rules never join characters across white space, so a
-    text's ids are those of its words in turn; each word in reach goes through
-    the library once.
+    The vocabulary's own rules lower the case and never join characters across
+    white space, nor letters or digits with the punctuation behind them, so a
+    text's ids are those of its lower-case words in turn, and a word's those of
+    its stem and its tail. What is in reach goes through the library once; a
+    text with a special token's beginning goes through it whole.
     """
 
+    _made: dict[str, "Encoder"] = {}
+
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.words = Memo(self._word)
+        self.words = Memo(self._word, 800_000)
+
+    @classmethod
+    def of(cls, vocabulary: str) -> "Encoder":
+        """The encoder of this worker process, which serves one task after another."""
+        if vocabulary not in cls._made:
+            cls._made[vocabulary] = cls(vocabulary)
+        return cls._made[vocabulary]
+
+    def _encode(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _word(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids
-        return np.asarray(ids, dtype="<u4").tobytes()
+        stem = word.rstrip(b".,;:!?")
+        if stem and len(stem) < len(word) and stem.decode("utf-8")[-1].isalnum():
+            return self.words[stem] + self.words[word[len(stem) :]]
+        return self._encode(word.decode("utf-8"))
 
     def ids(self, text: bytes | None) -> bytes:
         """Little-endian 32-bit ids with the end id."""
-        body = b"".join(map(self.words.__getitem__, text.split())) if text else b""
-        return body + struct.pack("<I", END_ID)
+        end = struct.pack("<I", END_ID)
+        if not text:
+            return end
+        if b"<|" in text:
+            return self._encode(text.decode("utf-8")) + end
+        return b"".join(map(self.words.__getitem__, text.lower().split())) + end
 
 
 SHARD = T.StructType(
@@ -140,20 +163,35 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """doc_id, number of ids, and the ids of each document, packed for the shuffle."""
+ENCODED = "part long, hash long, doc_id long, n_tokens long, codes binary"
 
-    def make():
-        encoder = Encoder(vocabulary or default_vocabulary())
 
-        def run(texts):
-            raw = [encoder.ids(t) for t in texts]
-            return [len(r) // 4 for r in raw], [_narrow(np.frombuffer(r, "<u4")) for r in raw]
+def encoded(docs: DataFrame, cuts: list[int], spread: int, key: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
+    """Part, hash, doc_id, number of ids and packed ids of each document.
 
-        return run
+    Parts are in the order of (doc_id, hash), nulls first: ``cuts`` are quantiles
+    of the doc_ids. Where several cuts are one doc_id, its rows are dealt to the
+    parts between them by ranges of their hash; null doc_ids to ``spread`` parts.
+    """
+    edges = np.array(cuts, np.int64)
 
-    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("codes", T.BinaryType())]
-    return map_texts(docs, key, text, fields, make)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder.of(vocabulary or default_vocabulary())
+        for batch in batches:
+            raw = [encoder.ids(t) for t in batch.column(1).to_pylist()]
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, raw), np.uint64, len(raw)).view(np.int64)
+            share = hashes / 2.0**64 + 0.5
+            null = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+            first, last = np.searchsorted(edges, ids, "left"), np.searchsorted(edges, ids, "right")
+            part = first + np.minimum((share * (last - first + 1)).astype(np.int64), last - first)
+            part = np.where(null, np.minimum((share * spread).astype(np.int64), spread - 1) - spread, part)
+            codes = [_narrow(np.frombuffer(r, "<u4")) for r in raw]
+            columns = [pa.array(part, pa.int64()), pa.array(hashes), batch.column(0), pa.array([len(r) // 4 for r in raw], pa.int64()), pa.array(codes, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "hash", "doc_id", "n_tokens", "codes"])
+
+    slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    return slim.mapInArrow(run, ENCODED)
 
 
 def _narrow(ids: np.ndarray) -> bytes:
@@ -168,14 +206,13 @@ def _wide(data: bytes) -> np.ndarray:
 def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> None:
     """Write all ids in ascending doc_id order as shards of at most SHARD_IDS ids.
 
-    A range partitioning gives each task a stretch of doc_ids; a shard ends
-    within its task, and a document longer than a shard is a shard by itself.
+    Quantiles of the doc_ids cut their range into parts. (repartitionByRange would encode every
+    text twice, once for its sample.) A part ends with its shard, and a document
+    longer than a shard is a shard by itself.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, shard, schema = TaskContext.get().partitionId(), 0, to_arrow_schema(SHARD)
+        schema, part, shard = to_arrow_schema(SHARD), None, 0
         doc_ids, counts, ids, size = [], [], [], 0
 
         def done() -> pa.RecordBatch:
@@ -183,10 +220,11 @@ def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", v
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
         for batch in batches:
-            for doc_id, n, codes in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if size and size + n > SHARD_IDS:
+            for own, doc_id, n, codes in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if size and (own != part or size + n > SHARD_IDS):
                     yield done()
                     doc_ids, counts, ids, size, shard = [], [], [], 0, shard + 1
+                part = own
                 doc_ids.append(doc_id)
                 counts.append(n)
                 ids.append(_wide(codes))
@@ -194,11 +232,13 @@ def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", v
         if size:
             yield done()
 
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("codes")]
-    rows = encoded(docs, key, text, vocabulary)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    placed.mapInArrow(pack, SHARD).write.parquet(path)
+    spark = docs.sparkSession
+    parts = PARTS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    at = [i / parts for i in range(1, parts)]
+    cuts = docs.select(F.percentile_approx(F.col(key).cast("long"), at, 100 * parts)).first()[0] or []
+    rows = encoded(docs, cuts, parts, key, text, vocabulary)
+    placed = rows.repartition("part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "hash")
+    placed.select("part", "doc_id", "n_tokens", "codes").mapInArrow(pack, SHARD).write.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
