@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 def truncate_bytes(content: Column, limit: int) -> Column:
     """The first ``limit`` bytes and '...'; a split character becomes U+FFFD."""
     raw = F.encode(content, "UTF-8")
-    head = F.decode(F.substring(raw, 1, limit), "UTF-8")
+    head = F.make_valid_utf8(F.substring(raw, 1, limit).cast("string"))
     return F.when(F.octet_length(content) > limit, F.concat(head, F.lit("..."))).otherwise(content)
 
 

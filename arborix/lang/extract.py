@@ -26,7 +26,7 @@ def _base(language: Column) -> Column:
 def lines_of(files: DataFrame) -> DataFrame:
     """(file_path, language, base, row, line, code, indent, opened, depth): row from 0,
     code is the line without strings and comments, depth the open brackets after it."""
-    rows = files.select("file_path", "language", F.posexplode(F.split(F.decode("content", "UTF-8"), "\r?\n")).alias("row", "line"))
+    rows = files.select("file_path", "language", F.posexplode(F.split(F.make_valid_utf8(F.col("content").cast("string")), "\r?\n")).alias("row", "line"))
     rows = rows.withColumn("base", _base(F.col("language")))
     # a quoted text, or a character between apostrophes, counts no brackets
     blank = F.regexp_replace("line", r""""(?:[^"\\]|\\.)*+"|'(?:[^'\\]|\\.)'|`[^`]*`""", '""')

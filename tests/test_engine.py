@@ -129,7 +129,7 @@ def test_index_search_and_changes(spark, tmp_path):
     greet = engine.nodes.where("name = 'greet'").first()["id"]
     assert "helper" in {r["name"] for r in engine.dependencies(greet).collect()}
     assert engine.trace("(t *T).Run", "helper").count() == 2
-    assert engine.dependency_context("greet").count() > 0 and engine.overview().count() > 3
+    assert engine.dependency_context("func greet name string").count() > 0 and engine.overview().count() > 3
     assert engine.metrics().first()["n_functions"] == 4
     (tree / "m.go").unlink()
     assert engine.index(str(tree))["files_deleted"] == 1
