@@ -18,7 +18,10 @@ either side gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,20 +63,29 @@ def tiling(item: np.ndarray, doc: np.ndarray, least: int = MIN_TILE) -> list[tup
     powers = np.cumprod(powers, dtype=np.uint64)
     p, t = _prefix(item, powers), _prefix(doc, powers)
     free_p, free_t = np.ones(len(item), bool), doc != 0
-    common = lambda s: np.intersect1d(_windows(p, powers, free_p, s)[1], _windows(t, powers, free_t, s)[1])
+
+    def shared(s: int) -> np.ndarray:
+        """Which windows of the document have a hash that the item has too."""
+        own = np.sort(_windows(p, powers, free_p, s)[1])
+        there = _windows(t, powers, free_t, s)[1]
+        if not len(own):
+            return np.zeros(len(there), bool)
+        return own[np.minimum(np.searchsorted(own, there), len(own) - 1)] == there
+
     tiles, longest = [], min(len(item), len(doc))
     while longest >= least:
         low, high = least - 1, longest
         while low < high:
             s = (low + high + 1) // 2
-            low, high = (s, high) if len(common(s)) else (low, s - 1)
+            low, high = (s, high) if shared(s).any() else (low, s - 1)
         if low < least:
             break
-        shared, marked = common(low), False
+        marked = False
         at_p, hash_p = _windows(p, powers, free_p, low)
         at_t, hash_t = _windows(t, powers, free_t, low)
         where: dict[int, list[int]] = {}
-        for i, h in zip(at_t[np.isin(hash_t, shared)].tolist(), hash_t[np.isin(hash_t, shared)].tolist(), strict=True):
+        met = shared(low)
+        for i, h in zip(at_t[met].tolist(), hash_t[met].tolist(), strict=True):
             where.setdefault(h, []).append(i)
         for i, h in zip(at_p.tolist(), hash_p.tolist(), strict=True):
             if not free_p[i : i + low].all():
@@ -106,6 +118,16 @@ class Items:
         self.hashes = np.array(sorted(self.seeds), np.uint64)
         self.words = Memo(self._word)
 
+    _made: dict[str, "Items"] = {}
+
+    @classmethod
+    def of(cls, name: str, rows: list[tuple[int | None, str | None]]) -> "Items":
+        """The block of that name in this worker process; only the last one is held."""
+        if name not in cls._made:
+            cls._made.clear()
+            cls._made[name] = cls(rows)
+        return cls._made[name]
+
     def _word(self, word: bytes) -> int:
         """A token's number, 0 for one outside the items, -1 for no token."""
         token = bare(word)
@@ -134,7 +156,7 @@ class Items:
         _, h = self._seeds(ids)
         if not len(h):
             return []
-        hits = h[np.isin(h, self.hashes)]
+        hits = h[self.hashes[np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)] == h]
         out = []
         for k in sorted({i for x in np.unique(hits).tolist() for i in self.seeds[x]}):
             item_id, item = self.items[k]
@@ -168,8 +190,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     for rows in blocks(benchmark, item, item_text):
         shared = spark.sparkContext.broadcast(rows)
 
-        def make(shared=shared):
-            items = Items(shared.value)
+        def make(shared=shared, name=uuid.uuid4().hex):
+            items = Items.of(name, shared.value)
             return lambda texts: [[[dict(zip(_NAMES, x, strict=True)) for x in items.match(t)] for t in texts]]
 
         one = map_texts(docs, key, text, [T.StructField("found", _FOUND)], make)
@@ -189,10 +211,8 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     for rows in blocks(benchmark, "item_id", "text"):
         shared = spark.sparkContext.broadcast(rows)
 
-        def run(batches, shared=shared):
-            import pyarrow as pa
-
-            items = Items(shared.value)
+        def run(batches, shared=shared, name=uuid.uuid4().hex):
+            items = Items.of(name, shared.value)
             for batch in batches:
                 clean = [not items.match(t.encode() if t else None) for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))

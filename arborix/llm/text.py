@@ -16,6 +16,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 SPACE = r"[\x20\x09-\x0D]+"
 _NOT_ALNUM = re.compile(r"[^\w]|_")
+_LOWER = bytes(range(256)).lower()
+_DROPPED = bytes(c for c in range(128) if not chr(c).isalnum())
 
 
 def words(text: Column) -> Column:
@@ -34,6 +36,8 @@ def folded_words(data: bytes | None) -> list[bytes]:
 
 def bare(word: bytes) -> str:
     """A word in lower case without punctuation, '' if nothing else is in it."""
+    if word.isascii():
+        return word.translate(_LOWER, _DROPPED).decode()
     return _NOT_ALNUM.sub("", word.decode("utf-8", "replace").lower())
 
 
