@@ -190,7 +190,7 @@ class Automaton:
             key = (source[seen] * self.size + last[seen]).tolist()
             self.arcs.update(zip(key, zip(np.log10(p[seen]).tolist(), target[seen].tolist(), strict=True), strict=True))
         self.log_uni = np.log10(self.uni).tolist()
-        self.to = self.state_of[0].tolist()
+        self.to = self.state_of[0].tolist() if order > 1 else [0] * self.size
 
     def score(self, words: list[int]) -> float:
         """log10 probability of a text's word numbers, read once from left to right."""

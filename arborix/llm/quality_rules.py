@@ -41,10 +41,10 @@ MIN_WORDS = 50
 #: Where EM begins, and a prior worth PRIOR_WEIGHT texts: the share of good texts
 #: and the chances of the votes bad, none and good on a good and on a bad text.
 PRIOR_GOOD, PRIOR_WEIGHT = 0.9, 20.0
-PRIOR_VOTES = ((0.002, 0.798, 0.20), (0.25, 0.60, 0.15))
+PRIOR_VOTES = ((0.0005, 0.7995, 0.20), (0.25, 0.60, 0.15))
 #: A bad vote is rare on good texts and not rare on bad ones: chances stay below
 #: and above these, so that a rule never turns against its meaning.
-MOST_FALSE, LEAST_FOUND = 0.002, 0.10
+MOST_FALSE, LEAST_FOUND = 0.0005, 0.15
 
 
 def let(value: Column, body) -> Column:

@@ -244,13 +244,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The document with the least key of each component, with all its columns.
 
-    Rows that repeat a key are one document: one of them stays.
+    Rows that repeat a key are one document: one of them stays. Rows without a
+    key cannot be told apart and all stay.
     """
-    found = checkpointed(near_duplicates(docs, key, text).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count())
+    classes = near_duplicates(docs, key, text).where(F.col("doc_id") == F.col("component_id"))
+    found = checkpointed(classes.groupBy("doc_id").count())
     doc = docs.alias("d")
     once, twice = found.where("count = 1").alias("k"), found.where("count > 1").alias("k")
-    same = F.col(f"d.{key}").cast("long").eqNullSafe(F.col("k.doc_id"))
-    kept = doc.join(once, same, "left_semi")
-    if twice.limit(1).count():
+    same = F.col(f"d.{key}").cast("long") == F.col("k.doc_id")
+    kept = doc.join(once, same, "left_semi").unionByName(docs.where(F.col(key).isNull()))
+    if not twice.isEmpty():
         kept = kept.unionByName(doc.join(twice, same, "left_semi").dropDuplicates([key]))
     return kept
