@@ -14,9 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborix.functions.text import annotations, clean_comment, clean_docstring
+from arborix.functions.text import annotations, clean_comment, clean_docstring, import_alias
 from arborix.lang import patterns as P
 from arborix.operators.calls import call_edges, enclosing
+from arborix.operators.symbols import resolve
 
 
 def _base(language: Column) -> Column:
@@ -142,9 +143,51 @@ def _comment_above(above: Column, base: Column) -> Column:
     return F.when(base.isin("python", "julia"), hashes).when(base.isin("clojure", "commonlisp"), semis).otherwise(F.when(block != "", block).otherwise(slashes))
 
 
-def calls_of(files: DataFrame, nodes: DataFrame, strict: bool = True) -> DataFrame:
+def imports_of(files: DataFrame) -> DataFrame:
+    """(file_path, alias, target) of Go, Clojure and C sources.
+
+    Go: the last part of the path or the name before it; a dot import is known by
+    its path. Clojure: ``:as`` names; ``:refer`` names stand for themselves, with
+    the namespace as target. C: the included file under its own name.
+    """
+    lines = lines_of(files)
+    quoted = F.regexp_extract("line", r'^\s*(?:import\s+)?(?:[\w.]+\s+)?"([^"]+)"\s*(?://.*)?$', 1)
+    named = F.regexp_extract("line", r'^\s*(?:import\s+)?([\w.]+)\s+"', 1)
+    own = F.when((named == "") | (named == "import"), import_alias(quoted)).when(named == ".", quoted).otherwise(named)
+    go = lines.where(F.col("base") == "go").select("file_path", own.alias("alias"), quoted.alias("target")).where("target <> ''")
+    included = F.regexp_extract("line", r'^\s*#\s*include\s*[<"]([^>"]+)[>"]', 1)
+    c = lines.where(F.col("base") == "c").select("file_path", included.alias("alias"), included.alias("target")).where("target <> ''")
+    required = lines.where(F.col("base") == "clojure").select("file_path", F.explode(F.regexp_extract_all("line", F.lit(r"\[[\w.*+!?<>=-]+\s+:[^\]]*(?:\[[^\]]*\][^\]]*)?\]"), F.lit(0))).alias("r"))
+    library = F.regexp_extract("r", r"^\[(\S+)", 1)
+    as_ = required.select("file_path", F.regexp_extract("r", r":as\s+([^\s\]]+)", 1).alias("alias"), library.alias("target")).where("alias <> ''")
+    referred = F.filter(F.split(F.regexp_extract("r", r":refer\s+\[([^\]]*)\]", 1), r"\s+"), lambda x: x != "")
+    refer = required.select("file_path", F.explode(referred).alias("alias"), library.alias("target"))
+    return go.unionByName(c).unionByName(as_).unionByName(refer).distinct()
+
+
+def symbols_of(files: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(file_path, package, name, id) of definitions; a Go method is ``T.Name``."""
+    found = F.when(F.col("base") == "go", F.regexp_extract("line", r"^package\s+(\w+)", 1)).when(F.col("base") == "clojure", F.regexp_extract("line", r"^\s*\(ns\s+(?:\^\S+\s+)*([^\s()]+)", 1))
+    packages = lines_of(files).select("file_path", "row", found.alias("package")).where("package <> ''").groupBy("file_path").agg(F.min_by("package", "row").alias("package"))
+    name = F.when(F.col("name").startswith("("), F.regexp_replace("name", r"^\((?:\w+\s+)?\*?(\w+)(?:\[[^\]]*\])?\)\.", "$1.")).otherwise(F.col("name"))
+    defined = nodes.where("node_type <> 'import'").select("file_path", name.alias("name"), "id")
+    return defined.join(packages, "file_path", "left").select("file_path", "package", "name", "id")
+
+
+def _resolved(placed: DataFrame, files: DataFrame, nodes: DataFrame, scope: str) -> DataFrame:
+    """Call sites with ``resolved``, by the symbols of their language."""
+    symbols, imports = symbols_of(files, nodes), imports_of(files)
+    sites = placed.withColumnRenamed("callee", "name")
+    out = sites.where(~F.col("base").isin("go", "clojure", "c")).withColumn("resolved", F.lit(None).cast("string"))
+    for base in ("go", "clojure", "c"):
+        out = out.unionByName(resolve(sites.where(F.col("base") == base), symbols, imports, base, scope))
+    return out.withColumnRenamed("name", "callee")
+
+
+def calls_of(files: DataFrame, nodes: DataFrame, strict: bool = True, symbols: str | None = None) -> DataFrame:
     """Call edges. ``strict`` leaves out Python and Common Lisp, whose calls the
-    data model's first indexes did not hold."""
+    data model's first indexes did not hold. ``symbols`` ("file" or "corpus")
+    resolves callees through symbol tables."""
     lines = lines_of(files)
     word = r"([A-Za-z_$][\w$]*(?:(?:\.|::|->)[A-Za-z_$][\w$]*)*)!?\s*\("
     heads = F.regexp_extract_all("code", F.lit(r"\(([^\s()\[\]{}\"';,]+)"), F.lit(1))
@@ -160,4 +203,5 @@ def calls_of(files: DataFrame, nodes: DataFrame, strict: bool = True) -> DataFra
     ranges = nodes.where(F.col("node_type").isin(*P.CALLERS)).select("file_path", "id", "start_line", "end_line", "ordinal")
     heads_ = nodes.select(F.col("file_path").alias("hf"), (F.col("start_line")).alias("hl"), F.regexp_replace("name", r"^.*\.", "").alias("hn"))
     own = (F.col("file_path") == F.col("hf")) & (F.col("line") == F.col("hl")) & (F.col("callee") == F.col("hn"))
-    return call_edges(enclosing(sites.join(heads_, own, "left_anti"), ranges))
+    placed = enclosing(sites.join(heads_, own, "left_anti"), ranges)
+    return call_edges(_resolved(placed, files, nodes, symbols) if symbols else placed)

@@ -30,7 +30,11 @@ def enclosing(sites: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def call_edges(placed: DataFrame) -> DataFrame:
-    """Edge rows of (file_path, caller, callee, language) rows, each edge once."""
+    """Edge rows of (file_path, caller, callee, language) rows, each edge once.
+
+    A ``resolved`` column, where there is one, names the callee's node.
+    """
     to = callee_id(F.col("file_path"), F.col("callee"), F.col("language"))
+    to = F.coalesce("resolved", to) if "resolved" in placed.columns else to
     pairs = placed.select(F.col("caller").alias("from_id"), to.alias("to_id"), F.lit("calls").alias("edge_type")).distinct()
     return pairs.select(edge_id(F.col("from_id"), F.col("to_id"), F.col("edge_type")).alias("id"), "*", F.lit(1.0).cast("float").alias("weight"))

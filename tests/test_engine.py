@@ -3,7 +3,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from arborix.lang.extract import calls_of, nodes_of
+from arborix.lang.extract import calls_of, imports_of, nodes_of, symbols_of
 from arborix.operators.symbols import resolve
 from arborix.plans.engine import Engine
 from arborix.sources import embedding, files
@@ -72,6 +72,19 @@ def test_extraction(spark):
     assert "a.py::m->a.py::calculate_sum:calls" in {r["id"] for r in calls_of(scan, nodes, strict=False).collect()}
 
 
+def test_symbol_tables_of_sources(spark):
+    util = 'package util\n\nfunc Do() int {\n\treturn 1\n}\n\nfunc (t *T) Go() {\n}\n'
+    main = 'package main\n\nimport (\n\tu "util"\n\t"a/b/fmt"\n)\n\nfunc main() {\n\tu.Do()\n\tfmt.Print()\n\tlocal()\n}\n\nfunc local() {\n}\n'
+    clj = "(ns app.core\n  (:require [lib.x :as x]\n            [lib.y :refer [go stop]]))\n(defn run [a]\n  (x/call a)\n  (run a))\n"
+    scan = files.from_rows(spark, [("u.go", util), ("m.go", main), ("c.clj", clj)])
+    nodes = nodes_of(scan).cache()
+    assert {(r["package"], r["name"]) for r in symbols_of(scan, nodes).collect()} == {("util", "Do"), ("util", "T.Go"), ("main", "main"), ("main", "local"), ("app.core", "run")}
+    assert {(r["alias"], r["target"]) for r in imports_of(scan).collect()} == {("u", "util"), ("fmt", "a/b/fmt"), ("x", "lib.x"), ("go", "lib.y"), ("stop", "lib.y")}
+    calls = lambda scope: {r["id"] for r in calls_of(scan, nodes, symbols=scope).collect()}
+    assert {"m.go::main->util::Do:calls", "m.go::main->a/b/fmt::Print:calls", "m.go::main->m.go::local:calls", "c.clj::run->lib.x/call:calls"} <= calls("file")
+    assert "m.go::main->u.go::Do:calls" in calls("corpus")
+
+
 class Flaky:
     def __init__(self, bad=()):
         self.bad = set(bad)
