@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arborix.functions.vector import cosine
+from arborix.functions.vector import cosine, query_vector
 from arborix.operators.lookup import clamp_limit, search_view
 
 
@@ -25,7 +25,7 @@ def semantic_search(nodes: DataFrame, vector, limit: int | None = None, language
     values = [float(x) for x in vector]
     if not values:
         raise ValueError("the query vector is empty")
-    q = F.array(*[F.lit(x) for x in values]).cast("array<float>")
+    q = query_vector(values)
     pool = nodes.where(F.col("language") == language) if language and prefilter else nodes
     top = scored(pool, q, len(values)).orderBy(F.desc("score"), "id").limit(clamp_limit(limit)).where("score > 0")
     wide = search_view(nodes).join(F.broadcast(top), "id")  # at most MAX_LIMIT rows
