@@ -88,14 +88,13 @@ def ratios(marked: DataFrame) -> tuple[float, dict[str, list[float]]]:
 def _strength(sites: DataFrame) -> float:
     """Documents that a site's prior is worth, from the spread of sites' shares."""
     big = sites.where("n >= 5")
-    spread = "sum(n * (good / n - m) * (good / n - m)) / sum(n)"
-    row = big.crossJoin(big.agg((F.sum("good") / F.sum("n")).alias("m"))).agg(
-        F.expr(spread).alias("v"), F.max("m").alias("m"), (F.count(F.lit(1)) / F.sum("n")).alias("noise")
-    ).first()
-    if row is None or row["v"] is None:
+    share, noise = big.agg(F.sum("good") / F.sum("n"), F.count(F.lit(1)) / F.sum("n")).first()
+    if share is None:
         return MOST
-    m = row["m"] * (1 - row["m"])
-    between = row["v"] - m * row["noise"]
+    off = F.col("good") / F.col("n") - F.lit(share)
+    spread = big.agg(F.sum(F.col("n") * off * off) / F.sum("n")).first()[0]
+    m = share * (1 - share)
+    between = spread - m * noise
     return min(MOST, max(LEAST, m / between - 1)) if between > 0 else MOST
 
 

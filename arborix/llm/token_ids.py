@@ -36,7 +36,7 @@ END_ID = 1
 SHARD_IDS = 1 << 20
 BLOCK_BITS = 512
 #: Parts are dealt to partitions by hash; several for each even them out.
-PARTS_PER_PARTITION = 4
+PARTS_PER_PARTITION, MAX_PARTS = 4, 4096
 MAGIC = b"DAC1"
 
 
@@ -233,7 +233,7 @@ def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", v
             yield done()
 
     spark = docs.sparkSession
-    parts = PARTS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(MAX_PARTS, PARTS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")))
     at = [i / parts for i in range(1, parts)]
     cuts = docs.select(F.percentile_approx(F.col(key).cast("long"), at, 100 * parts)).first()[0] or []
     rows = encoded(docs, cuts, parts, key, text, vocabulary)
