@@ -21,6 +21,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -101,14 +102,24 @@ class Codes:
         return out
 
 
+def _byte_characters() -> dict[int, int]:
+    """Byte-level vocabularies write printable Latin-1 as it is, other bytes from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in printable)}
+
+
+_BYTE_CHARACTERS = _byte_characters()
+
+
 class Encoder:
     """Ids of a text, word by word.
 
     The vocabulary's own rules lower the case and never join characters across
     white space, nor letters or digits with the punctuation behind them, so a
     text's ids are those of its lower-case words in turn, and a word's those of
-    its stem and its tail. What is in reach goes through the library once; a
-    text with a special token's beginning goes through it whole.
+    its stem and its tail. What is in reach goes through the library once, words
+    of lower-case letters straight to its model, as nothing before that would
+    change them; a text with a special token's beginning goes through it whole.
     """
 
     _made: dict[str, "Encoder"] = {}
@@ -117,6 +128,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.model = self.tokenizer.model
+        self.direct = all(self._letters(w) == self._encode(w) for w in ("the", "straße", "ñandú", "σς", "日本語"))
         self.words = Memo(self._word, 800_000)
 
     @classmethod
@@ -133,7 +146,15 @@ class Encoder:
         stem = word.rstrip(b".,;:!?")
         if stem and len(stem) < len(word) and stem.decode("utf-8")[-1].isalnum():
             return self.words[stem] + self.words[word[len(stem) :]]
-        return self._encode(word.decode("utf-8"))
+        text = word.decode("utf-8")
+        if self.direct and text.isalpha() and text == text.lower() and is_normalized("NFC", text):
+            return self._letters(text)
+        return self._encode(text)
+
+    def _letters(self, word: str) -> bytes:
+        """Ids of a word of lower-case letters, its bytes written as the model's characters."""
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
+        return np.asarray([t.id for t in self.model.tokenize(shown)], dtype="<u4").tobytes()
 
     def ids(self, text: bytes | None) -> bytes:
         """Little-endian 32-bit ids with the end id."""
