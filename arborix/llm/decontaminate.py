@@ -33,7 +33,7 @@ BLOCK_CHARS = 4_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def tokens(text: str | None) -> list[str]:
+def tokens(text: str | None) -> list[bytes]:
     return [t for w in (text or "").encode().split() if (t := bare(w))]
 
 
@@ -104,7 +104,7 @@ class Items:
     """A block of benchmark items, ready for matching."""
 
     def __init__(self, rows: list[tuple[int | None, str | None]]):
-        self.ids: dict[str, int] = {}
+        self.ids: dict[bytes, int] = {}
         self.items: list[tuple[int | None, np.ndarray]] = []
         seeds: dict[int, set[int]] = {}
         for item_id, text in rows:

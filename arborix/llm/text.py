@@ -34,11 +34,11 @@ def folded_words(data: bytes | None) -> list[bytes]:
     return data.lower().split() if data else []
 
 
-def bare(word: bytes) -> str:
-    """A word in lower case without punctuation, '' if nothing else is in it."""
+def bare(word: bytes) -> bytes:
+    """A word in lower case without punctuation, empty if nothing else is in it."""
     if word.isascii():
-        return word.translate(_LOWER, _DROPPED).decode()
-    return _NOT_ALNUM.sub("", word.decode("utf-8", "replace").lower())
+        return word.translate(_LOWER, _DROPPED)
+    return _NOT_ALNUM.sub("", word.decode("utf-8", "replace").lower()).encode()
 
 
 class Memo(dict):

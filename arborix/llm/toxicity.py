@@ -36,7 +36,7 @@ _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.ui
 
 class Features:
     def __init__(self):
-        self.words = Memo(lambda w: xxhash.xxh64_intdigest(b) if (b := bare(w).encode()) else 0)
+        self.words = Memo(lambda w: xxhash.xxh64_intdigest(b) if (b := bare(w)) else 0)
 
     def __call__(self, text: bytes | None) -> np.ndarray:
         """Coordinates of a text, each once, in order."""
