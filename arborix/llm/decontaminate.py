@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arborix.llm.text import Memo, bare, map_texts
+from arborix.llm.text import Memo, bare, held, map_texts, small_batches
 
 SEED, MIN_TILE, COVERAGE = 5, 3, 0.8
 BLOCK_CHARS = 4_000_000
@@ -116,17 +116,7 @@ class Items:
             self.items.append((item_id, t))
         self.seeds = {h: sorted(x) for h, x in seeds.items()}
         self.hashes = np.array(sorted(self.seeds), np.uint64)
-        self.words = Memo(self._word)
-
-    _made: dict[str, "Items"] = {}
-
-    @classmethod
-    def of(cls, name: str, rows: list[tuple[int | None, str | None]]) -> "Items":
-        """The block of that name in this worker process; only the last one is held."""
-        if name not in cls._made:
-            cls._made.clear()
-            cls._made[name] = cls(rows)
-        return cls._made[name]
+        self.words = Memo(self._word, 200_000)
 
     def _word(self, word: bytes) -> int:
         """A token's number, 0 for one outside the items, -1 for no token."""
@@ -191,7 +181,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
         shared = spark.sparkContext.broadcast(rows)
 
         def make(shared=shared, name=uuid.uuid4().hex):
-            items = Items.of(name, shared.value)
+            items = held(name, lambda: Items(shared.value))
             return lambda texts: [[[dict(zip(_NAMES, x, strict=True)) for x in items.match(t)] for t in texts]]
 
         one = map_texts(docs, key, text, [T.StructField("found", _FOUND)], make)
@@ -212,8 +202,8 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
         shared = spark.sparkContext.broadcast(rows)
 
         def run(batches, shared=shared, name=uuid.uuid4().hex):
-            items = Items.of(name, shared.value)
-            for batch in batches:
+            items = held(name, lambda: Items(shared.value))
+            for batch in small_batches(batches):
                 clean = [not items.match(t.encode() if t else None) for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 

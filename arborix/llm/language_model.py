@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arborix.llm.text import folded_words
+from arborix.llm.text import folded_words, small_batches
 from arborix.session import checkpointed
 
 ORDER, KAPPA = 2, 1000.0
@@ -105,7 +105,7 @@ def _unpack(data: bytes) -> np.ndarray:
 def _packed_texts(batches):
     """Texts compressed one by one: they are shuffled twice, and so take less disk."""
     pack = zstandard.ZstdCompressor(level=3).compress
-    for batch in batches:
+    for batch in small_batches(batches):
         texts = pa.array([None if t is None else pack(t) for t in batch.column(1).to_pylist()], pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column(0), texts, batch.column(2), batch.column(3)], names=["doc_id", "text", "train", "block"])
 

@@ -59,6 +59,28 @@ class Memo(dict):
         return value
 
 
+_held: dict = {}
+
+
+def held(key: str, make: Callable):
+    """make(), kept for the worker process's next tasks until another key comes.
+
+    One thing at a time is kept, so that a worker that served one operator does
+    not carry its tables into the next one's.
+    """
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that a task holds few texts twice."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_texts(docs: DataFrame, key: str, text: str, fields: list[T.StructField], make: Callable) -> DataFrame:
     """doc_id and what a function makes of each whole text, in Arrow batches.
 
@@ -70,7 +92,7 @@ def map_texts(docs: DataFrame, key: str, text: str, fields: list[T.StructField],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f, arrow = make(), to_arrow_schema(schema)
-        for batch in batches:
+        for batch in small_batches(batches):
             made = f(batch.column(1).to_pylist())
             columns = [batch.column(0), *[pa.array(x, type=field.type) for x, field in zip(made, list(arrow)[1:], strict=True)]]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from arborix.llm.text import Memo
+from arborix.llm.text import Memo, held, small_batches
 
 END_ID = 1
 SHARD_IDS = 1 << 20
@@ -122,22 +122,13 @@ class Encoder:
     change them; a text with a special token's beginning goes through it whole.
     """
 
-    _made: dict[str, "Encoder"] = {}
-
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.model = self.tokenizer.model
         self.direct = all(self._letters(w) == self._encode(w) for w in ("the", "straße", "ñandú", "σς", "日本語"))
-        self.words = Memo(self._word, 800_000)
-
-    @classmethod
-    def of(cls, vocabulary: str) -> "Encoder":
-        """The encoder of this worker process, which serves one task after another."""
-        if vocabulary not in cls._made:
-            cls._made[vocabulary] = cls(vocabulary)
-        return cls._made[vocabulary]
+        self.words = Memo(self._word)
 
     def _encode(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -197,8 +188,9 @@ def encoded(docs: DataFrame, cuts: list[int], spread: int, key: str = "doc_id",
     edges = np.array(cuts, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(vocabulary or default_vocabulary())
-        for batch in batches:
+        name = vocabulary or default_vocabulary()
+        encoder = held(name, lambda: Encoder(name))
+        for batch in small_batches(batches):
             raw = [encoder.ids(t) for t in batch.column(1).to_pylist()]
             hashes = np.fromiter(map(xxhash.xxh64_intdigest, raw), np.uint64, len(raw)).view(np.int64)
             share = hashes / 2.0**64 + 0.5
