@@ -5,7 +5,9 @@ walk the same matches, so a span starts after the gaps and matches before it.
 Only DataFrame functions run. Patterns hold no choice that backtracks over more
 than one run of characters and no group that recurses, so long texts are safe:
 a possessive run means the same as a greedy one wherever the character after it
-is outside its class.
+is outside its class. A registered country's IBAN has that country's length, so
+words, codes and numbers behind it are not taken in; codes that no registry
+lists have no length and take the whole run.
 
 Defined results: a null text is empty and has no span; repeated rows get equal
 answers; an empty table gives an empty result; other columns are not read.
@@ -19,6 +21,29 @@ from pyspark.sql import functions as F
 from arborix.llm.quality_rules import let
 
 _LOCAL = "[A-Za-z0-9._%+-]"
+#: Countries of the IBAN registry by the length of their numbers.
+IBAN_LENGTHS = {
+    15: "NO",
+    16: "BE",
+    18: "DK FI FK FO GL NL SD",
+    19: "MK SI",
+    20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST",
+    26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA",
+    30: "JO KW MU YE",
+    31: "MT SC",
+    32: "LC",
+    33: "RU",
+}
+_LISTED = "(?:" + "|".join(" ".join(IBAN_LENGTHS.values()).split()) + ")"
+_IBAN = "|".join(rf"(?:{'|'.join(codes.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, codes in IBAN_LENGTHS.items())
 PATTERNS = {
     # \G: a match may begin where the last one ended, inside a run
     "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -26,7 +51,8 @@ PATTERNS = {
     # a run of fewer than 13 digits is dropped, so it need not be matched
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    # a run behind an unlisted code ends where a listed one begins
+    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_IBAN}|(?!{_LISTED})[A-Z]{{2}}[0-9]{{2}}(?:(?:\x20(?!{_LISTED}[0-9]{{2}}))?[A-Z0-9]){{11,30}}+)(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
 }
 BASE = ("email", "ip", "card", "phone")

@@ -158,6 +158,17 @@ def test_pii_method_spans(spark):
     assert [got[i] for i in range(len(cases))] == [s for _, s in cases]
 
 
+def test_pii_iban_ends_at_its_length(spark):
+    iban, spaced = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
+    behind = ["", " Kontoinhaber", " Please pay", " BIC COBADEFF", " IBAN", " 12345", " 7", ".", f" {iban}"]
+    cases = [(x + b, [f"iban:0:{len(x)}"]) for x in (iban, spaced, "NO93 8601 1117 947", "GB82 WEST 1234 5698 7654 32") for b in behind[:-1]]
+    cases += [(f"{iban} {spaced}", ["iban:0:22", "iban:23:50"]), (f"ZZ12 3456 7890 123 {spaced}", ["iban:19:46"]), (iban + "X", []), (iban + "0 Please", []), ("DE89370400440532013001 Please", [])]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.digest(pii.find(df)).collect()}
+    for i, (text, want) in enumerate(cases):
+        assert [s for s in got[i].split(",") if s.startswith("iban")] == want, text
+
+
 def test_codes_round_trip():
     r = random.Random(5)
     for n in (0, 1, 7, 511, 512, 513, 5000):
