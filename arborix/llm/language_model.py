@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from arborix.llm.text import folded_words, small_batches
 from arborix.session import checkpointed
 
-ORDER, KAPPA = 2, 1000.0
+ORDER, KAPPA = 3, 1000.0
 BLOCK_BYTES, RANGE_BYTES = 8 << 20, 16 << 20
 END = b""
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)

@@ -347,6 +347,16 @@ def test_language_model(docs, empty, monkeypatch, order):
     assert language_model.scores(empty).count() == 0
 
 
+def test_language_model_registered_order(spark):
+    """The registered query tells texts apart that only a context of two words can."""
+    rows = [(i, t, "en", "s", 0, 0, "") for i, t in enumerate(["a b c", "d b e"] * 400 + ["a b e"])]
+    got = {r["doc_id"]: r["score"] for r in language_model.scores(spark.createDataFrame(rows, SCHEMA)).collect()}
+    trained = [t.split() + ["</s>"] for i, t, *_ in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    score = brute_model(trained, 3, language_model.KAPPA)[3]
+    for i in (0, 1, 800):
+        assert got[i] == pytest.approx(score(rows[i][1].split() + ["</s>"]))
+
+
 def test_toxicity_learns(spark, empty):
     r = random.Random(9)
     vocab, bad = [f"w{i}" for i in range(300)], ["idiot", "scum", "moron"]
