@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborix.llm.text import n_words
+from arborix.session import checkpointed
 
 WEIGHTS = (5, 2, 1)
 SHARE, CAP = 1.5, 2.0
@@ -59,13 +60,18 @@ def plan(sized: DataFrame, cut: str = "word", seed: str = SEED, **share) -> Data
     cut="word" takes the budget to the word: one document of each source may be
     taken in part. cut="document" takes whole documents, the one at the budget
     if that comes nearer to it.
+
+    Rows may have more columns, ``text_hash`` and ``number``: they come back,
+    and the key draws on them, so that rows of one doc_id spread over slices.
     """
+    more = [c for c in ("text_hash", "number") if c in sized.columns]
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     wanted = targets(per_source, **share)
-    keyed = sized.withColumn("key", random_key(F.col("doc_id"), seed))
+    drawn = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), *more) if more else F.col("doc_id")
+    keyed = sized.withColumn("key", random_key(drawn, seed))
     slices = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / SLICE))
     at = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") * slices / F.lit(float(2**32))).cast("long")
-    cols = [F.col(f"d.{c}").alias(c) for c in ("doc_id", "source", "size", "key")]
+    cols = [F.col(f"d.{c}").alias(c) for c in ("doc_id", "source", "size", "key", *more)]
     placed = keyed.alias("d").join(wanted.alias("w"), F.col("d.source").eqNullSafe(F.col("w.source"))).select(
         *cols, F.col("w.source_size").alias("source_size"), F.col("w.target").alias("target"), at.alias("slice")
     )
@@ -78,7 +84,7 @@ def plan(sized: DataFrame, cut: str = "word", seed: str = SEED, **share) -> Data
     rest = F.floor(F.col("target")).cast("long") - F.col("full") * F.col("source_size")
     placed = ranked.alias("r").join(
         offsets.alias("o"), F.col("r.source").eqNullSafe(F.col("o.source")) & (F.col("r.slice") == F.col("o.slice"))
-    ).select("r.doc_id", "r.source", "r.size", "r.source_size", "r.target", (F.col("r.inner") + F.col("o.offset")).alias("before"))
+    ).select("r.doc_id", "r.source", "r.size", *[f"r.{c}" for c in more], "r.source_size", "r.target", (F.col("r.inner") + F.col("o.offset")).alias("before"))
     placed = placed.withColumn("full", full).withColumn("rest", rest)
     if cut == "word":
         part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))
@@ -92,25 +98,41 @@ def plan(sized: DataFrame, cut: str = "word", seed: str = SEED, **share) -> Data
         "target",
         (F.col("full") * F.col("size") + part).cast("long").alias("taken"),
         (F.col("full") + (part > 0).cast("long")).alias("copies"),
+        *more,
     )
 
 
-def sizes(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    return docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"))
+def sizes(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", text_hash: str | None = None) -> DataFrame:
+    more = [F.col(text_hash).alias("text_hash")] if text_hash else []
+    return docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), *more)
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED) -> DataFrame:
     """The documents of the mix, whole, each as often as the mix repeats it.
 
-    The plan is made from slim rows. Its answer depends on (source, doc_id,
-    size) alone, so that is what the texts are joined with.
+    The plan is made from slim rows. Rows of equal key, source, size and text
+    are numbered, and each number has its own place in the order. Where the cut
+    runs through such a group, as many of its rows as the plan says get one
+    copy more than the others.
     """
-    chosen = plan(sizes(docs, key, text, source), cut="document", seed=seed)
-    chosen = chosen.groupBy("doc_id", "source", "size").agg(F.min("copies").alias("copies")).where("copies > 0")
-    own = docs.withColumn("__mix_size", n_words(F.col(text)))
-    joined = own.alias("d").join(
-        chosen.alias("c"),
-        F.col(f"d.{key}").eqNullSafe(F.col("c.doc_id")) & F.col(f"d.{source}").eqNullSafe(F.col("c.source")) & (F.col("d.__mix_size") == F.col("c.size")),
-    )
-    repeats = joined.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("c.copies"))).alias("__mix_copy"))
-    return repeats.drop("__mix_copy")
+    group = ["doc_id", "source", "size", "text_hash"]
+    hashed = sizes(docs.withColumn("__mix_hash", F.xxhash64(F.col(text))), key, text, source, "__mix_hash")
+    numbered = hashed.groupBy(*group).count().select(*group, F.explode(F.sequence(F.lit(1), F.col("count"))).alias("number"))
+    chosen = plan(numbered, cut="document", seed=seed).groupBy(*group).agg(F.min("copies").alias("copies"), F.sum("copies").alias("all"), F.count(F.lit(1)).alias("n"))
+    chosen = chosen.select(*group, "copies", (F.col("all") - F.col("copies") * F.col("n")).alias("extra")).where("copies > 0 OR extra > 0")
+    chosen = checkpointed(chosen)
+    own = docs.withColumn("__mix_size", n_words(F.col(text))).withColumn("__mix_hash", F.xxhash64(F.col(text)))
+
+    def joined(part: DataFrame) -> DataFrame:
+        same = F.col(f"d.{key}").eqNullSafe(F.col("c.doc_id")) & F.col(f"d.{source}").eqNullSafe(F.col("c.source"))
+        same = same & (F.col("d.__mix_size") == F.col("c.size")) & (F.col("d.__mix_hash") == F.col("c.text_hash"))
+        return own.alias("d").join(part.alias("c"), same)
+
+    cols = [F.col(f"d.`{c}`") for c in docs.columns]
+    out = joined(chosen.where("extra = 0")).select(*cols, F.col("c.copies").alias("__mix_copies"))
+    cut = chosen.where("extra > 0")
+    if cut.limit(1).count():
+        at = F.row_number().over(Window.partitionBy(*[F.col(f"c.{c}") for c in group]).orderBy("c.text_hash"))
+        out = out.unionByName(joined(cut).select(*cols, (F.col("c.copies") + (at <= F.col("c.extra")).cast("long")).alias("__mix_copies")))
+    repeats = out.where("__mix_copies > 0").withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int"))))
+    return repeats.select(*[F.col(f"`{c}`") for c in docs.columns])

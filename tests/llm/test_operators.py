@@ -112,6 +112,13 @@ def test_mixing_slices(spark, monkeypatch):
     assert many == sorted(map(tuple, mixing.plan(sized).collect()))
 
 
+def test_mixing_cuts_through_rows_without_a_key(spark):
+    rows = [(None, "same old words" if i < 100 else f"other word w{i}", "en", "s", 0, 0, "") for i in range(300)]
+    got = collections.Counter(r["text"] for r in mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert sum(got.values()) == 450 and 100 < got["same old words"] < 200
+    assert {n for t, n in got.items() if t != "same old words"} == {1, 2} and len(got) == 201
+
+
 PII = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
