@@ -1,35 +1,50 @@
 """Benchmark decontamination by greedy string tiling.
 
-Documents that share a run of SEED tokens with a benchmark item are candidates.
-For each candidate pair the longest common runs that do not overlap earlier ones
-are marked, longest first, until none of MIN_TILE tokens is left; runs are found
-by Karp-Rabin hashes over prefix sums and then compared token by token. The share
-of the item's tokens under tiles is its coverage. Tiles may stand in any order,
-so a passage whose sentences were shuffled is still covered.
-
-Tokens are words in lower case without punctuation. Items go to the tasks in
-blocks of at most BLOCK_CHARS characters, each block against all documents, so
-what is broadcast has a fixed bound however large the benchmark is.
-
-Defined results: null and empty texts and items of fewer than SEED tokens match
-nothing; repeated documents and items give a row for each; an empty table on
-either side gives an empty result; other columns are not read.
+Documents and benchmark items meet in a join of shared seeds, runs of MIN_TILE
+tokens. For each candidate pair the longest common runs that do not overlap
+earlier ones are marked, longest first, until none of MIN_TILE tokens is left;
+runs are found by Karp-Rabin hashes over prefix sums and then compared token by
+token (tokens are 64-bit hashes of words in lower case without punctuation). The
+share of the item's tokens under tiles is its coverage. Tiles may stand in any
+order, so a passage whose sentences or phrases were shuffled is still covered.
+
+No pair is lost: of an item of n tokens at most n - need(n) may stay uncovered,
+so among any n - need(n) + 1 of its tokens in a row one is covered, and the
+document holds a seed that touches them. Each item is indexed by the seeds at
+the run of that length that the fewest documents share, so a seed that every
+document and every item has brings up nothing.
+
+The documents are read once: a task keeps the stretches of a text whose seeds
+stand in a Bloom filter of the items' seeds (at most 2 ** MOST_BITS bits, a false
+hit costs work and changes nothing), and only texts that have enough of them.
+What is kept is written once; all joins run on it. The items stay in a table.
+
+Defined results: null and empty texts and items without a token match nothing; an
+item of fewer than MIN_TILE tokens is one seed and has to stand word for word;
+repeated documents and items give a row for each, null keys too; an empty table
+on either side gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
-import uuid
+import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from arborix.llm.text import Memo, bare, held, map_texts, small_batches
+from arborix.llm.text import Memo, bare, small_batches
+from arborix.session import checkpointed
 
-SEED, MIN_TILE, COVERAGE = 5, 3, 0.8
-BLOCK_CHARS = 4_000_000
+MIN_TILE, COVERAGE = 3, 0.8
+#: The filter's size: bits for each seed, and its least and most as powers of two.
+SEED_BITS, LEAST_BITS, MOST_BITS = 32, 20, 28
+#: A seed of more documents than this is dealt over several tasks.
+HOT = 10_000
+#: Tables of at most so many rows, or characters of items, may be broadcast.
+BROADCAST_ROWS, BROADCAST_CHARS = 100_000, 4_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -37,6 +52,11 @@ def tokens(text: str | None) -> list[bytes]:
     return [t for w in (text or "").encode().split() if (t := bare(w))]
 
 
+def need(n: int) -> int:
+    """Tokens of an item of n that have to be covered."""
+    return math.ceil(COVERAGE * n - 1e-9)
+
+
 def _prefix(ids: np.ndarray, powers: np.ndarray) -> np.ndarray:
     """H with H[i + s] - H[i] = powers[i] * hash of ids[i : i + s], modulo 2 ** 64."""
     out = np.zeros(len(ids) + 1, np.uint64)
@@ -100,113 +120,215 @@ def tiling(item: np.ndarray, doc: np.ndarray, least: int = MIN_TILE) -> list[tup
     return tiles
 
 
-class Items:
-    """A block of benchmark items, ready for matching."""
 
-    def __init__(self, rows: list[tuple[int | None, str | None]]):
-        self.ids: dict[bytes, int] = {}
-        self.items: list[tuple[int | None, np.ndarray]] = []
-        seeds: dict[int, set[int]] = {}
-        for item_id, text in rows:
-            t = np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in tokens(text)], np.int64)
-            if len(t) < SEED:
-                continue
-            for h in self._seeds(t)[1].tolist():
-                seeds.setdefault(h, set()).add(len(self.items))
-            self.items.append((item_id, t))
-        self.seeds = {h: sorted(x) for h, x in seeds.items()}
-        self.hashes = np.array(sorted(self.seeds), np.uint64)
-        self.words = Memo(self._word, 200_000)
+class Tokens:
+    """64-bit numbers of a text's tokens; 0 is none of them."""
 
-    def _word(self, word: bytes) -> int:
-        """A token's number, 0 for one outside the items, -1 for no token."""
-        token = bare(word)
-        return self.ids.get(token, 0) if token else -1
+    def __init__(self):
+        self.words = Memo(self._word, 200_000)
 
     @staticmethod
-    def _seeds(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, hash) of runs of SEED known tokens."""
-        n = len(ids) - SEED + 1
-        if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        known = np.concatenate([[0], np.cumsum(ids == 0)])
-        start = np.flatnonzero(known[SEED:] == known[:-SEED])
-        h = np.zeros(len(start), np.uint64)
-        for k in range(SEED):
-            h = (h ^ ids[start + k].astype(np.uint64)) * _BASE
-        return start, h
-
-    def match(self, text: bytes | None) -> list[tuple[int | None, float, int, int, int]]:
-        """(item_id, coverage, item tokens, covered tokens, tiles) of items that the text leaks."""
-        if not text or not self.items:
-            return []
-        words = text.split()
-        ids = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-        ids = ids[ids >= 0]
-        _, h = self._seeds(ids)
-        if not len(h):
-            return []
-        hits = h[self.hashes[np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)] == h]
-        out = []
-        for k in sorted({i for x in np.unique(hits).tolist() for i in self.seeds[x]}):
-            item_id, item = self.items[k]
-            own = np.where(np.isin(ids, item), ids, 0)
-            tiles = tiling(item, own)
-            covered = sum(x[2] for x in tiles)
-            if covered >= COVERAGE * len(item):
-                out.append((item_id, covered / len(item), len(item), covered, len(tiles)))
-        return out
-
-
-def blocks(benchmark: DataFrame, item: str, text: str) -> list[list[tuple]]:
-    """Benchmark rows in blocks of bounded size, read one partition at a time."""
-    out, size = [[]], 0
-    for row in benchmark.select(F.col(item).cast("long"), text).toLocalIterator():
-        if out[-1] and size + len(row[1] or "") > BLOCK_CHARS:
-            out.append([])
-            size = 0
-        out[-1].append(tuple(row))
-        size += len(row[1] or "")
-    return out
-
-
-_NAMES = ["item_id", "coverage", "item_tokens", "covered_tokens", "n_tiles"]
-_FOUND = T.ArrayType(T.StructType([T.StructField(n, T.DoubleType() if n == "coverage" else T.LongType()) for n in _NAMES]))
+    def _word(word: bytes) -> int:
+        return (xxhash.xxh64_intdigest(b) or 1) if (b := bare(word)) else 0
+
+    def __call__(self, text: bytes | None) -> np.ndarray:
+        words = text.split() if text else []
+        ids = np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
+        return ids[ids != 0]
+
+
+def seeds(ids: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each run of ``size`` tokens."""
+    n = len(ids) - size + 1
+    h = np.full(max(n, 0), size, np.uint64)
+    for k in range(size if n > 0 else 0):
+        h = (h ^ ids[k : k + n]) * _BASE
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def _places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of a seed in a filter of 2 ** bits."""
+    return h >> np.uint64(64 - bits), (h * _BASE) >> np.uint64(64 - bits)
+
+
+def _items(benchmark: DataFrame, item: str, text: str) -> DataFrame:
+    """(item, item_id, n, ids, seeds) of every item that has tokens; ``item`` numbers the rows."""
+
+    def run(batches):
+        made = Tokens()
+        for batch in small_batches(batches):
+            ids = [made(t) for t in batch.column(1).to_pylist()]
+            own = [seeds(x, min(MIN_TILE, len(x))).view(np.int64) if len(x) else [] for x in ids]
+            columns = [pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(own, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["item_id", "n", "ids", "seeds"])
+
+    slim = benchmark.select(F.col(f"`{item}`").cast("long").alias("item_id"), F.col(f"`{text}`").cast("binary").alias("text"))
+    rows = slim.mapInArrow(run, "item_id long, n long, ids binary, seeds array<long>").where("n > 0")
+    return checkpointed(rows.withColumn("item", F.monotonically_increasing_id()))
+
+
+def _filter(items: DataFrame) -> tuple[int, np.ndarray]:
+    """Bloom filter of the items' seeds: its bits as a power of two, and its 64-bit words."""
+    n = items.agg(F.sum(F.size("seeds"))).first()[0] or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(SEED_BITS * n + 1))))
+
+    def run(batches):
+        for batch in batches:
+            own = np.unique(np.concatenate([x.ravel() for x in _places(batch.column(0).to_numpy().view(np.uint64), bits)]))
+            yield pa.RecordBatch.from_arrays([pa.array((own >> np.uint64(6)).astype(np.int64)), pa.array((own & np.uint64(63)).astype(np.int32))], names=["word", "bit"])
+
+    placed = items.select(F.explode("seeds").alias("seed")).mapInArrow(run, "word long, bit int")
+    found = placed.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask")).toArrow()
+    words = np.zeros(1 << (bits - 6), np.int64)
+    words[found.column("word").to_numpy()] = found.column("mask").to_numpy()
+    return bits, words.view(np.uint64)
+
+
+def _stretches(ids: np.ndarray, sizes: list[int], bits: int, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(stretches, seeds): the tokens under seeds that pass the filter, a 0 between
+    those that are not neighbours, and the distinct seeds that pass."""
+    change, passed = np.zeros(len(ids) + 1, np.int64), []
+    for size in sizes:
+        h = seeds(ids, size)
+        ok = np.ones(len(h), bool)
+        for at in _places(h, bits):
+            ok &= (words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+        start = np.flatnonzero(ok)
+        change[start] += 1
+        np.subtract.at(change, start + size, 1)
+        passed.append(h[start])
+    kept = np.cumsum(change[:-1]) > 0
+    edge = np.flatnonzero(kept[1:] & ~kept[:-1]) + 1
+    out = np.where(kept, ids, np.uint64(0))
+    keep = kept.copy()
+    keep[edge - 1] = True
+    return out[keep], np.unique(np.concatenate(passed)) if passed else np.zeros(0, np.uint64)
+
+
+def _kept(docs: DataFrame, items: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc, doc_id, digest, stretches, seeds) of the texts that hold enough seeds of items."""
+    least = items.agg(F.min("n")).first()[0]
+    if least is None:
+        return checkpointed(docs.sparkSession.createDataFrame([], "doc long, doc_id long, digest string, stretches binary, seeds array<long>"))
+    sizes, enough = list(range(min(MIN_TILE, least), MIN_TILE + 1)), need(least)
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(items))
+
+    def run(batches):
+        (bits, words), made = shared.value, Tokens()
+        for batch in small_batches(batches):
+            at, stretches, found = [], [], []
+            for i, t in enumerate(batch.column(2).to_pylist()):
+                own, passed = _stretches(made(t), sizes, bits, words)
+                if np.count_nonzero(own) >= enough:
+                    at.append(i)
+                    stretches.append(own.tobytes())
+                    found.append(passed.view(np.int64))
+            rows = batch.select([0, 1]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(stretches, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "digest", "stretches", "seeds"])
+
+    body = F.col(f"`{text}`")
+    slim = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.md5(body).alias("digest"), body.cast("binary").alias("text"))
+    rows = slim.mapInArrow(run, "doc_id long, digest string, stretches binary, seeds array<long>")
+    return checkpointed(rows.withColumn("doc", F.monotonically_increasing_id()))
+
+
+def _index(items: DataFrame, often: DataFrame) -> DataFrame:
+    """(item, seed, often): the seeds that touch each item's rarest run of tokens."""
+    placed = items.select("item", "n", F.posexplode("seeds").alias("at", "seed")).join(often, "seed", "left")
+    listed = placed.groupBy("item", "n").agg(F.sort_array(F.collect_list(F.struct("at", "seed", F.coalesce("often", F.lit(0)).alias("often")))).alias("s"))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                size, n, count = min(MIN_TILE, row["n"]), row["n"], np.array([x["often"] for x in row["s"]], np.int64)
+                run_of, before = n - need(n) + 1, np.concatenate([[0], np.cumsum(count)])
+                first = np.maximum(np.arange(n - run_of + 1) - size + 1, 0)
+                last = np.minimum(np.arange(n - run_of + 1) + run_of, len(count))
+                best = int(np.argmin(before[last] - before[first]))
+                out += [{"item": row["item"], "seed": x["seed"], "often": x["often"]} for x in row["s"][first[best] : last[best]] if x["often"]]
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("item", pa.int64()), ("seed", pa.int64()), ("often", pa.int64())]))
+
+    return listed.mapInArrow(run, "item long, seed long, often long").distinct()
+
+
+def _pairs(kept: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc, item): the pairs that share a seed of the item's index, each once."""
+    shown = kept.select("doc", F.explode("seeds").alias("seed"))
+    often = checkpointed(shown.groupBy("seed").agg(F.count(F.lit(1)).alias("often")))
+    index = checkpointed(_index(items, often))
+    hot = checkpointed(index.where(F.col("often") > HOT).select("seed", F.ceil(F.col("often") / HOT).cast("int").alias("parts")).distinct())
+    n_index, n_hot = index.select("seed").distinct().count(), hot.count()
+    # a hot seed's documents go to ``parts`` places, and the seed's items to each of them
+    deal = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
+    known = index.select("seed").distinct()
+    shown = shown.join(F.broadcast(known) if n_index <= BROADCAST_ROWS else known, "seed", "left_semi")
+    shown = shown.join(deal, "seed", "left").select("doc", "seed", F.pmod("doc", F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    dealt = index.join(deal, "seed", "left").select("item", "seed", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    return shown.join(dealt, ["seed", "part"]).select("doc", "item").distinct()
+
+
+def _matches(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, item_text: str) -> DataFrame:
+    """(doc_id, digest, item_id, coverage, ...) of every pair that reaches COVERAGE."""
+    items = _items(benchmark, item, item_text)
+    kept = _kept(docs, items, key, text)
+    pairs = _pairs(kept, items)
+    chars = items.agg(F.sum(F.length("ids"))).first()[0] or 0
+    own = items.select("item", "item_id", "ids")
+    # an item that many documents share is dealt over several tasks too
+    parts = 1 if chars <= BROADCAST_CHARS else 16
+    own = F.broadcast(own) if parts == 1 else own.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    both = pairs.join(kept.select("doc", "doc_id", "digest", "stretches"), "doc")
+    both = both.join(own, "item") if parts == 1 else both.withColumn("part", F.pmod("doc", F.lit(parts)).cast("int")).join(own, ["item", "part"])
+
+    def run(batches):
+        for batch in small_batches(batches):
+            at, found = [], []
+            for i, (s, w) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+                text_ids, ids = np.frombuffer(s, np.uint64), np.frombuffer(w, np.uint64)
+                got = coverage(ids, text_ids)
+                if got is not None:
+                    at.append(i)
+                    found.append((got[0] / len(ids), len(ids), *got))
+            rows = batch.select([0, 1, 2]).take(pa.array(at, pa.int64()))
+            made = [pa.array(list(x), pa.float64() if k == 0 else pa.int64()) for k, x in enumerate(zip(*found, strict=True))] if found else [pa.array([], t) for t in (pa.float64(), *[pa.int64()] * 3)]
+            yield pa.RecordBatch.from_arrays([*rows.columns, *made], names=["doc_id", "digest", "item_id", "coverage", "item_tokens", "covered_tokens", "n_tiles"])
+
+    schema = "doc_id long, digest string, item_id long, coverage double, item_tokens long, covered_tokens long, n_tiles long"
+    return both.select("doc_id", "digest", "item_id", "stretches", "ids").mapInArrow(run, schema)
+
+
+def coverage(item: np.ndarray, doc: np.ndarray) -> tuple[int, int] | None:
+    """(covered tokens, tiles) of an item, None below COVERAGE.
+
+    Tiles lie under shared seeds, so an item whose shared seeds touch too few
+    tokens is turned down before any tiling.
+    """
+    size, least = min(MIN_TILE, len(item)), need(len(item))
+    own = np.flatnonzero(np.isin(seeds(item, size), seeds(doc, size)))
+    touched = np.zeros(len(item), bool)
+    for k in range(size):
+        touched[own + k] = True
+    if np.count_nonzero(touched) < least:
+        return None
+    tiles = tiling(item, np.where(np.isin(doc, item), doc, np.uint64(0)), size)
+    covered = sum(x[2] for x in tiles)
+    return (covered, len(tiles)) if covered >= least else None
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, coverage, ...): every pair whose coverage reaches COVERAGE."""
-    spark, found = docs.sparkSession, None
-    for rows in blocks(benchmark, item, item_text):
-        shared = spark.sparkContext.broadcast(rows)
-
-        def make(shared=shared, name=uuid.uuid4().hex):
-            items = held(name, lambda: Items(shared.value))
-            return lambda texts: [[[dict(zip(_NAMES, x, strict=True)) for x in items.match(t)] for t in texts]]
-
-        one = map_texts(docs, key, text, [T.StructField("found", _FOUND)], make)
-        one = one.where(F.size("found") > 0).select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.*")
-        found = one if found is None else found.unionAll(one)
-    return found
+    return _matches(docs, benchmark, key, text, item, item_text).drop("digest")
 
 
-def remove_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents that leak no item, with all their columns.
 
-    Texts are judged where they lie: rows pass through the task that reads them,
-    and nothing is shuffled.
+    A text leaks or does not, whatever its key: the digests of leaking texts are
+    taken out by an anti join, and texts are not shuffled while those are few.
     """
-    spark, kept = docs.sparkSession, docs
-    at, schema = docs.columns.index(text), docs.schema
-    for rows in blocks(benchmark, "item_id", "text"):
-        shared = spark.sparkContext.broadcast(rows)
-
-        def run(batches, shared=shared, name=uuid.uuid4().hex):
-            items = held(name, lambda: Items(shared.value))
-            for batch in small_batches(batches):
-                clean = [not items.match(t.encode() if t else None) for t in batch.column(at).to_pylist()]
-                yield batch.filter(pa.array(clean, pa.bool_()))
-
-        kept = kept.mapInArrow(run, schema)
-    return kept
-
+    found = checkpointed(_matches(docs, benchmark, key, text, item, item_text).select("digest").distinct())
+    few = found.count() <= BROADCAST_ROWS
+    own = F.md5(F.col(f"d.`{text}`")) == F.col("l.digest")
+    return docs.alias("d").join((F.broadcast(found) if few else found).alias("l"), own, "left_anti")

@@ -298,7 +298,66 @@ def test_tiling_equals_naive_tiling():
         assert sum(x[2] for x in got) == sum(x[2] for x in want)
 
 
-def test_decontamination(spark, empty, monkeypatch):
+def covered_naively(item, doc):
+    """(covered, tiles) over all tokens of both."""
+    numbers = {w: k + 1 for k, w in enumerate(dict.fromkeys(item))}
+    tiles = naive_tiling([numbers[w] for w in item], [numbers.get(w, 0) for w in doc], min(3, len(item)))
+    return sum(x[2] for x in tiles), len(tiles)
+
+
+def bench_case(seed):
+    """Documents with reordered, cut and word-swapped items, short items, repeated and null keys."""
+    r = random.Random(seed)
+    vocab = [f"word{i}" for i in range(60)]
+    prose = lambda k: [r.choice(vocab) for _ in range(k)]
+    items = [prose(r.choice([1, 2, 3, 4, 5, 7, 12, 20, 36])) for _ in range(14)]
+    items += [["common", "words", "here", *x] for x in items[-4:]] + [items[0], []]
+    docs = []
+    for _ in range(60):
+        w = list(r.choice(items))
+        step = r.choice([2, 3, 4, 5, 40])
+        pieces = [w[k : k + step] for k in range(0, len(w), step)]
+        r.shuffle(pieces)
+        w = sum((p + (prose(1) if r.random() < 0.3 else []) for p in pieces), [])
+        for k in range(len(w)):
+            if r.random() < 0.08:
+                w[k] = r.choice(vocab)
+        docs.append(["common", "words", "here", *prose(r.choice([0, 3, 30])), *w, *prose(r.choice([0, 4]))])
+    return items, [*docs, docs[0], []]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_decontamination_equals_all_pairs(spark, monkeypatch, seed):
+    monkeypatch.setattr(decontaminate, "HOT", 4)
+    items, texts = bench_case(seed)
+    want = collections.Counter()
+    for i, d in enumerate(texts):
+        for k, x in enumerate(items):
+            n, tiles = covered_naively(x, d) if x else (0, 0)
+            if x and n >= 0.8 * len(x) - 1e-9:
+                want[(i if i % 10 else None, k if k != 3 else None, n, tiles)] += 1
+    docs = spark.createDataFrame([(i if i % 10 else None, " ".join(d)) for i, d in enumerate(texts)] + [(900, None)], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(k if k != 3 else None, " ".join(x)) for k, x in enumerate(items)] + [(91, None), (92, " ?! ")], "item_id long, text string")
+    for chars, rows in ((4_000_000, 100_000), (0, 0)):  # small and large benchmarks
+        monkeypatch.setattr(decontaminate, "BROADCAST_CHARS", chars)
+        monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", rows)
+        got = collections.Counter((x["doc_id"], x["item_id"], x["covered_tokens"], x["n_tiles"]) for x in decontaminate.leaks(docs, bench).collect())
+        assert got == want
+        leaking = {d for d, _, _, _ in want if d is not None}
+        kept = decontaminate.remove_leaks(docs, bench).collect()
+        assert {x["doc_id"] for x in kept if x["doc_id"] is not None} == {i for i in range(len(texts)) if i % 10} - leaking | {900}
+
+
+def test_decontamination_finds_shuffled_phrases(spark):
+    """Five pieces of four tokens in another order: no run of five is shared."""
+    words = [f"w{i}" for i in range(20)]
+    pieces = [words[k : k + 4] for k in (8, 0, 16, 4, 12)]
+    docs = spark.createDataFrame([(1, " x ".join(" ".join(p) for p in pieces)), (2, " ".join(words[:15]))], "doc_id long, text string")
+    got = decontaminate.leaks(docs, spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["item_id"], r["covered_tokens"], r["n_tiles"]) for r in got] == [(1, 7, 20, 5)]
+
+
+def test_decontamination(spark, empty):
     r = random.Random(4)
     vocab = [f"word{i}" for i in range(400)]
     prose = lambda k: [r.choice(vocab) for _ in range(k)]
@@ -314,14 +373,13 @@ def test_decontamination(spark, empty, monkeypatch):
         7: [],
     }
     docs = spark.createDataFrame([(k, " ".join(w), "en", "s", 0, 1, "w") for k, w in rows.items()] + [(8, None, "en", "s", 0, 1, "w")], SCHEMA)
-    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)] + [(90, "too short"), (91, None), (92, "")], "item_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)] + [(90, "not there"), (91, None), (92, "")], "item_id long, text string")
     got = {(x["doc_id"], x["item_id"]) for x in decontaminate.leaks(docs, bench).collect()}
     assert got == {(1, 0), (2, 1), (3, 2), (6, 4)}
-    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 300)  # several blocks, equal answers
-    assert {(x["doc_id"], x["item_id"]) for x in decontaminate.leaks(docs, bench).collect()} == got
-    clean = decontaminate.remove_leaks(docs, bench)
-    assert clean.columns == docs.columns and {x["doc_id"] for x in clean.collect()} == {4, 5, 7, 8}
+    clean = decontaminate.remove_leaks(docs.withColumns({"digest": F.lit("d"), "a.b": F.lit(1)}), bench)
+    assert clean.columns == [*docs.columns, "digest", "a.b"] and {x["doc_id"] for x in clean.collect()} == {4, 5, 7, 8}
     assert decontaminate.leaks(empty, bench).count() == 0 and decontaminate.leaks(docs, bench.limit(0)).count() == 0
+    assert decontaminate.remove_leaks(empty, bench).count() == 0 and decontaminate.remove_leaks(docs, bench.limit(0)).count() == len(rows) + 1
 
 
 def brute_model(trained, order, kappa):
