@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborix.llm.text import Memo, bare, small_batches
+from arborix.llm.text import bare_words, small_batches
 from arborix.session import checkpointed
 
 MIN_TILE, COVERAGE = 3, 0.8
@@ -48,10 +48,6 @@ BROADCAST_ROWS, BROADCAST_CHARS = 100_000, 4_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return [t for w in (text or "").encode().split() if (t := bare(w))]
-
-
 def need(n: int) -> int:
     """Tokens of an item of n that have to be covered."""
     return math.ceil(COVERAGE * n - 1e-9)
@@ -121,20 +117,10 @@ def tiling(item: np.ndarray, doc: np.ndarray, least: int = MIN_TILE) -> list[tup
 
 
 
-class Tokens:
-    """64-bit numbers of a text's tokens; 0 is none of them."""
-
-    def __init__(self):
-        self.words = Memo(self._word, 200_000)
-
-    @staticmethod
-    def _word(word: bytes) -> int:
-        return (xxhash.xxh64_intdigest(b) or 1) if (b := bare(word)) else 0
-
-    def __call__(self, text: bytes | None) -> np.ndarray:
-        words = text.split() if text else []
-        ids = np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
-        return ids[ids != 0]
+def numbers(text: bytes | None) -> np.ndarray:
+    """64-bit hashes of a text's tokens, none of them 0."""
+    words = bare_words(text)
+    return np.maximum(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)), np.uint64(1))
 
 
 def seeds(ids: np.ndarray, size: int) -> np.ndarray:
@@ -156,9 +142,8 @@ def _items(benchmark: DataFrame, item: str, text: str) -> DataFrame:
     """(item, item_id, n, ids, seeds) of every item that has tokens; ``item`` numbers the rows."""
 
     def run(batches):
-        made = Tokens()
         for batch in small_batches(batches):
-            ids = [made(t) for t in batch.column(1).to_pylist()]
+            ids = [numbers(t) for t in batch.column(1).to_pylist()]
             own = [seeds(x, min(MIN_TILE, len(x))).view(np.int64) if len(x) else [] for x in ids]
             columns = [pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(own, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["item_id", "n", "ids", "seeds"])
@@ -215,11 +200,11 @@ def _kept(docs: DataFrame, items: DataFrame, key: str, text: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(_filter(items))
 
     def run(batches):
-        (bits, words), made = shared.value, Tokens()
+        bits, words = shared.value
         for batch in small_batches(batches):
             at, stretches, found = [], [], []
             for i, t in enumerate(batch.column(2).to_pylist()):
-                own, passed = _stretches(made(t), sizes, bits, words)
+                own, passed = _stretches(numbers(t), sizes, bits, words)
                 if np.count_nonzero(own) >= enough:
                     at.append(i)
                     stretches.append(own.tobytes())

@@ -62,7 +62,9 @@ QUERIES = {f.__name__: f for f in (op1_url_filter, op2_lm_scoring, op3_quality_r
 #: one running sum for each source in the order of the hash-random key.
 OP4_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         'mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(md5(text), '') || ':'
+         || (row_number() OVER (PARTITION BY doc_id, source, text) - 1) AS drawn FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
 ), w AS (
@@ -77,7 +79,7 @@ WITH sized AS (
 ), r AS (
   SELECT doc_id, size, source_size, target,
          coalesce(CAST(floor(target / nullif(source_size, 0)) AS BIGINT), 0) AS epochs,
-         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(drawn), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM sized d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,

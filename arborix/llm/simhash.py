@@ -5,11 +5,12 @@ segments are a point in space, and the Manhattan distance of two points is a
 lower bound of their fingerprints' Hamming distance. Kept in unary (0: 00, 1: 01,
 2: 11), the point is a 64-bit number and the distance is a bit count.
 
-The segments are dealt into three groups. Two points at distance 4 or less are
-at distance 0 or 1 in some group, so a grid of cells, one for each group and the
-counts in it, finds every pair: a fingerprint stands at home in its own cell of
-each group and is also shown to the cells one step up in one segment. Pairs that
-meet are held to the Manhattan bound, then to the exact distance.
+The segments are dealt into g groups. Two points at distance 4 or less differ in
+at most four groups, so they are equal in some g - 4. A grid of cells, one for
+every choice of g - 4 groups and the counts in them, therefore brings every pair
+together; those that meet are held to the Manhattan bound, then to the exact
+distance. More groups make more rows and smaller cells, so g grows with the
+number of fingerprints (groups_for), and pairs in a cell stay few.
 
 Equal fingerprints are one from the start. A cell with more than CELL rows is
 cut into blocks by hash, and every pair of blocks is a unit of its own, so no
@@ -19,17 +20,21 @@ jumping, on tables.
 
 Defined results: a null or empty text has fingerprint 0 and links like any
 other; a text of fewer words than a shingle is one shingle; repeated rows share
-a component; an empty table gives an empty result; other columns are not read.
+a component, and of them one row stays, null keys included; a component whose
+keys are all null has none; an empty table gives an empty result; other columns
+are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,7 +44,7 @@ from arborix.session import checkpointed
 SHINGLE, DISTANCE, SEED = 4, 4, 42
 #: Rows of a cell, or of two blocks of one, that a task holds at a time.
 CELL = 8192
-#: A table of at most this many rows of two longs (16 MB) may be broadcast.
+#: A table of at most this many rows of three longs (24 MB) may be broadcast.
 BROADCAST_ROWS = 1_000_000
 _PAIRS = 2_000_000
 
@@ -73,17 +78,29 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: Column | None = None) -> DataFrame:
+    """(doc_id, fp): fp is the fingerprint as a signed long. ``digest`` is carried along."""
 
     def make():
         return lambda texts: [np.array([fingerprint(shingle_hashes(folded_words(t))) for t in texts], np.uint64).view(np.int64)]
 
-    return map_texts(docs, key, text, [T.StructField("fp", T.LongType())], make)
+    return map_texts(docs, key, text, [T.StructField("fp", T.LongType())], make, {} if digest is None else {"digest": digest})
 
 
 _LOW = np.uint64(0x5555555555555555)
-_GROUPS = [(0, 11), (11, 22), (22, 32)]
+#: A row of a cell costs as much as so many comparisons of two fingerprints.
+ROW_COST = 200
+#: Rows that a side of a join may repeat, to deal a hot key over as many places.
+SALTS = 16
+
+
+def groups_for(n: int) -> int:
+    """The number of groups with the least work for n fingerprints: rows and pairs of cells.
+
+    A segment's count is 0, 1 or 2 with chances 1/4, 1/2 and 1/4, 1.5 bits.
+    """
+    work = lambda g: math.comb(g, DISTANCE) * (ROW_COST + n / 2 ** (48 * (g - DISTANCE) / g))
+    return min(range(DISTANCE + 1, 13), key=work)
 
 
 def embed(fps: np.ndarray) -> np.ndarray:
@@ -92,21 +109,14 @@ def embed(fps: np.ndarray) -> np.ndarray:
     return (odd | even) | ((odd & even) << np.uint64(1))
 
 
-def cells(fps: np.ndarray) -> pd.DataFrame:
-    """(grid, cell, shown, fp): where each fingerprint stands and is shown."""
-    points, out = embed(fps), []
-    signed = fps.view(np.int64)
-    for g, (a, b) in enumerate(_GROUPS):
-        own = points & np.uint64(((1 << 2 * b) - 1) ^ ((1 << 2 * a) - 1))
-        out.append((g, own, False, signed))
-        for s in range(a, b):
-            low, high = np.uint64(1 << 2 * s), np.uint64(2 << 2 * s)
-            up = np.where(own & low == 0, low, high)
-            room = own & high == 0
-            out.append((g, (own | up)[room], True, signed[room]))
-    return pd.concat(
-        [pd.DataFrame({"grid": np.int32(g), "cell": c.view(np.int64), "shown": shown, "fp": f}) for g, c, shown, f in out], ignore_index=True
-    )
+def cells(fps: np.ndarray, groups: int) -> pd.DataFrame:
+    """(grid, cell, fp): the cell of each fingerprint for each choice of groups."""
+    points, edges = embed(fps), [32 * i // groups for i in range(groups + 1)]
+    masks = [((1 << 2 * b) - 1) ^ ((1 << 2 * a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
+    chosen = [np.uint64(sum(m)) for m in combinations(masks, groups - DISTANCE)]
+    own = np.concatenate([points & m for m in chosen]).view(np.int64)
+    grid = np.repeat(np.arange(len(chosen), dtype=np.int32), len(fps))
+    return pd.DataFrame({"grid": grid, "cell": own, "fp": np.tile(fps.view(np.int64), len(chosen))})
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,11 +137,11 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[other], nodes[root[other]]
 
 
-def unit_links(unit: np.ndarray, shown: np.ndarray, block: np.ndarray, cross: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links among rows that are sorted by unit, those at home first."""
+def unit_links(unit: np.ndarray, block: np.ndarray, cross: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links among rows that are sorted by unit."""
     n = len(unit)
     stop = np.searchsorted(unit, unit, side="right") if n else np.zeros(0, np.int64)
-    todo = np.where(shown, 0, stop - np.arange(n) - 1)
+    todo = stop - np.arange(n) - 1
     points, found = embed(fps), []
     ends = np.cumsum(todo)
     at = 0
@@ -153,24 +163,26 @@ def unit_links(unit: np.ndarray, shown: np.ndarray, block: np.ndarray, cross: np
 
 def links(distinct: DataFrame) -> DataFrame:
     """(a, b): links that connect all distinct fingerprints ``fp`` within DISTANCE."""
+    groups = groups_for(distinct.count())
+
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fps = batch["fp"].to_numpy(np.int64).view(np.uint64)
-            for at in range(0, len(fps), 20_000):
-                yield cells(fps[at : at + 20_000])
+            for at in range(0, len(fps), 5000):
+                yield cells(fps[at : at + 5000], groups)
 
-    placed = distinct.select("fp").mapInPandas(place, "grid int, cell long, shown boolean, fp long")
+    placed = distinct.select("fp").mapInPandas(place, "grid int, cell long, fp long")
     crowded = checkpointed(placed.groupBy("grid", "cell").count().where(F.col("count") > CELL))
     n_crowded = crowded.count()
     if n_crowded:
         crowded = F.broadcast(crowded) if n_crowded <= BROADCAST_ROWS else crowded
         blocks = F.coalesce(F.ceil(F.col("count") * 2 / CELL), F.lit(1)).cast("int")
-        cut = placed.join(crowded, ["grid", "cell"], "left").select("grid", "cell", "shown", "fp", blocks.alias("blocks"))
+        cut = placed.join(crowded, ["grid", "cell"], "left").select("grid", "cell", "fp", blocks.alias("blocks"))
         cut = cut.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
         cut = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        cut = cut.select("grid", "cell", "shown", "fp", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+        cut = cut.select("grid", "cell", "fp", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     else:
-        cut = placed.select("grid", "cell", "shown", "fp", *[F.lit(0).alias(c) for c in ("block", "low", "high")])
+        cut = placed.select("grid", "cell", "fp", *[F.lit(0).alias(c) for c in ("block", "low", "high")])
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unit_of = ["grid", "cell", "low", "high"]
@@ -184,7 +196,7 @@ def links(distinct: DataFrame) -> DataFrame:
         if held is not None:
             yield from _verified(held)
 
-    order = ["grid", "cell", "low", "high", "shown"]
+    order = ["grid", "cell", "low", "high"]
     dealt = cut.repartition("grid", "cell", "low", "high").sortWithinPartitions(*order)
     return dealt.mapInPandas(verify, "a long, b long")
 
@@ -196,13 +208,22 @@ def _verified(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
     unit = np.concatenate([[0], np.cumsum((parts[1:] != parts[:-1]).any(axis=1))])
     cross = (rows["low"] != rows["high"]).to_numpy()
     fps = rows["fp"].to_numpy(np.int64).view(np.uint64)
-    a, b = unit_links(unit, rows["shown"].to_numpy(), rows["block"].to_numpy(), cross, fps)
+    a, b = unit_links(unit, rows["block"].to_numpy(), cross, fps)
     if len(a):
         yield pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _looked_up(rows: DataFrame, column: str, found: DataFrame, n: int, by: Column | None = None) -> DataFrame:
+    """rows with the columns of found (node, ...) whose node is in ``column``.
+
+    A small table is broadcast. A large one is repeated SALTS times, so that the
+    rows of one hot value, told apart by ``by``, lie in as many tasks.
+    """
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(found), F.col(column) == F.col("node")).drop("node")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*rows.columns) if by is None else by, F.lit(SALTS)).cast("int"))
+    copies = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, (F.col(column) == F.col("node")) & (salted["salt"] == copies["salt"])).drop("node", "salt")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -216,10 +237,10 @@ def components(edges: DataFrame) -> DataFrame:
     labels = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
     n = labels.count()
     while n:
-        seen = _small(labels, n).alias("l")
-        near = both.alias("e").join(seen, F.col("e.b") == F.col("l.node")).groupBy("e.a").agg(F.min("l.label").alias("m"))
-        lower = labels.alias("o").join(near.alias("n"), F.col("o.node") == F.col("n.a")).select("o.node", F.col("o.label").alias("was"), F.least("o.label", "n.m").alias("label"))
-        jump = lower.alias("x").join(seen, F.col("x.label") == F.col("l.node")).select("x.node", "x.was", F.least("x.label", "l.label").alias("label"))
+        own = labels.select(F.col("node").alias("a"), F.col("label").alias("was"), "label", F.lit(True).alias("own"))
+        near = _looked_up(both, "b", labels, n).select("a", F.lit(None).cast("long").alias("was"), "label", F.lit(False).alias("own"))
+        lower = own.unionByName(near).groupBy("a").agg(F.max("was").alias("was"), F.min("label").alias("low"))
+        jump = _looked_up(lower, "low", labels, n).select(F.col("a").alias("node"), "was", F.least("low", "label").alias("label"))
         jump = checkpointed(jump)
         changed = jump.where("was <> label").limit(1).count()
         labels = jump.select("node", "label")
@@ -228,31 +249,47 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
+def _labels(marked: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Distinct fingerprints with their least key, and (node, label) of those that link."""
+    classes = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    labels = checkpointed(components(links(classes)))
+    return classes, labels, labels.count()
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint as 16 hex digits, component_id (the least doc_id reachable)."""
     marked = checkpointed(fingerprints(docs, key, text))
-    classes = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    labels = components(links(classes))
-    grouped = classes.join(labels, classes["fp"] == labels["node"], "left").select(
-        "fp", "first", F.coalesce("label", "fp").alias("label")
-    )
-    least = grouped.groupBy("label").agg(F.min("first").alias("component_id"))
-    of_fp = grouped.join(least, "label").select("fp", "component_id")
-    return marked.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes, labels, n = _labels(marked)
+    linked = labels.join(classes, F.col("node") == F.col("fp")).select("fp", "first", "label")
+    least = linked.groupBy("label").agg(F.min("first").alias("least")).select(F.col("label").alias("node"), "least")
+    of_fp = _looked_up(linked.select("fp", "label"), "label", least, n).select(F.col("fp").alias("node"), "least")
+    both = classes.join(of_fp, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("node"), F.coalesce("least", "first").alias("component_id"))
+    joined = _looked_up(marked, "fp", both, classes.count(), F.monotonically_increasing_id())
+    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The document with the least key of each component, with all its columns.
+    """One row of each component, with all its columns: that of the least key.
 
-    Rows that repeat a key are one document: one of them stays. Rows without a
-    key cannot be told apart and all stay.
+    Null keys come last; rows of one key are told apart by the digest of their
+    text, and where key and text repeat too, one of those rows stays.
     """
-    classes = near_duplicates(docs, key, text).where(F.col("doc_id") == F.col("component_id"))
-    found = checkpointed(classes.groupBy("doc_id").count())
-    doc = docs.alias("d")
-    once, twice = found.where("count = 1").alias("k"), found.where("count > 1").alias("k")
-    same = F.col(f"d.{key}").cast("long") == F.col("k.doc_id")
-    kept = doc.join(once, same, "left_semi").unionByName(docs.where(F.col(key).isNull()))
-    if not twice.isEmpty():
-        kept = kept.unionByName(doc.join(twice, same, "left_semi").dropDuplicates([key]))
+    body = F.col(f"`{text}`")
+    marked = checkpointed(fingerprints(docs, key, text, F.md5(body)))
+    _, labels, n = _labels(marked)
+    of_fp = labels.withColumnRenamed("label", "root")
+    # fingerprints that link to none are components of their own, so they need no join
+    linked = _looked_up(marked, "fp", of_fp, n).select("doc_id", "digest", F.col("root").alias("component"))
+    alone = marked.join(F.broadcast(of_fp) if n <= BROADCAST_ROWS else of_fp, F.col("fp") == F.col("node"), "left_anti").select("doc_id", "digest", F.col("fp").alias("component"))
+    first = F.struct(F.col("doc_id").isNull().alias("keyless"), "doc_id", F.coalesce("digest", F.lit("")).alias("digest"))
+    rows = linked.unionByName(alone).groupBy("component", first.alias("row")).agg(F.count(F.lit(1)).alias("n"))
+    best = rows.groupBy("component").agg(F.min(F.struct("row", "n")).alias("best")).select("best.row.doc_id", "best.row.digest", "best.n")
+    best = checkpointed(best)
+    same = F.col(f"d.`{key}`").cast("long").eqNullSafe(F.col("k.doc_id")) & (F.coalesce(F.md5(F.col(f"d.`{text}`")), F.lit("")) == F.col("k.digest"))
+    doc, once, twice = docs.alias("d"), best.where("n = 1").alias("k"), best.where("n > 1")
+    kept = doc.join(once, same, "left_semi")
+    n_twice = twice.count()
+    if n_twice:
+        twice = F.broadcast(twice) if n_twice <= BROADCAST_ROWS else twice
+        kept = kept.unionByName(doc.join(twice.alias("k"), same, "left_semi").dropDuplicates([key, text]))
     return kept

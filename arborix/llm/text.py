@@ -16,8 +16,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 SPACE = r"[\x20\x09-\x0D]+"
 _NOT_ALNUM = re.compile(r"[^\w]|_")
+_NOT_ALNUM_INSIDE = re.compile(r"[^\w \t\n\v\f\r]+|_+")
 _LOWER = bytes(range(256)).lower()
 _DROPPED = bytes(c for c in range(128) if not chr(c).isalnum())
+_DROPPED_INSIDE = bytes(c for c in _DROPPED if c not in b" \t\n\v\f\r")
 
 
 def words(text: Column) -> Column:
@@ -29,6 +31,14 @@ def n_words(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """A column name that is not among ``columns``, in whatever case."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def folded_words(data: bytes | None) -> list[bytes]:
     """Words of a UTF-8 text with A-Z lower-cased. Both steps touch ASCII only."""
     return data.lower().split() if data else []
@@ -41,6 +51,15 @@ def bare(word: bytes) -> bytes:
     return _NOT_ALNUM.sub("", word.decode("utf-8", "replace").lower()).encode()
 
 
+def bare_words(data: bytes | None) -> list[bytes]:
+    """bare() of all words of a text, without the empty ones."""
+    if not data:
+        return []
+    if data.isascii():
+        return data.translate(_LOWER, _DROPPED_INSIDE).split()
+    return _NOT_ALNUM_INSIDE.sub("", data.decode("utf-8", "replace").lower()).encode().split()
+
+
 class Memo(dict):
     """word -> f(word), worked out once for each word that is in reach.
 
@@ -81,21 +100,23 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterat
             yield batch.slice(at, rows)
 
 
-def map_texts(docs: DataFrame, key: str, text: str, fields: list[T.StructField], make: Callable) -> DataFrame:
-    """doc_id and what a function makes of each whole text, in Arrow batches.
+def map_texts(docs: DataFrame, key: str, text: str, fields: list[T.StructField], make: Callable, carried: dict[str, Column] | None = None) -> DataFrame:
+    """doc_id, the strings of ``carried`` and what a function makes of each whole text.
 
     ``make()`` runs once in a task and returns a function from a list of texts
     (bytes or None) to one list or array for each of ``fields``. Keys pass
     through untouched, so null keys stay null and large ones exact.
     """
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), *fields])
+    extra = carried or {}
+    n = 1 + len(extra)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(c, T.StringType()) for c in extra], *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f, arrow = make(), to_arrow_schema(schema)
         for batch in small_batches(batches):
-            made = f(batch.column(1).to_pylist())
-            columns = [batch.column(0), *[pa.array(x, type=field.type) for x, field in zip(made, list(arrow)[1:], strict=True)]]
+            made = f(batch.column(n).to_pylist())
+            columns = [*batch.columns[:n], *[pa.array(x, type=field.type) for x, field in zip(made, list(arrow)[n:], strict=True)]]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    slim = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), *[x.alias(c) for c, x in extra.items()], F.col(f"`{text}`").cast("binary").alias("text"))
     return slim.mapInArrow(run, schema)

@@ -99,24 +99,43 @@ def test_mixing_against_loops(docs, empty):
     assert mixing.plan(mixing.sizes(empty)).count() == 0
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns
-    copies = collections.Counter((r["doc_id"], r["text"]) for r in mixed.collect())
-    assert max(copies.values()) <= 2 * 2  # a row that stands twice counts twice
+    left = collections.Counter(r["source"] for r in mixed.collect())
+    assert set(left) <= set(names)
 
 
 def test_mixing_slices(spark, monkeypatch):
+    rows = [(i if i % 5 else None, "a" if i % 3 else "b", 1 + i % 7, f"t{i % 9}") for i in range(300)] + [(1, "a", 3, "same")] * 50
+    sized = spark.createDataFrame(rows, "doc_id long, source string, size long, text_hash string")
+    want = sorted(map(str, mixing.plan(sized).collect()))
     monkeypatch.setattr(mixing, "SLICE", 8)
-    rows = [(i, "a" if i % 3 else "b", 1 + i % 7) for i in range(300)]
-    sized = spark.createDataFrame(rows, "doc_id long, source string, size long")
-    many = sorted(map(tuple, mixing.plan(sized).collect()))
-    monkeypatch.setattr(mixing, "SLICE", 10_000)
-    assert many == sorted(map(tuple, mixing.plan(sized).collect()))
+    monkeypatch.setattr(mixing, "BLOCK", 4)
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, mixing.plan(sized.repartition(5)).collect())) == want
 
 
-def test_mixing_cuts_through_rows_without_a_key(spark):
-    rows = [(None, "same old words" if i < 100 else f"other word w{i}", "en", "s", 0, 0, "") for i in range(300)]
-    got = collections.Counter(r["text"] for r in mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect())
-    assert sum(got.values()) == 450 and 100 < got["same old words"] < 200
-    assert {n for t, n in got.items() if t != "same old words"} == {1, 2} and len(got) == 201
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_mix_meets_its_targets(spark, monkeypatch, seed):
+    """Repeated rows, null keys and sources, clashing names: each source within a document of its target."""
+    r = random.Random(seed)
+    names = "doc_id long, text string, source string, size long, copies int, mix_size string, number int, extra int"
+    rows = [(r.choice([None, 1, 2, 3, k]), " ".join(["w"] * r.choice([0, 1, 4, 9, 9, 9])) or None, r.choice(["a", "a", "a", "b", None]), 5, 6, "x", k, 7) for k in range(150)]
+    rows += [(None, "four words are here", "c", 1, 2, "y", 3, 4)] * 37
+    docs = spark.createDataFrame(rows, names).repartition(4)
+    wanted = {x["source"]: x["target"] for x in mixing.plan(mixing.sizes(docs), cut="document").select("source", "target").distinct().collect()}
+    if seed == 2:
+        monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(mixing, "BLOCK", 5)
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    got, taken, size = mixed.collect(), collections.Counter(), collections.Counter()
+    for x in got:
+        taken[x["source"]] += len(words(x["text"]))
+    for x in rows:
+        size[x[2]] += len(words(x[1]))
+    assert set(map(tuple, got)) <= set(rows)
+    assert all(abs(taken[s] - t) <= 9 / 2 + 1 for s, t in wanted.items()), (taken, wanted)
+    copies, there = collections.Counter(map(tuple, got)), collections.Counter(rows)
+    assert all(n <= 2 * there[x] for x, n in copies.items())
 
 
 PII = {
@@ -244,12 +263,37 @@ def test_simhash_fingerprints(docs, empty):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     ids = [r["doc_id"] for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted(least.values()) and ids.count(None) == 1
+    assert sorted(i for i in ids if i is not None) == sorted(least.values()) and len(ids) == len(set(group.values()))
 
 
-@pytest.mark.parametrize("cell", [8192, 16])
-def test_simhash_links(spark, monkeypatch, cell):
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_keep_one_is_by_row(spark, monkeypatch, broadcast):
+    """Repeated and null keys: one row for each component, whatever the keys are."""
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", broadcast)
+    r = random.Random(3)
+    prose = [" ".join(f"w{r.randint(0, 10**6)}" for _ in range(30)) for _ in range(12)] + ["", None]
+    rows = [(5, prose[0], 1), (5, prose[1], 2), (6, prose[2], 3), (3, prose[1], 4), (6, prose[1], 5)]
+    rows += [(None, prose[3], 6), (None, prose[3], 7), (None, prose[4], 8), (9, prose[4], 9), (7, prose[5], 10), (7, prose[5], 10)]
+    rows += [(r.choice([None, 1, 2, 8]), r.choice(prose), k) for k in range(20, 80)] + [(11, None, 90), (12, "", 91)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp int").withColumn("a.b", F.lit("x")).repartition(3)
+    got = simhash.keep_one(docs)
+    assert got.columns == docs.columns
+    left, group = got.collect(), closest({fingerprint(t) for t in prose})
+    assert len(left) == len(set(group.values())) and {tuple(x)[:3] for x in left} <= set(rows)
+    for x in left:
+        own = [k for k, t, _ in rows if group[fingerprint(t)] == group[fingerprint(x["text"])]]
+        assert x["doc_id"] == min((k for k in own if k is not None), default=None)
+
+
+def test_simhash_groups_grow():
+    assert [simhash.groups_for(n) for n in (0, 10**5, 10**7, 10**10)] == sorted(simhash.groups_for(n) for n in (0, 10**5, 10**7, 10**10))
+    assert simhash.groups_for(0) == 5 and simhash.groups_for(10**10) >= 9
+
+
+@pytest.mark.parametrize("cell,groups", [(8192, 5), (16, 5), (16, 6), (64, 9)])
+def test_simhash_links(spark, monkeypatch, cell, groups):
     monkeypatch.setattr(simhash, "CELL", cell)
+    monkeypatch.setattr(simhash, "groups_for", lambda n: groups)
     r = random.Random(11)
     fps = {0, 2**64 - 1, 2**63}
     for _ in range(12):
