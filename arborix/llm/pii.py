@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arborix.llm.quality_rules import let
+from arborix.functions.text import let
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: Countries of the IBAN registry by the length of their numbers.

@@ -1,10 +1,16 @@
 """Quality rules by weak supervision.
 
 Each rule looks at counts of a text and votes good (1), bad (-1) or abstains
-(0). Expectation-maximisation estimates how often each rule is right without
-any label, and the posterior probability that a text is good decides. Only
-DataFrame functions run on the executors; EM works on the histogram of vote
-patterns, which has at most 3 ** len(RULES) rows whatever the input.
+(0). Expectation-maximisation estimates without any label how often good and bad
+texts get each vote of each rule, and the posterior probability that a text is
+good decides: a rule that many good texts fail weighs little, and rules that fail
+together confirm one another. Only DataFrame functions run on the executors; EM
+works on the histogram of vote patterns, which has at most 3 ** len(RULES) rows
+whatever the input.
+
+Nothing holds the chances but a prior worth PRIOR_WEIGHT texts, which says that
+most texts are good and that good texts get good votes more often than bad ones.
+It tells the two classes apart, and decides where there are few texts.
 
 Defined results: a null or empty text has no word, so every count is 0 and the
 base rule rejects it; repeated rows get equal answers; an empty table gives an
@@ -18,38 +24,32 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arborix.llm.text import SPACE
-from arborix.session import checkpointed
+from arborix.functions.text import let
+from arborix.llm.text import SPACE, fresh
+from arborix.session import checkpointed, written
 
-#: (name, measure, good at, bad at): measure <= good votes good, measure >= bad
-#: votes bad, in between the rule abstains; reversed where good > bad, and
-#: measure < -bad where bad is negative. Most rules know
-#: only junk and never vote good: votes for a text that is merely not junk would
-#: repeat one another.
+#: (name, count, count that it is divided by, good at, bad at): a share up to
+#: ``good`` votes good, one from ``bad`` on votes bad, in between the rule
+#: abstains; the other way round where good > bad.
 RULES = [
-    ("length", "n_words", 100.0, 50.0),
-    ("symbols", "n_symbols / greatest(n_words, 1)", None, 0.10),
-    ("bangs", "n_bangs / greatest(n_words, 1)", None, 0.25),
-    ("repeats", "n_repeat_words / greatest(n_words, 1)", None, 0.40),
-    ("dup_lines", "n_dup_lines / greatest(n_lines, 1)", None, 0.40),
-    ("word_long", "word_chars / greatest(n_words, 1)", 8.0, 13.0),
-    ("word_short", "word_chars / greatest(n_words, 1)", None, -2.5),
-    ("capitals", "n_capitals / greatest(word_chars, 1)", None, 0.50),
+    ("symbols", "n_symbols", "n_words", 0.02, 0.10),
+    ("marks", "n_marks", "word_chars", 0.05, 0.08),
+    ("word_length", "word_chars", "n_words", 7.0, 7.5),
+    ("open_lines", "n_open_lines", "n_lines", 0.02, 0.10),
+    ("repeats", "n_repeat_words", "n_words", 0.02, 0.15),
+    ("dup_lines", "n_dup_lines", "n_lines", 0.0, 0.20),
+    ("capitals", "n_capitals", "word_chars", 0.05, 0.30),
+    ("length", "n_words", None, 100.0, 75.0),
 ]
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_marks", "n_capitals", "n_lines", "n_dup_lines", "n_open_lines", "n_repeat_words"]
+#: Punctuation and digits of ASCII.
+MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalpha())
 
 MIN_WORDS = 50
-#: Where EM begins, and a prior worth PRIOR_WEIGHT texts: the share of good texts
-#: and the chances of the votes bad, none and good on a good and on a bad text.
+#: Where EM begins, and its prior: the share of good texts, and the chances of
+#: the votes bad, none and good on a good and on a bad text.
 PRIOR_GOOD, PRIOR_WEIGHT = 0.9, 20.0
-PRIOR_VOTES = ((0.0005, 0.7995, 0.20), (0.25, 0.60, 0.15))
-#: A bad vote is rare on good texts and not rare on bad ones: chances stay below
-#: and above these, so that a rule never turns against its meaning.
-MOST_FALSE, LEAST_FOUND = 0.0005, 0.15
-
-
-def let(value: Column, body) -> Column:
-    """body(value) with value computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+PRIOR_VOTES = ((0.05, 0.25, 0.70), (0.40, 0.35, 0.25))
 
 
 def _repeat_words(words: Column) -> Column:
@@ -84,95 +84,85 @@ def _repeat_words(words: Column) -> Column:
     return let(keys, total)
 
 
-def with_counts(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
-    """docs with the counts that the rules read, as long columns."""
-    p = lambda name: f"{prefix}{name}"
-    body = F.coalesce(F.col(text), F.lit(""))
+def with_counts(docs: DataFrame, text: str = "text", names: dict[str, str] | None = None) -> DataFrame:
+    """docs with the counts that the rules read, as long columns; ``names`` renames them."""
+    name = {c: c for c in [*COUNTS, "words", "lines"]} | (names or {})
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     removed = lambda chars: F.length(body) - F.length(F.translate(body, chars, ""))
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     first = docs.withColumns(
         {
-            p("words"): F.filter(F.split(body, SPACE), lambda w: w != ""),
-            p("lines"): lines,
-            p("word_chars"): F.length(F.translate(body, " \t\n\x0b\f\r", "")).cast("long"),
-            p("n_symbols"): removed("#*$%&|<>").cast("long"),
-            p("n_bangs"): removed("!").cast("long"),
-            p("n_capitals"): removed("ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long"),
+            name["words"]: F.filter(F.split(body, SPACE), lambda w: w != ""),
+            name["lines"]: lines,
+            name["word_chars"]: F.length(F.translate(body, " \t\n\x0b\f\r", "")).cast("long"),
+            name["n_symbols"]: removed("#*$%&|<>").cast("long"),
+            name["n_marks"]: removed(MARKS).cast("long"),
+            name["n_capitals"]: removed("ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long"),
         }
     )
+    ended = F.filter(name["lines"], lambda x: x.rlike(r"[.!?:;\x{3002}\x22)\x{201d}\x{2026}][\x20\x09-\x0D]*$"))
     return first.withColumns(
         {
             # spark_partition_id() is not deterministic to the optimizer, which
             # therefore leaves filters above this projection: pushed below, they
             # would work out the costly counts once for every mention
-            p("n_words"): F.when(F.spark_partition_id() >= 0, F.size(p("words")).cast("long")),
-            p("n_lines"): F.size(p("lines")).cast("long"),
-            p("n_dup_lines"): (F.size(p("lines")) - F.size(F.array_distinct(p("lines")))).cast("long"),
-            p("n_repeat_words"): _repeat_words(F.col(p("words"))).cast("long"),
+            name["n_words"]: F.when(F.spark_partition_id() >= 0, F.size(name["words"]).cast("long")),
+            name["n_lines"]: F.size(name["lines"]).cast("long"),
+            name["n_dup_lines"]: (F.size(name["lines"]) - F.size(F.array_distinct(name["lines"]))).cast("long"),
+            name["n_open_lines"]: (F.size(name["lines"]) - F.size(ended)).cast("long"),
+            name["n_repeat_words"]: _repeat_words(F.col(name["words"])).cast("long"),
         }
-    ).drop(p("words"), p("lines"))
+    ).drop(name["words"], name["lines"])
 
 
-def base_failed(prefix: str = "") -> Column:
-    n, r = F.col(f"{prefix}n_words"), F.col(f"{prefix}n_repeat_words")
+def base_failed(name: dict[str, str] | None = None) -> Column:
+    n, r = (F.col((name or {}).get(c, c)) for c in ("n_words", "n_repeat_words"))
     return (n < MIN_WORDS) | (100 * r > 50 * n)
 
 
-def _measure(sql: str, prefix: str) -> Column:
-    names = ["n_words", "n_symbols", "n_bangs", "n_repeat_words", "n_dup_lines", "n_lines", "word_chars", "n_capitals"]
-    top, _, below = sql.partition(" / greatest(")
-    value = F.col(prefix + top)
-    assert top in names
-    return value / F.greatest(F.col(prefix + below.split(",")[0]), F.lit(1)) if below else value
-
-
-def votes(prefix: str = "") -> list[Column]:
-    out = []
-    for _, sql, good, bad in RULES:
-        x = _measure(sql, prefix)
-        if good is None:
-            yes, no = F.lit(False), (x >= bad) if bad > 0 else (x < -bad)
-        else:
-            yes, no = (x <= good, x >= bad) if good < bad else (x >= good, x < bad)
+def votes(name: dict[str, str] | None = None) -> list[Column]:
+    col, out = lambda c: F.col((name or {}).get(c, c)), []
+    for _, top, below, good, bad in RULES:
+        x = col(top) / F.greatest(col(below), F.lit(1)) if below else col(top)
+        yes, no = (x <= good, x >= bad) if good < bad else (x >= good, x < bad)
         out.append(F.when(no, -1).when(yes, 1).otherwise(0))
     return out
 
 
-def pattern(prefix: str = "") -> Column:
+def pattern(name: dict[str, str] | None = None) -> Column:
     """All votes in one number, base 3."""
     code = F.lit(0)
-    for v in votes(prefix):
+    for v in votes(name):
         code = code * 3 + (v + 1)
     return code
 
 
-def estimate(patterns: list[tuple[int, int]], rounds: int = 200) -> tuple[float, list[list[float]]]:
+def decoded(code: int) -> list[int]:
+    """Votes of a pattern, 0 for bad, 1 for none, 2 for good."""
+    return [code // 3**j % 3 for j in reversed(range(len(RULES)))]
+
+
+def estimate(patterns: list[tuple[int, int]], rounds: int = 500) -> tuple[float, list[list[float]]]:
     """EM over (pattern, count): log odds of good, and for each rule the log
     likelihood ratios of its votes bad, none and good.
 
     Each rule has its own chances of each vote on good and on bad texts; to
     abstain is a vote like the others. Without texts the priors are returned.
     """
-    k = len(RULES)
-    decoded = [([(code // 3 ** (k - 1 - j)) % 3 for j in range(k)], n) for code, n in sorted(patterns)]
+    seen = [(decoded(code), n) for code, n in sorted(patterns)]
     good, chance = PRIOR_GOOD, [[list(side) for side in PRIOR_VOTES] for _ in RULES]
     for _ in range(rounds):
-        odds, ratio = _weights(good, chance)
+        model = _weights(good, chance)
         mass = [[[PRIOR_WEIGHT * x for x in side] for side in PRIOR_VOTES] for _ in RULES]
         sums = [PRIOR_WEIGHT * PRIOR_GOOD, PRIOR_WEIGHT * (1 - PRIOR_GOOD)]
-        for vote, n in decoded:
-            logit = odds + sum(ratio[j][v] for j, v in enumerate(vote))
-            p = 1 / (1 + math.exp(-max(-500.0, min(500.0, logit))))
-            sums[0] += p * n
-            sums[1] += (1 - p) * n
-            for j, v in enumerate(vote):
-                mass[j][0][v] += p * n
-                mass[j][1][v] += (1 - p) * n
+        for vote, n in seen:
+            p = probability(model, vote)
+            for side, share in enumerate((p * n, (1 - p) * n)):
+                sums[side] += share
+                for j, v in enumerate(vote):
+                    mass[j][side][v] += share
         new = [[[x / sum(side) for x in side] for side in rule] for rule in mass]
-        for rule in new:
-            _hold(rule[0], min(rule[0][0], MOST_FALSE))
-            _hold(rule[1], max(rule[1][0], LEAST_FOUND))
-        share = min(0.95, max(0.05, sums[0] / sum(sums)))
+        share = sums[0] / sum(sums)
         moved = max([abs(share - good), *(abs(a - b) for x, y in zip(new, chance, strict=True) for p, q in zip(x, y, strict=True) for a, b in zip(p, q, strict=True))])
         good, chance = share, new
         if moved < 1e-9:
@@ -180,36 +170,38 @@ def estimate(patterns: list[tuple[int, int]], rounds: int = 200) -> tuple[float,
     return _weights(good, chance)
 
 
-def _hold(side: list[float], bad: float) -> None:
-    """Set the chance of a bad vote and scale the other two to the rest."""
-    rest = side[1] + side[2]
-    side[1], side[2] = (side[1] / rest * (1 - bad), side[2] / rest * (1 - bad)) if rest else ((1 - bad) / 2, (1 - bad) / 2)
-    side[0] = bad
+def _weights(good: float, chance: list) -> tuple[float, list[list[float]]]:
+    return math.log(good / (1 - good)), [[math.log(a / b) for a, b in zip(*rule, strict=True)] for rule in chance]
 
 
-def _weights(good: float, chance: list) -> tuple[float, list[list[float]]]:
-    return math.log(good / (1 - good)), [[math.log(max(a, 1e-6) / max(b, 1e-6)) for a, b in zip(*rule, strict=True)] for rule in chance]
+def probability(model: tuple[float, list[list[float]]], vote: list[int]) -> float:
+    """Posterior probability that a text with these votes is good."""
+    score = model[0] + sum(r[v] for r, v in zip(model[1], vote, strict=True))
+    return 1 / (1 + math.exp(-max(-500.0, min(500.0, score))))
 
 
-def fit(counted: DataFrame, prefix: str = "") -> tuple[float, list[list[float]]]:
-    """The model of a table that with_counts() has prepared, base failures left out."""
-    found = counted.where(~base_failed(prefix)).groupBy(pattern(prefix).alias("pattern")).count().collect()
-    return estimate([(r["pattern"], r["count"]) for r in found])
+def fit(patterns: DataFrame) -> tuple[float, list[list[float]]]:
+    """The model of a column ``pattern`` (null where the base rule rejects)."""
+    found = patterns.where("pattern is not null").groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()
+    return estimate([(r["pattern"], r["n"]) for r in found])
 
 
-def posterior(model: tuple[float, list[list[float]]], prefix: str = "") -> Column:
+def posterior(model: tuple[float, list[list[float]]], code: Column) -> Column:
+    """Posterior of a pattern column: the sum of its votes' ratios."""
     odds, ratios = model
     score = F.lit(odds)
-    for vote, (bad, none, good) in zip(votes(prefix), ratios, strict=True):
-        score = score + F.when(vote < 0, bad).when(vote > 0, good).otherwise(none)
+    for j, rule in enumerate(reversed(ratios)):
+        vote = F.pmod(F.floor(code / F.lit(3**j)), F.lit(3)).cast("int")
+        score = score + F.element_at(F.array(*[F.lit(x) for x in rule]), vote + 1)
     return 1 / (1 + F.exp(-score))
 
 
 def quality(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: its counts, base verdict, posterior and verdict."""
-    slim = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    counted = checkpointed(with_counts(slim).drop("text"))
-    p = posterior(fit(counted))
+    slim = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    counted = with_counts(slim).drop("text").withColumn("base_failed", base_failed())
+    counted = checkpointed(counted.withColumn("pattern", F.when(~F.col("base_failed"), pattern())))
+    p = posterior(fit(counted), F.col("pattern"))
     return counted.select(
         "doc_id",
         "n_words",
@@ -217,8 +209,8 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         "n_symbols",
         "n_dup_lines",
         "n_repeat_words",
-        base_failed().alias("base_failed"),
-        (~base_failed() & (p >= 0.5)).alias("kept"),
+        "base_failed",
+        F.coalesce(p >= 0.5, F.lit(False)).alias("kept"),
         F.round(p, 6).alias("posterior"),
     )
 
@@ -226,10 +218,13 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 def filter_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents that pass, with all their columns and nothing else.
 
-    Counts are worked out twice, once for EM and once for the verdict: that
-    costs CPU time but no shuffle of texts.
+    Documents are counted once: those that pass the base rule are written with
+    their vote pattern, EM reads that column alone, and the verdict filters what
+    was written.
     """
-    prefix = "__quality_"
-    counted = with_counts(docs, text, prefix)
-    model = fit(counted, prefix)
-    return counted.where(~base_failed(prefix) & (posterior(model, prefix) >= 0.5)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    code = fresh(docs.columns, "pattern")
+    names = {c: fresh([*docs.columns, code], c) for c in [*COUNTS, "words", "lines"]}
+    counted = with_counts(docs, text, names).where(~base_failed(names))
+    kept = written(counted.withColumn(code, pattern(names)).select(*[F.col(f"`{c}`") for c in docs.columns], code), "quality")
+    model = fit(kept.select(F.col(code).alias("pattern")))
+    return kept.where(posterior(model, F.col(code)) >= 0.5).drop(code)

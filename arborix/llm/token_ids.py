@@ -18,7 +18,6 @@ table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 from unicodedata import is_normalized
@@ -32,6 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from arborix.llm.text import Memo, held, small_batches
+from arborix.session import shared_path
 
 END_ID = 1
 SHARD_IDS = 1 << 20
@@ -285,14 +285,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(starts, ["part", "shard"]).select("doc_id", (F.col("base") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares."""
-    import tempfile
-
-    root = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{(root or tempfile.mkdtemp(prefix='arborix-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def round_trip(docs: DataFrame, path: str | None = None, **kwargs) -> DataFrame:
     """Write the codes, then read every document back from the files."""
     spark = docs.sparkSession

@@ -59,16 +59,57 @@ def test_quality_counts(docs, empty):
     assert quality_rules.quality(empty).count() == 0
 
 
-def test_quality_rejects_junk_and_keeps_columns(spark):
+def naive_em(texts_votes, rounds=500):
+    """EM text by text: the posterior of each."""
+    good, chance = 0.9, np.array([quality_rules.PRIOR_VOTES] * len(quality_rules.RULES))
+    v = np.array(texts_votes)
+    for _ in range(rounds):
+        like = [np.prod([chance[j, side, v[:, j]] for j in range(v.shape[1])], axis=0) for side in (0, 1)]
+        p = good * like[0] / (good * like[0] + (1 - good) * like[1])
+        mass = np.array([[[20 * quality_rules.PRIOR_VOTES[side][x] + ((p, 1 - p)[side] * (v[:, j] == x)).sum() for x in range(3)] for side in (0, 1)] for j in range(v.shape[1])])
+        old, chance = chance, mass / mass.sum(axis=2, keepdims=True)
+        good = (20 * 0.9 + p.sum()) / (20 + len(p))
+        if abs(chance - old).max() < 1e-12:
+            break
+    return p
+
+
+def junk_corpus():
     r = random.Random(1)
-    prose = lambda k: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(k))
-    rows = [(i, prose(120), "en", "s", 0, 1, "w") for i in range(180)]
-    rows += [(1000 + i, " ".join(w + "$$$" for w in prose(120).split()), "en", "s", 0, 1, "w") for i in range(10)]
-    rows += [(2000 + i, prose(120).upper(), "en", "s", 0, 1, "w") for i in range(10)]
-    kept = quality_rules.filter_good(spark.createDataFrame(rows, SCHEMA))
-    assert kept.columns == [c.split()[0] for c in SCHEMA.split(", ")]
-    ids = {r["doc_id"] for r in kept.collect()}
-    assert ids == set(range(180))
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9)))
+    prose = lambda k: "\n".join(" ".join(word() for _ in range(12)) + "." for _ in range(k // 12))
+    out = [(i, prose(144)) for i in range(180)] + [(i, prose(60)) for i in range(180, 200)]  # short texts get a bad vote
+    out += [(i, prose(120) + "\n" + "\n".join(["one line again and again here."] * 4)) for i in range(200, 206)]
+    junk = [(1000 + i, " ".join(word() + "$$$" for _ in range(144))) for i in range(15)]
+    junk += [(2000 + i, " | ".join(word() for _ in range(100))) for i in range(15)]
+    return out, junk
+
+
+def test_quality_rejects_junk_and_keeps_columns(spark):
+    good, junk = junk_corpus()
+    names = "doc_id long, text string, pattern int, n_words string, words string, lines int"
+    docs = spark.createDataFrame([(i, t, 1, "x", "y", 2) for i, t in good + junk], names).withColumn("a.b", F.lit(1))
+    kept = quality_rules.filter_good(docs)
+    assert kept.columns == docs.columns
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in good}
+    counted = quality_rules.with_counts(docs.select("doc_id", "text")).withColumn("pattern", quality_rules.pattern()).collect()
+    votes = {r["doc_id"]: quality_rules.decoded(r["pattern"]) for r in counted}
+    # rules don't all have to pass: good texts with bad votes stay
+    assert sum(0 in votes[i] for i, _ in good) >= 20
+    got = {r["doc_id"]: r["posterior"] for r in quality_rules.quality(docs).collect()}
+    want = dict(zip(votes, naive_em(list(votes.values())), strict=True))
+    assert all(abs(got[i] - want[i]) <= 1.5e-6 for i in got)
+
+
+def test_quality_weighs_votes():
+    """Accuracies come from the votes: abstaining can tell, and a bad vote need not."""
+    code = lambda vote: sum(v * 3 ** (len(vote) - 1 - j) for j, v in enumerate(vote))
+    k = len(quality_rules.RULES)
+    fine, short, junk, mute = [2] * k, [2] * (k - 1) + [0], [0] * 4 + [2] * (k - 4), [1] * 4 + [2] * (k - 4)
+    model = quality_rules.estimate([(code(fine), 900), (code(short), 90), (code(junk), 80), (code(mute), 30)])
+    p = [quality_rules.probability(model, v) for v in (fine, short, junk, mute)]
+    assert p[0] > 0.99 and p[1] > 0.9 and p[2] < 0.01 and p[3] < 0.5
+    assert quality_rules.probability(quality_rules.estimate([]), fine) > 0.9
 
 
 def test_mixing_against_loops(docs, empty):
