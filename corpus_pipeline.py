@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from arborix.llm import decontaminate, mixing, quality_rules, simhash, token_ids
-from arborix.session import table
+from arborix.session import shared_path, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
             return out
-        path = token_ids.shared_path(spark, f"pipeline-{k}")
+        path = shared_path(spark, f"pipeline-{k}")
         out.write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
