@@ -561,6 +561,44 @@ def test_url_rules_are_learned(spark):
     assert got[0]["learned_rule"] == "host=spam.net"
 
 
+def test_url_rules_equal_all_subsets(spark):
+    """Every rule that holds, from all subsets of tokens; the best one for each url."""
+    r = random.Random(12)
+    urls = [f"http://{r.choice('abc')}.{r.choice(['net', 'io'])}/{r.choice('pq')}/{r.choice('xyz')}?{r.choice('kl')}=1" for _ in range(500)]
+    rows = [(i, u, int(r.random() < (0.9 if "a.net/p" in u or "/x?k" in u else 0.1))) for i, u in enumerate(urls)]
+    pages = spark.createDataFrame([(i, u) for i, u, _ in rows], "page_id long, url string")
+    at = F.col("url")
+    sets = {x["page_id"]: frozenset(x["t"]) for x in pages.select("page_id", url_filter.tokens(at, url_filter.host(at), url_filter.path(at)).alias("t")).collect()}
+    known = [(sets[i], b) for i, _, b in rows if i < 400]
+    share = sum(b for _, b in known) / len(known)
+    counts = collections.defaultdict(lambda: [0, 0])
+    for t, b in known:
+        for k in range(1, len(t) + 1):
+            for c in itertools.combinations(sorted(t), k):
+                counts[c][b] += 1
+    found = {}
+    for c, n in counts.items():
+        for label, name, base in ((1, "block", share), (0, "allow", 1 - share)):
+            if n[label] >= 20 and n[label] / sum(n) >= 0.6 and n[label] / sum(n) >= 1.2 * base:
+                found[c, name] = n[label] / sum(n)
+    want = {x: v for x, v in found.items() if not any(y[1] == x[1] and set(y[0]) < set(x[0]) and w >= v for y, w in found.items())}
+    labelled = spark.createDataFrame([(sorted(t), bool(b)) for t, b in known], "tokens array<string>, blocked boolean")
+    rules = url_filter.learn(labelled).collect()
+    assert {(tuple(x["tokens"]), x["verdict"]): pytest.approx(x["confidence"]) for x in rules} == want
+    labels = spark.createDataFrame([(i, 1 - b, None) for i, _, b in rows if i < 400] + [(0, None, None)], "doc_id long, quality int, toxic int")
+    for x in url_filter.judge(pages, labels).collect():
+        own = max(((v, len(c), c, name) for (c, name), v in want.items() if set(c) <= sets[x["page_id"]]), default=None)
+        assert x["verdict"] == (own[3] if own else "allow") and x["learned_rule"] == (" ".join(own[2]) if own else None)
+
+
+def test_url_tokens_do_not_run_together(spark):
+    """Urls whose tokens look alike once joined by blanks are told apart."""
+    rows = [(i, "http://x.net/a/b" if i % 2 else "http://x.net/a path=b") for i in range(100)]
+    labels = spark.createDataFrame([(i, int(i % 2 == 0), 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), labels).collect()
+    assert all(x["verdict"] == ("block" if x["page_id"] % 2 else "allow") for x in got)
+
+
 def test_site_quality(spark, empty):
     r = random.Random(6)
     prose = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(90))
