@@ -15,7 +15,13 @@ The model is never whole in one place. Documents go to blocks of about
 BLOCK_BYTES; a block sends the hashes and training counts of its distinct
 n-grams, in sorted runs by hash range, to the ranges' owners, gets their totals
 over the corpus back in the same order, and builds the automaton of what its
-own documents can meet. A range owner sums the runs of all blocks.
+own documents can meet. A range owner sums the runs of all blocks. A block sends
+a range at most one run a level and none that is empty, so messages never
+outnumber n-grams.
+
+Words have 64-bit hashes. Longer n-grams have hashes of log2(bytes) + SPARE_BITS
+bits, 40 at least, so that about one in 2 ** SPARE_BITS of them or fewer shares
+its hash, and then the sum of two counts, with another, however large the corpus.
 
 Defined results: a null or empty text is the end token alone; repeated rows are
 counted and scored each; without training rows N and V are 0 and every word has
@@ -25,7 +31,7 @@ probability 1; other columns are not read.
 from __future__ import annotations
 
 import math
-import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -40,6 +46,9 @@ from arborix.session import checkpointed
 
 ORDER, KAPPA = 3, 1000.0
 BLOCK_BYTES, RANGE_BYTES = 8 << 20, 16 << 20
+SPARE_BITS = 16
+#: Words of a text that a walk reads in one piece.
+PIECE = 128
 END = b""
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -83,31 +92,38 @@ class Block:
         first[row[at]] = at
         return self.rows[n - 2][first + 1]
 
-    def counts(self, trained: np.ndarray) -> list[np.ndarray]:
-        """Training counts of each level's n-grams; trained marks documents."""
+    def counts(self, weight: np.ndarray) -> list[np.ndarray]:
+        """Training counts of each level's n-grams; ``weight`` is how often each text counts."""
         out = []
         for n, row in enumerate(self.rows, 1):
-            keep = trained[self.doc_of[: len(row)]] & (row >= 0)
-            out.append(np.bincount(row[keep], minlength=len(self.grams[n - 1])))
+            keep = row >= 0
+            out.append(np.bincount(row[keep], weights=weight[self.doc_of[: len(row)][keep]], minlength=len(self.grams[n - 1])).astype(np.int64))
         return out
 
 
 def _pack(values: np.ndarray) -> bytes:
     """Bytes of 64-bit numbers by place, so that equal high bytes meet."""
-    return zlib.compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    flat = np.frombuffer(zlib.decompress(data), np.uint8)
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
     return np.ascontiguousarray(flat.reshape(8, -1).T).view("<u8").ravel()
 
 
 def _packed_texts(batches):
-    """Texts compressed one by one: they are shuffled twice, and so take less disk."""
+    """Texts compressed one by one: they are shuffled twice, and so take less disk.
+
+    Equal rows of a batch become one with their number, so that a row that
+    repeats very often does not fill its block.
+    """
     pack = zstandard.ZstdCompressor(level=3).compress
     for batch in small_batches(batches):
-        texts = pa.array([None if t is None else pack(t) for t in batch.column(1).to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), texts, batch.column(2), batch.column(3)], names=["doc_id", "text", "train", "block"])
+        rows = Counter(zip(*[c.to_pylist() for c in batch.columns], strict=True))
+        ids, texts, train, block = (list(x) for x in zip(*rows, strict=True)) if rows else ([], [], [], [])
+        packed = pa.array([None if t is None else pack(t) for t in texts], pa.binary())
+        columns = [pa.array(ids, pa.string()), packed, pa.array(train, pa.bool_()), pa.array(block, pa.int32()), pa.array(list(rows.values()), pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "train", "block", "n"])
 
 
 def _texts(frame: pd.DataFrame) -> list[bytes | None]:
@@ -115,11 +131,17 @@ def _texts(frame: pd.DataFrame) -> list[bytes | None]:
     return [None if t is None else unpack(t) for t in frame["text"]]
 
 
-def _split(hashes: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order by hash, and where each range of hashes begins in it."""
-    order = np.argsort(hashes, kind="stable")
-    edges = np.array([(r << 64) // ranges for r in range(ranges)], np.uint64)
-    return order, np.append(np.searchsorted(hashes[order], edges), len(hashes))
+def _keys(block: "Block", width: int) -> list[np.ndarray]:
+    """The hashes that n-grams are sent under, by level."""
+    return [block.hashes[0], *[h >> np.uint64(64 - width) for h in block.hashes[1:]]]
+
+
+def _runs(keys: np.ndarray, ranges: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by key, the ranges that have keys, and where each begins in that order, ends included."""
+    order = np.argsort(keys, kind="stable")
+    own = ((keys[order] >> np.uint64(width - 32)) * np.uint64(ranges)) >> np.uint64(32)
+    first = np.flatnonzero(np.diff(own, prepend=np.uint64(1 << 63)))
+    return order, own[first].astype(np.int64), np.append(first, len(keys))
 
 
 def held_out(key: Column) -> Column:
@@ -127,15 +149,13 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")), F.lit(0)) % 7 == 2
 
 
-def _send(block: int, texts: list, trained: np.ndarray, order: int, ranges: int) -> pd.DataFrame:
+def _send(block: int, texts: list, weight: np.ndarray, order: int, ranges: int, width: int) -> pd.DataFrame:
     own, out = Block(texts, order), []
-    for level, (hashes, counts) in enumerate(zip(own.hashes, own.counts(trained), strict=True), 1):
-        place, cut = _split(hashes, ranges)
-        for r in range(ranges):
-            here = place[cut[r] : cut[r + 1]]
-            if len(here):
-                keys = hashes[here]
-                out.append((r, level, block, _pack(np.diff(keys, prepend=np.uint64(0))), _pack(counts[here])))
+    for level, (keys, counts) in enumerate(zip(_keys(own, width), own.counts(weight), strict=True), 1):
+        place, found, cut = _runs(keys, ranges, 64 if level == 1 else width)
+        for k, r in enumerate(found.tolist()):
+            here = place[cut[k] : cut[k + 1]]
+            out.append((r, level, block, _pack(np.diff(keys[here], prepend=np.uint64(0))), _pack(counts[here])))
     return pd.DataFrame(out, columns=["range", "level", "block", "keys", "counts"])
 
 
@@ -154,61 +174,72 @@ def _total(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 class Automaton:
-    """States and arcs of a block. State 0 is the empty context."""
+    """States and arcs of a block.
+
+    A state is a context that training texts have, numbered by its length and its
+    row among the block's n-grams of that length; state 0 is the empty context.
+    The arc that reads a word in a context of n - 1 words is the row of the n-gram
+    that both form, and its arrays tell whether training texts have it, its log
+    probability and how long the context is that it leads to. A failure arc leads
+    to the context that is a word shorter, which training texts have too.
+    """
 
     def __init__(self, block: Block, totals: list[np.ndarray], n_train: int, n_types: int, order: int, kappa: float):
-        self.size = block.size
+        self.block, self.order = block, order
         self.uni = (totals[0] + 1) / (n_train + n_types + 1)
-        p, state = self.uni, np.zeros(0, np.int64)
-        self.arcs: dict[int, tuple[float, int]] = {}
-        self.fail, self.back = [0.0], [0]
-        # a context is a state if it was seen in training and does not end a text
-        self.state_of = [np.where((totals[0] > 0) & (np.arange(self.size) != 0), np.arange(self.size) + 1, 0)]
-        self.fail += np.log10(kappa / (totals[0] + kappa)).tolist()
-        self.back += [0] * self.size
+        p = self.uni
+        self.seen, self.arc = [totals[0] > 0], [np.log10(p)]
+        self.fail = [np.log10(kappa / (totals[0] + kappa))]
+        # a context does not end a text
+        self.target = [(self.seen[0] & (np.arange(block.size) != 0) & (order > 1)).astype(np.int8)]
         for n in range(2, order + 1):
             gram, count = block.grams[n - 1], totals[n - 1]
-            prefix, last = gram // self.size, gram % self.size
-            # the same n-gram without its first word, a level below
-            if n == 2:
-                lower, below = self.uni[last], self.state_of[0][last]
-            else:
-                shorter = block.suffix_rows(n)
-                lower, below = p[shorter], self.state_of[n - 2][shorter]
-            context = totals[n - 2][prefix]
-            p = (count + kappa * lower) / (context + kappa)
+            prefix, last = gram // block.size, gram % block.size
+            shorter = last if n == 2 else block.suffix_rows(n)
+            p = (count + kappa * p[shorter]) / (totals[n - 2][prefix] + kappa)
             seen = count > 0
-            if n < order:
-                state = np.where(seen & (last != 0), len(self.fail) + np.arange(len(gram)), 0)
-                target = np.where(state > 0, state, below)
-                self.fail += np.log10(kappa / (count + kappa)).tolist()
-                self.back += below.tolist()
-                self.state_of.append(target)
-            else:
-                target = below
-            source = self.state_of[n - 2][prefix]
-            key = (source[seen] * self.size + last[seen]).tolist()
-            self.arcs.update(zip(key, zip(np.log10(p[seen]).tolist(), target[seen].tolist(), strict=True), strict=True))
-        self.log_uni = np.log10(self.uni).tolist()
-        self.to = self.state_of[0].tolist() if order > 1 else [0] * self.size
-
-    def score(self, words: list[int]) -> float:
-        """log10 probability of a text's word numbers, read once from left to right."""
-        arcs, fail, back, uni, to, size = self.arcs, self.fail, self.back, self.log_uni, self.to, self.size
-        total, state = 0.0, 0
-        for w in words:
-            while state:
-                arc = arcs.get(state * size + w)
-                if arc is not None:
-                    total += arc[0]
-                    state = arc[1]
-                    break
-                total += fail[state]
-                state = back[state]
-            else:
-                total += uni[w]
-                state = to[w]
-        return total
+            self.seen.append(seen)
+            self.arc.append(np.log10(p))
+            self.fail.append(np.log10(kappa / (count + kappa)))
+            self.target.append(np.where(seen & (last != 0) & (n < order), np.int8(n), self.target[-1][shorter]))
+
+    def scores(self) -> np.ndarray:
+        """log10 probability of each text, read from left to right.
+
+        Texts are read side by side, a word of each at a time, in pieces of
+        PIECE words; a piece first reads, and does not count, the order - 1 words
+        before it, which is all that a state can depend on.
+        """
+        block = self.block
+        lens = np.array([len(d) for d in block.docs], np.int64)
+        pieces = -(-lens // PIECE)
+        doc = np.repeat(np.arange(len(lens)), pieces)
+        text, k = (np.cumsum(lens) - lens)[doc], np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        first, stop = text + k * PIECE, np.minimum(text + (k + 1) * PIECE, text + lens[doc])
+        at = np.maximum(text, first - self.order + 1)
+        longest = np.argsort(at - stop, kind="stable")
+        doc, first, stop, at = doc[longest], first[longest], stop[longest], at[longest]
+        total, state = np.zeros(len(doc)), np.zeros(len(doc), np.int8)
+        steps = stop - at
+        for step in range(int(steps.max(initial=0))):
+            n = np.searchsorted(-steps, -step, side="left")  # pieces that have a word left
+            i, own, gain = at[:n] + step, state[:n].copy(), np.zeros(n)
+            for length in range(self.order - 1, 0, -1):
+                here = np.flatnonzero(own == length)
+                row = block.rows[length][i[here] - length]
+                known = self.seen[length][row]
+                hit, miss = here[known], here[~known]
+                gain[hit] += self.arc[length][row[known]]
+                state[hit] = self.target[length][row[known]]
+                own[hit] = -1
+                gain[miss] += self.fail[length - 1][block.rows[length - 1][i[miss] - length]]
+                own[miss] = length - 1
+            rest = np.flatnonzero(own == 0)
+            word = block.stream[i[rest]]
+            gain[rest] += self.arc[0][word]
+            state[rest] = self.target[0][word]
+            total[:n] += np.where(i >= first[:n], gain, 0.0)
+        return np.bincount(doc, weights=total, minlength=len(lens))
 
 
 RESULT = "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -223,11 +254,12 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
     ranges = max(1, math.ceil(size / RANGE_BYTES))
+    width = min(64, max(40, math.ceil(math.log2(size + 1)) + SPARE_BITS))
     block = F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(blocks)).cast("int")
-    dealt = rows.withColumn("block", block).mapInArrow(_packed_texts, "doc_id string, text binary, train boolean, block int")
+    dealt = rows.withColumn("block", block).mapInArrow(_packed_texts, "doc_id string, text binary, train boolean, block int, n long")
 
     def send(k: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return _send(int(k[0]), _texts(frame), frame["train"].to_numpy(bool), order, ranges)
+        return _send(int(k[0]), _texts(frame), np.where(frame["train"].to_numpy(bool), frame["n"], 0), order, ranges, width)
 
     sent = dealt.groupBy("block").applyInPandas(send, "range int, level int, block int, keys binary, counts binary")
     back = sent.groupBy("range", "level").applyInPandas(_total, "block int, level int, range int, totals binary, seen long, mass long")
@@ -237,19 +269,27 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int
 
     def walk(k: tuple, frame: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         own, totals = Block(_texts(frame), order), []
-        for level, hashes in enumerate(own.hashes, 1):
-            place, _ = _split(hashes, ranges)
+        for level, keys in enumerate(_keys(own, width), 1):
+            place, _, _ = _runs(keys, ranges, 64 if level == 1 else width)
             mine = answers[answers["level"] == level].sort_values("range")
-            total = np.zeros(len(hashes), np.int64)
+            total = np.zeros(len(keys), np.int64)
             if len(mine):
                 total[place] = np.concatenate([_unpack(x) for x in mine["totals"]]).astype(np.int64)
             totals.append(total)
         machine = Automaton(own, totals, n_train, n_types, order, kappa)
-        base, known = np.log10(machine.uni), totals[0] > 0
-        out = [(len(d), int(known[d].sum()), float(base[d].sum()), machine.score(d.tolist())) for d in own.docs]
-        n, k, b, s = (list(x) for x in zip(*out, strict=True)) if out else ([], [], [], [])
-        return pd.DataFrame(
-            {"doc_id": frame["doc_id"], "held_out": ~frame["train"].to_numpy(bool), "n_tokens": n, "n_known": k, "train_tokens": n_train, "base_score": b, "score": s}
+        known, lens = totals[0] > 0, np.array([len(d) for d in own.docs], np.int64)
+        per_text = lambda x: np.bincount(own.doc_of, weights=x[own.stream], minlength=len(lens))
+        scored = pd.DataFrame(
+            {
+                "doc_id": frame["doc_id"],
+                "held_out": ~frame["train"].to_numpy(bool),
+                "n_tokens": lens,
+                "n_known": per_text(known).astype(np.int64),
+                "train_tokens": n_train,
+                "base_score": per_text(machine.arc[0]),
+                "score": machine.scores(),
+            }
         )
+        return scored.loc[scored.index.repeat(frame["n"])]
 
     return dealt.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(walk, RESULT).withColumn("doc_id", F.col("doc_id").cast("long"))

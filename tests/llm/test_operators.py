@@ -483,10 +483,11 @@ def brute_model(trained, order, kappa):
     return counts, n_all, v, lambda ws: sum(math.log10(p(tuple(ws[max(0, i - order + 1) : i]), w)) for i, w in enumerate(ws))
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_language_model(docs, empty, monkeypatch, order):
     monkeypatch.setattr(language_model, "BLOCK_BYTES", 3000)
     monkeypatch.setattr(language_model, "RANGE_BYTES", 5000)
+    monkeypatch.setattr(language_model, "PIECE", 7)
     rows = [(r["doc_id"], (r["text"] or "").encode().lower().split() + ["</s>"]) for r in docs.collect()]
     held = {d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in rows}
     counts, n, v, score = brute_model([w for d, w in rows if not held[d]], order, language_model.KAPPA)
