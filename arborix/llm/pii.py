@@ -1,7 +1,8 @@
 """Personal data: patterns propose spans, checksums confirm them, context scores.
 
 Positions come from the text between matches: split() and regexp_extract_all()
-walk the same matches, so a span starts after the gaps and matches before it.
+walk the same matches, so a span starts after the gaps and matches before it; the
+sums are taken by blocks, and a text of many matches costs in proportion to them.
 Only DataFrame functions run. Patterns hold no choice that backtracks over more
 than one run of characters and no group that recurses, so long texts are safe:
 a possessive run means the same as a greedy one wherever the character after it
@@ -114,28 +115,35 @@ def confirmed(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _starts(gaps: Column, matches: Column) -> Column:
-    """(start, end, match) of every match; sums over blocks of 64 keep it near linear."""
-    steps = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.length(g) + F.length(m))
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0), lambda a, x: a + x)
+
+
+def _before(values: Column, levels: int = 2) -> Column:
+    """For each value the sum of those ahead of it, and the sum of all at the end.
 
-    def place(lens: Column) -> Column:
-        blocks = F.transform(
-            F.sequence(F.lit(0), F.floor((F.size(lens) - 1) / 64).cast("int")),
-            lambda b: F.aggregate(F.slice(lens, b * 64 + 1, F.lit(64)), F.lit(0), lambda a, x: a + x),
-        )
+    Values are summed by 64, those sums by 64 again; a place adds at most 63
+    values of each level, and only what is left on top is summed from the start.
+    """
+    if not levels:
+        return F.transform(F.sequence(F.lit(0), F.size(values)), lambda i: _sum(F.slice(values, F.lit(1), i)))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(values) / 64).cast("int")), lambda b: _sum(F.slice(values, b * 64 + 1, F.lit(64))))
 
-        def ends(sums: Column) -> Column:
-            def one(m: Column, i: Column) -> Column:
-                b = F.floor(i / 64).cast("int")
-                before = F.aggregate(F.slice(sums, F.lit(1), b), F.lit(0), lambda a, x: a + x)
-                end = F.aggregate(F.slice(lens, b * 64 + 1, i - b * 64 + 1), before, lambda a, x: a + x)
-                return F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("match"))
+    def places(ahead: Column) -> Column:
+        one = lambda i: F.get(ahead, F.floor(i / 64).cast("int")) + _sum(F.slice(values, F.floor(i / 64).cast("int") * 64 + 1, F.pmod(i, F.lit(64))))
+        return F.transform(F.sequence(F.lit(0), F.size(values)), one)
 
-            return F.transform(matches, one)
+    return let(blocks, lambda sums: let(_before(sums, levels - 1), places))
+
+
+def _starts(gaps: Column, matches: Column) -> Column:
+    """(start, end, match) of every match."""
+    steps = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.length(g) + F.length(m))
 
-        return let(blocks, ends)
+    def one(ends: Column) -> Column:
+        return F.transform(matches, lambda m, i: F.struct((F.get(ends, i + 1) - F.length(m)).alias("start"), F.get(ends, i + 1).alias("end"), m.alias("match")))
 
-    return let(steps, place)
+    return let(steps, lambda lens: let(_before(lens), one))
 
 
 SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"

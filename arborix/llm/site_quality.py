@@ -3,13 +3,16 @@
 A naive Bayes classifier over binned counts of a text gives each document its
 evidence, a log likelihood ratio. Documents belong to paths of hosts. Expected
 shares of good documents are gathered for host and path, and each is shrunk
-toward the level above it by a strength that the spread between sites gives
-(method of moments): sparse sites follow the global share, large ones
-themselves. A document's posterior is its path's share and its evidence.
+toward the level above it by a strength that the spread between all sites gives
+(method of moments, sites of one document included): sparse sites follow the
+global share, large ones themselves. A document's posterior is its evidence and
+the share of its path without the document itself, so that it is not its own
+witness.
 
 Defined results: a null or empty text has the bins of zero counts; documents
-without host or path form sites of their own; labels are optional; repeated rows
-count each; an empty table gives an empty result; other columns are not read.
+without host or path form sites of their own; labels are optional, and of labels
+that differ for a document the mean decides; repeated rows count each; an empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arborix.llm.text import words
 from arborix.session import checkpointed
 
 #: Measures of a text and the upper edges of their bins.
@@ -36,27 +40,29 @@ BINS = {
 SMOOTH, LEAST, MOST = 1.0, 5.0, 1000.0
 #: Share of good documents assumed where there are no labels.
 DEFAULT_GOOD = 0.9
+#: Sites up to this number are broadcast, and more are joined by shuffle.
+BROADCAST_SITES = 100_000
 
 
-def measures(text: Column) -> dict[str, Column]:
-    from arborix.llm.text import words
-
-    body, w = F.coalesce(text, F.lit("")), words(text)
-    n = F.greatest(F.size(w), F.lit(1)).cast("double")
-    chars = F.length(F.translate(body, " \t\n\x0b\f\r", ""))
+def measured(docs: DataFrame) -> DataFrame:
+    """docs (with ``text``) and the measures of BINS; words and lines are cut once."""
+    body = F.coalesce(F.col("text"), F.lit(""))
     removed = lambda c: F.length(body) - F.length(F.translate(body, c, ""))
-    lines = F.filter(F.split(body, "\n"), lambda x: x != "")
-    same = F.zip_with(F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), w, lambda a, b: a == b)
-    return {
-        "words": F.size(w).cast("double"),
-        "word_length": chars / n,
-        "distinct": F.size(F.array_distinct(w)) / n,
-        "symbols": removed("#*$%&|<>") / n,
-        "bangs": removed("!?") / n,
-        "capitals": removed("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / F.greatest(chars, F.lit(1)),
-        "repeated_lines": (F.size(lines) - F.size(F.array_distinct(lines))) / F.greatest(F.size(lines), F.lit(1)),
-        "same_next": F.size(F.filter(same, lambda x: x)) / n,
-    }
+    cut = docs.withColumns({"w": words(F.col("text")), "lines": F.filter(F.split(body, "\n"), lambda x: x != ""), "chars": F.length(F.translate(body, " \t\n\x0b\f\r", ""))})
+    n = F.greatest(F.size("w"), F.lit(1)).cast("double")
+    same = F.zip_with(F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), "w", lambda a, b: a == b)
+    return cut.withColumns(
+        {
+            "words": F.size("w").cast("double"),
+            "word_length": F.col("chars") / n,
+            "distinct": F.size(F.array_distinct("w")) / n,
+            "symbols": removed("#*$%&|<>") / n,
+            "bangs": removed("!?") / n,
+            "capitals": removed("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / F.greatest(F.col("chars"), F.lit(1)),
+            "repeated_lines": (F.size("lines") - F.size(F.array_distinct("lines"))) / F.greatest(F.size("lines"), F.lit(1)),
+            "same_next": F.size(F.filter(same, lambda x: x)) / n,
+        }
+    )
 
 
 def binned(name: str, value: Column) -> Column:
@@ -85,24 +91,35 @@ def ratios(marked: DataFrame) -> tuple[float, dict[str, list[float]]]:
     return share, out
 
 
-def _strength(sites: DataFrame) -> float:
-    """Documents that a site's prior is worth, from the spread of sites' shares."""
-    big = sites.where("n >= 5")
-    share, noise = big.agg(F.sum("good") / F.sum("n"), F.count(F.lit(1)) / F.sum("n")).first()
-    if share is None:
-        return MOST
-    off = F.col("good") / F.col("n") - F.lit(share)
-    spread = big.agg(F.sum(F.col("n") * off * off) / F.sum("n")).first()[0]
-    m = share * (1 - share)
-    between = spread - m * noise
-    return min(MOST, max(LEAST, m / between - 1)) if between > 0 else MOST
+def strengths(paths: DataFrame) -> tuple[float | None, float, float]:
+    """Share of good documents, and how many documents the prior of a host and of a path is worth.
+
+    For sites of n documents whose shares have mean m and variance v between
+    sites, the expected sum of n * (share - m) ** 2 is
+    (sites - 1) * m * (1 - m) + v * (N - sum(n ** 2) / N); v gives the strength.
+    """
+    sums = [F.count(F.lit(1)), F.sum("n"), F.sum("good"), F.sum(F.col("good") * F.col("good") / F.col("n")), F.sum(F.col("n").cast("double") * F.col("n"))]
+    names = ("k", "n", "good", "square", "nn")
+    of = lambda df, level: df.agg(*[x.alias(c) for x, c in zip(sums, names, strict=True)]).withColumn("level", F.lit(level))
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+    got = {r["level"]: r for r in of(hosts, "host").unionByName(of(paths, "path")).collect()}
+    if not got["path"]["n"]:
+        return None, MOST, MOST
+
+    def one(r) -> float:
+        m = r["good"] / r["n"]
+        noise, free = m * (1 - m), r["n"] - r["nn"] / r["n"]
+        between = (r["square"] - r["good"] * m - (r["k"] - 1) * noise) / free if free > 0 else 0.0
+        return min(MOST, max(LEAST, noise / between - 1)) if between > 0 else MOST
+
+    return got["path"]["good"] / got["path"]["n"], one(got["host"]), one(got["path"])
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """doc_id, evidence, host and path shares, posterior and kept for every row."""
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), host.cast("string").alias("host"), path.cast("string").alias("path"), F.col(text).alias("text"))
     known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).cast("long").alias("doc_id")).agg((F.avg(label) >= 0.5).alias("good"))
-    bins = slim.select("doc_id", "host", "path", *[binned(n, m).alias(n) for n, m in measures(F.col("text")).items()])
+    bins = measured(slim).select("doc_id", "host", "path", *[binned(n, F.col(n)).alias(n) for n in BINS])
     bins = checkpointed(bins)
     share, table = ratios(bins.join(known, "doc_id"))
     evidence = F.lit(0.0)
@@ -113,22 +130,23 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, key
     own = own.withColumn("p", 1 / (1 + F.exp(-(F.col("evidence") + odds))))
     paths = checkpointed(own.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("good")))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    at_host, at_path = _strength(hosts), _strength(paths)
-    everywhere = hosts.agg((F.sum("good") / F.sum("n")).alias("m")).first()["m"]
+    everywhere, at_host, at_path = strengths(paths)
     prior = share if everywhere is None else everywhere
     shrunk = lambda n, good, up, k: (good + up * k) / (n + k)
     hosts = hosts.select("host", shrunk(F.col("n"), F.col("good"), F.lit(prior), at_host).alias("host_share")).alias("h")
-    sites = paths.alias("p").join(hosts, F.col("p.host").eqNullSafe(F.col("h.host"))).select(
-        "p.host", "p.path", "h.host_share", shrunk(F.col("p.n"), F.col("p.good"), F.col("h.host_share"), at_path).alias("path_share")
-    )
-    joined = own.alias("d").join(sites.alias("s"), F.col("d.host").eqNullSafe(F.col("s.host")) & F.col("d.path").eqNullSafe(F.col("s.path")))
-    site = F.least(F.lit(0.999), F.greatest(F.lit(0.001), F.col("s.path_share")))
+    sites = paths.alias("p").join(hosts, F.col("p.host").eqNullSafe(F.col("h.host"))).select("p.host", "p.path", "p.n", "p.good", "h.host_share")
+    sites = checkpointed(sites)
+    small = F.broadcast(sites) if sites.count() <= BROADCAST_SITES else sites
+    joined = own.alias("d").join(small.alias("s"), F.col("d.host").eqNullSafe(F.col("s.host")) & F.col("d.path").eqNullSafe(F.col("s.path")))
+    joined = joined.withColumn("path_share", shrunk(F.col("s.n"), F.col("s.good"), F.col("s.host_share"), at_path))
+    without = shrunk(F.col("s.n") - 1, F.col("s.good") - F.col("d.p"), F.col("s.host_share"), at_path)
+    site = F.least(F.lit(0.999), F.greatest(F.lit(0.001), without))
     posterior = 1 / (1 + F.exp(-(F.col("d.evidence") + F.log(site / (1 - site)))))
     return joined.select(
         "d.doc_id",
         F.round("d.evidence", 6).alias("evidence"),
         F.round("s.host_share", 6).alias("host_share"),
-        F.round("s.path_share", 6).alias("path_share"),
+        F.round("path_share", 6).alias("path_share"),
         F.round(posterior, 6).alias("posterior"),
         (posterior >= 0.5).alias("kept"),
     )

@@ -36,8 +36,11 @@ from arborix.session import shared_path
 END_ID = 1
 SHARD_IDS = 1 << 20
 BLOCK_BITS = 512
-#: Parts are dealt to partitions by hash; several for each even them out.
-PARTS_PER_PARTITION, MAX_PARTS = 4, 4096
+#: A part has about so many bytes of text. Beyond MOST_PARTS parts grow instead: a
+#: part is sorted by Spark and leaves as a stream of shards, so its size is free.
+PART_BYTES, MOST_PARTS, PARTS_PER_TASK = 8 << 20, 1 << 16, 4
+#: Shards of a file, about two bytes an id each.
+FILE_SHARDS = 32
 MAGIC = b"DAC1"
 
 
@@ -203,7 +206,7 @@ def encoded(docs: DataFrame, cuts: list[int], spread: int, key: str = "doc_id",
             columns = [pa.array(part, pa.int64()), pa.array(hashes), batch.column(0), pa.array([len(r) // 4 for r in raw], pa.int64()), pa.array(codes, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["part", "hash", "doc_id", "n_tokens", "codes"])
 
-    slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    slim = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("text"))
     return slim.mapInArrow(run, ENCODED)
 
 
@@ -246,12 +249,14 @@ def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", v
             yield done()
 
     spark = docs.sparkSession
-    parts = min(MAX_PARTS, PARTS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    own = F.col(f"`{key}`").cast("long")
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
+    parts = min(MOST_PARTS, -(-size // PART_BYTES) + 1)
     at = [i / parts for i in range(1, parts)]
-    cuts = docs.select(F.percentile_approx(F.col(key).cast("long"), at, 100 * parts)).first()[0] or []
+    cuts = (docs.agg(F.percentile_approx(own, at, min(1_000_000, 100 * parts))).first()[0] or []) if at else []
     rows = encoded(docs, cuts, parts, key, text, vocabulary)
-    placed = rows.repartition("part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "hash")
-    placed.select("part", "doc_id", "n_tokens", "codes").mapInArrow(pack, SHARD).write.parquet(path)
+    placed = rows.repartition(-(-parts // PARTS_PER_TASK), "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "hash")
+    placed.select("part", "doc_id", "n_tokens", "codes").mapInArrow(pack, SHARD).write.option("maxRecordsPerFile", FILE_SHARDS).parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -270,7 +275,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     starts = starts.select("part", "shard", (F.col("inner") + F.col("part_start")).alias("base"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             for row in batch.to_pylist():
                 raw, counts = memoryview(Codes(row["codes"]).all().astype("<u4").tobytes()), np.array(row["counts"], np.int64)
                 ends = np.cumsum(counts)

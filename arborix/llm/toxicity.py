@@ -5,12 +5,14 @@ word left out, hashed into 2 ** BITS coordinates. FTRL-proximal gives each
 coordinate its own learning rate, and its L1 term keeps most weights at exactly
 zero, so the model that is sent to the tasks has at most 2 ** BITS entries.
 
-Training rows are the first SAMPLE labelled ones by a hash of their key; that
-bound is a parameter. Every text is scored.
+Training documents are the first SAMPLE labelled ones by a hash of their key, and
+of those as many as have MOST_FEATURES features together; both bounds are
+parameters and hold for what the one training task keeps. Every text is scored.
 
 Defined results: a null or empty text has no feature and gets the score of the
 bias alone; labels other than 0 and 1 and null labels are not learned from;
-repeated rows are learned from and scored each; without labels every score is
+of labels that differ for a document 1 counts; rows that repeat a key are learned
+from once, by the one whose features are first as bytes, and scored each; without labels every score is
 that of the starting bias, BIAS.
 """
 
@@ -23,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arborix.llm.text import Memo, bare, folded_words, map_texts
+from arborix.llm.text import Memo, bare, folded_words, map_texts, small_batches
 
 BITS = 20
-SAMPLE = 20_000
+SAMPLE, MOST_FEATURES = 20_000, 50_000_000
 #: A large L1 term keeps the many words of one toxic text at zero, so that what
 #: toxic texts share carries the weight; toxic rows are learned POSITIVE times.
 ALPHA, BETA, L1, L2, EPOCHS, POSITIVE = 4.0, 1.0, 6.0, 0.0, 10, 3
@@ -75,10 +77,10 @@ class Ftrl:
         return self.bias, at.astype(np.uint32), every[at].astype(np.float32)
 
 
-def train(texts: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> tuple[float, np.ndarray, np.ndarray]:
+def train(texts: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, most: int = MOST_FEATURES) -> tuple[float, np.ndarray, np.ndarray]:
     """Weights from the documents that ``labels`` (doc_id, label) marks."""
-    own = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("label_id"), F.col(label).cast("int").alias("label"))
-    own = own.orderBy(F.xxhash64(F.col("label_id").cast("string")), "label_id", "label").limit(sample)
+    own = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("label_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
+    own = own.orderBy(F.xxhash64(F.col("label_id").cast("string")), "label_id").limit(sample)
     slim = texts.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     # at most SAMPLE rows of 12 bytes, whatever the input
     marked = slim.join(F.broadcast(own), F.col("doc_id") == F.col("label_id"))
@@ -91,24 +93,28 @@ def train(texts: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int32()), pa.array(rows, pa.binary())], names=["doc_id", "label", "at"])
 
     rows = marked.select("doc_id", "label", "text").mapInArrow(featurize, "doc_id long, label int, at binary")
+    # at most SAMPLE rows again, before they go to one task
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("at", "label")).alias("r")).select("doc_id", "r.label", "r.at")
 
     def fit(batches):
-        seen, model = [], Ftrl()
-        for batch in batches:
-            found = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
-            seen += [(np.frombuffer(at, np.uint32), label) for label, at in found]
+        seen, size, model = [], 0, Ftrl()
+        for batch in small_batches(batches):
+            for mark, at in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                size += len(at) // 4
+                if not seen or size <= most:
+                    seen.append((np.frombuffer(at, np.uint32), mark))
         if not seen:
             return
         for _ in range(EPOCHS):
-            for at, label in seen:
-                for _ in range(POSITIVE if label else 1):
-                    model.learn(at, label)
+            for at, mark in seen:
+                for _ in range(POSITIVE if mark else 1):
+                    model.learn(at, mark)
         bias, at, w = model.model()
         yield pa.RecordBatch.from_arrays(
             [pa.array([bias], pa.float64()), pa.array([at.tobytes()], pa.binary()), pa.array([w.tobytes()], pa.binary())], names=["bias", "at", "w"]
         )
 
-    one = rows.repartition(1).sortWithinPartitions(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "label", F.xxhash64("at"))
+    one = rows.repartition(1).sortWithinPartitions(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
     got = one.mapInArrow(fit, "bias double, at binary, w binary").collect()
     if not got:
         return BIAS, np.zeros(0, np.uint32), np.zeros(0, np.float32)

@@ -210,7 +210,7 @@ def test_pii_spans(spark):
     r = random.Random(3)
     parts = ["a@b.c", "x.y@mail.example.com", "_d@e.f", "@", "@b", "a@b", "1.2.3.4", "256.1.1.1", "1.2.3.4.5.6.7.8", "0255.01.1.1", "4111 1111 1111 1111", "4111-1111-1111-1111", "41111111111111112", "4" * 25, "+1 (555) 010-2030", "+49 30 1234567", "+1", "++12 345 678 90", "ñ", "\U0001f600", "\n", " ", ".", "-", "%"]
     cases = ["".join(r.choice(parts) for _ in range(r.randint(1, 12))) for _ in range(400)]
-    cases += ["", None, "a" * 50_000, "1" * 50_000, "a@" + ".b" * 20_000, "+1" + " " * 30_000, "1 " * 30_000, "a@b.co " * 3000]
+    cases += ["", None, "a" * 50_000, "1" * 50_000, "a@" + ".b" * 20_000, "+1" + " " * 30_000, "1 " * 30_000, "a@b.co " * 3000, "x 1.2.3.4 " * 4097, "1.2.3.4 " * 64, "1.2.3.4 " * 4096]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "doc_id long, text string")
     for row in pii.digest(pii.find(df)).collect():
         want = base_spans(cases[row["doc_id"]] or "")
@@ -219,6 +219,7 @@ def test_pii_spans(spark):
 
 
 def test_pii_method_spans(spark):
+    assert pii.digest(pii.find(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
     cases = [("IBAN DE89370400440532013000 ok", "iban:5:27"), ("DE89370400440532013001", ""), ("my ssn is 123-45-6789.", "ssn:10:21"), ("code 123-45-6789.", ""), ("GB82 WEST 1234 5698 7654 32", "iban:0:27")]
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
     got = {r["doc_id"]: r["spans"] for r in pii.digest(pii.find(df)).collect()}
@@ -254,6 +255,8 @@ def test_token_ids_equal_the_library(spark, docs, empty, monkeypatch):
     more = spark.createDataFrame([(900 + i, t) for i, t in enumerate(odd)] + [(77_777, "x y")] * 3, "doc_id long, text string")
     both = docs.select("doc_id", "text").unionByName(more)
     monkeypatch.setattr(token_ids, "SHARD_IDS", 700)
+    monkeypatch.setattr(token_ids, "PART_BYTES", 4000)
+    monkeypatch.setattr(token_ids, "FILE_SHARDS", 2)
     tok = Tokenizer.from_file(token_ids.default_vocabulary())
     want, at = [], 0
     crc = lambda t: np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], dtype="<u4")
@@ -487,7 +490,6 @@ def brute_model(trained, order, kappa):
 def test_language_model(docs, empty, monkeypatch, order):
     monkeypatch.setattr(language_model, "BLOCK_BYTES", 3000)
     monkeypatch.setattr(language_model, "RANGE_BYTES", 5000)
-    monkeypatch.setattr(language_model, "PIECE", 7)
     rows = [(r["doc_id"], (r["text"] or "").encode().lower().split() + ["</s>"]) for r in docs.collect()]
     held = {d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in rows}
     counts, n, v, score = brute_model([w for d, w in rows if not held[d]], order, language_model.KAPPA)
@@ -531,6 +533,37 @@ def test_toxicity_learns(spark, empty):
     assert toxicity.score(empty, model).count() == 0
 
 
+def test_toxicity_equals_plain_ftrl(spark):
+    """Weights from one loop over features in dictionaries, and repeated and differing labels."""
+    r = random.Random(21)
+    rows = [(i, " ".join(r.choice(["a", "B!", "c", "dd", "é", "f"]) for _ in range(r.randint(0, 9)))) for i in range(80)]
+    marks = {i: int("dd" in t.split()) for i, t in rows if i < 60}
+    labels = spark.createDataFrame([*marks.items(), (3, 0), (4, 1), (70, None), (None, 1)], "doc_id long, toxic int")
+    marks[4] = 1
+    docs = spark.createDataFrame(rows + rows[:5], "doc_id long, text string").repartition(3)
+    bias, at, w = toxicity.train(docs, labels)
+    features = toxicity.Features()
+    order = [x["doc_id"] for x in spark.createDataFrame([(i,) for i in marks], "doc_id long").orderBy(F.xxhash64(F.col("doc_id").cast("string"))).collect()]
+    z, n, b, bn = collections.Counter(), collections.Counter(), toxicity.BIAS, 0.0
+    weight = lambda k: 0.0 if abs(z[k]) <= toxicity.L1 else -(z[k] - math.copysign(toxicity.L1, z[k])) / ((toxicity.BETA + math.sqrt(n[k])) / toxicity.ALPHA + toxicity.L2)
+    text = dict(rows)
+    for _ in range(toxicity.EPOCHS):
+        for i in order:
+            for _ in range(toxicity.POSITIVE if marks[i] else 1):
+                own = features(text[i].encode()).tolist()
+                old = {k: weight(k) for k in own}
+                g = 1 / (1 + math.exp(-(b + sum(old.values())))) - marks[i]
+                for k in own:
+                    z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / toxicity.ALPHA * old[k]
+                    n[k] += g * g
+                bn += g * g
+                b -= toxicity.ALPHA * g / (toxicity.BETA + math.sqrt(bn))
+    want = {k: weight(k) for k in z if weight(k)}
+    assert want and bias == pytest.approx(b) and dict(zip(at.tolist(), w.tolist(), strict=True)) == pytest.approx(want, rel=1e-5)
+    few = toxicity.train(docs, labels, most=10)
+    assert len(few[1]) <= 30
+
+
 def test_url_parts_and_explicit_rules(spark):
     cases = [
         ("http://Foo.ORG/a?b", "foo.org", "/a", "org/", "allow"),
@@ -619,6 +652,54 @@ def test_site_quality(spark, empty):
     assert site_quality.classify(empty, labels, F.col("source"), F.col("lang")).count() == 0
 
 
+def test_site_quality_equals_loops(spark):
+    """Evidence, strengths, shares without the document, all from plain loops."""
+    r = random.Random(8)
+    rows = []
+    for i in range(160):
+        w = ["ab" * r.randint(1, 4) for _ in range(r.choice([10, 40, 90]))]
+        rows.append((i if i % 20 else None, " | ".join(w) if r.random() < (0.6 if i % 4 == 1 else 0.1) else " ".join(w), r.choice([None, "h1", "h2", f"h{i % 30}"]), r.choice([None, "p", "q"])))
+    rows.append(rows[5])
+    labels = [(i, int("|" not in t)) for i, t, _, _ in rows[:100] if i is not None]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, host string, path string").repartition(3)
+    got = site_quality.classify(docs, spark.createDataFrame(labels, "doc_id long, quality int"), F.col("host"), F.col("path")).collect()
+
+    def bins(t):
+        w = t.split()
+        n, chars = max(len(w), 1), sum(map(len, w))
+        x = {"words": len(w), "word_length": chars / n, "distinct": len(set(w)) / n, "symbols": t.count("|") / n, "bangs": 0, "capitals": 0, "repeated_lines": 0, "same_next": sum(a == b for a, b in zip(w, w[1:], strict=False)) / n}
+        return {k: sum(v > e for e in site_quality.BINS[k]) for k, v in x.items()}
+
+    known, own = dict(labels), [(d, bins(t), h, p) for d, t, h, p in rows]
+    marked = [(b, known[d]) for d, b, _, _ in own if d in known]
+    n = {g: sum(q == g for _, q in marked) for g in (0, 1)}
+    share = (n[1] + 10 * 0.9) / (len(marked) + 10)
+    part = lambda k, v, g: (sum(b[k] == v and q == g for b, q in marked) + 1) / (n[g] + len(site_quality.BINS[k]) + 1)
+    evidence = [sum(math.log(part(k, v, 1) / part(k, v, 0)) for k, v in b.items()) for _, b, _, _ in own]
+    soft = [1 / (1 + math.exp(-(e + math.log(share / (1 - share))))) for e in evidence]
+
+    def level(key):
+        count, good = collections.Counter(map(key, own)), collections.Counter()
+        for x, p in zip(own, soft, strict=True):
+            good[key(x)] += p
+        total = sum(count.values())
+        m = sum(good.values()) / total
+        s = sum(c * (good[k] / c - m) ** 2 for k, c in count.items())
+        between = (s - (len(count) - 1) * m * (1 - m)) / (total - sum(c * c for c in count.values()) / total)
+        return count, good, m, min(1000.0, max(5.0, m * (1 - m) / between - 1)) if between > 0 else 1000.0
+
+    hn, hg, m, hk = level(lambda x: x[2])
+    pn, pg, _, pk = level(lambda x: x[2:])
+    want = []
+    for x, e, p in zip(own, evidence, soft, strict=True):
+        host = (hg[x[2]] + m * hk) / (hn[x[2]] + hk)
+        site = min(0.999, max(0.001, (pg[x[2:]] - p + host * pk) / (pn[x[2:]] - 1 + pk)))
+        post = 1 / (1 + math.exp(-(e + math.log(site / (1 - site)))))
+        want.append((x[0] or 0, e, host, (pg[x[2:]] + host * pk) / (pn[x[2:]] + pk), post))
+    found = sorted((x["doc_id"] or 0, x["evidence"], x["host_share"], x["path_share"], x["posterior"]) for x in got)
+    assert all(a == pytest.approx(b, abs=2e-6) for a, b in zip(found, sorted(want), strict=True))
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
