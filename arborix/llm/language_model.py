@@ -46,7 +46,7 @@ from arborix.session import checkpointed
 
 ORDER, KAPPA = 3, 1000.0
 BLOCK_BYTES, RANGE_BYTES = 8 << 20, 16 << 20
-SPARE_BITS = 16
+SPARE_BITS = 14
 #: Words of a text that a walk reads in one piece.
 PIECE = 128
 END = b""
@@ -112,7 +112,7 @@ def _unpack(data: bytes) -> np.ndarray:
 
 
 def _packed_texts(batches):
-    """Texts compressed one by one: they are shuffled twice, and so take less disk.
+    """Texts, as words in lower case, compressed one by one: they are shuffled twice, and so take less disk.
 
     Equal rows of a batch become one with their number, so that a row that
     repeats very often does not fill its block.
@@ -121,14 +121,14 @@ def _packed_texts(batches):
     for batch in small_batches(batches):
         rows = Counter(zip(*[c.to_pylist() for c in batch.columns], strict=True))
         ids, texts, train, block = (list(x) for x in zip(*rows, strict=True)) if rows else ([], [], [], [])
-        packed = pa.array([None if t is None else pack(t) for t in texts], pa.binary())
+        packed = pa.array([pack(b" ".join(folded_words(t))) for t in texts], pa.binary())
         columns = [pa.array(ids, pa.string()), packed, pa.array(train, pa.bool_()), pa.array(block, pa.int32()), pa.array(list(rows.values()), pa.int64())]
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "train", "block", "n"])
 
 
-def _texts(frame: pd.DataFrame) -> list[bytes | None]:
+def _texts(frame: pd.DataFrame) -> list[bytes]:
     unpack = zstandard.ZstdDecompressor().decompress
-    return [None if t is None else unpack(t) for t in frame["text"]]
+    return [unpack(t) for t in frame["text"]]
 
 
 def _keys(block: "Block", width: int) -> list[np.ndarray]:
