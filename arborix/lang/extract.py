@@ -1,12 +1,14 @@
 """From sources to nodes and call edges, as one Spark plan.
 
 Files are cut into lines; declarations are found by their language's patterns;
-a block's last line comes from running bracket depths (windows over a file's
-lines) or from indentation. Comments above a declaration and docstrings below it
-give its documentation. Call sites are matched on the lines and joined with the
-function that encloses them. Strings and line comments are blanked before
-brackets are counted. A file is the unit of work: all windows are partitioned by
-its path, and no step needs two files together.
+a block's last line is the next one that goes back to its bracket depth, or to its
+indentation: windows find it in one pass over a file's lines, in proportion to
+brackets and blanks, and no declaration is joined with the lines after it. Comments
+of any length above a declaration and docstrings below it give its documentation.
+Call sites are matched on the lines and joined with the function that encloses
+them. Strings and line comments are blanked before brackets are counted. A file is
+the unit of work: all windows are partitioned by its path, and no step needs two
+files together.
 """
 
 from __future__ import annotations
@@ -24,10 +26,14 @@ def _base(language: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in P.SAME_AS.items() for x in kv]), language), language)
 
 
+def _text_lines() -> Column:
+    return F.split(F.make_valid_utf8(F.col("content").cast("string")), "\r?\n")
+
+
 def lines_of(files: DataFrame) -> DataFrame:
     """(file_path, language, base, row, line, code, indent, opened, depth): row from 0,
     code is the line without strings and comments, depth the open brackets after it."""
-    rows = files.select("file_path", "language", F.posexplode(F.split(F.make_valid_utf8(F.col("content").cast("string")), "\r?\n")).alias("row", "line"))
+    rows = files.select("file_path", "language", F.posexplode(_text_lines()).alias("row", "line"))
     rows = rows.withColumn("base", _base(F.col("language")))
     # a quoted text, or a character between apostrophes, counts no brackets
     blank = F.regexp_replace("line", r""""(?:[^"\\]|\\.)*+"|'(?:[^'\\]|\\.)'|`[^`]*`""", '""')
@@ -44,8 +50,38 @@ def lines_of(files: DataFrame) -> DataFrame:
     return rows.withColumn("depth", F.sum(F.col("opened") - F.col("closed")).over(so_far))
 
 
+def _marked(lines: DataFrame) -> DataFrame:
+    """lines with what a declaration on them has to know of the lines around.
+
+    begin: the first line from here on that opens a bracket, with the depth after
+    it; stop: the first that ends a statement and opens none; paren: the next that
+    begins with ")"; solid: the last one above that is not blank; all_solid: the
+    last one of the file; above: where the comment that ends right above begins.
+    """
+    earlier = Window.partitionBy("file_path").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    onward = Window.partitionBy("file_path").orderBy(F.col("row").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    later = Window.partitionBy("file_path").orderBy(F.col("row").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    hashes, lisp = F.col("base").isin("python", "julia"), F.col("base").isin("clojure", "commonlisp")
+    commented = F.ltrim("line").startswith(F.when(hashes, "#").when(lisp, ";").otherwise("//"))
+    solid = F.when(F.trim("line") != "", F.col("row"))
+    run = F.coalesce(F.max(F.when(~commented, F.col("row"))).over(earlier), F.lit(-1)) + 1
+    # a block comment begins behind the one before it
+    block = F.coalesce(F.max(F.when(F.contains("line", F.lit("*/")), F.col("row"))).over(earlier), F.lit(0))
+    rows = lines.withColumns(
+        {
+            "solid": F.max(solid).over(earlier),
+            "all_solid": F.max(solid).over(Window.partitionBy("file_path")),
+            "comment_from": F.when(~hashes & ~lisp & F.col("line").rlike(r"\*/[ \t]*$"), block).when(commented, run),
+            "begin": F.min(F.when(F.col("opened") > 0, F.struct("row", "depth"))).over(onward),
+            "stop": F.min(F.when((F.col("opened") == 0) & F.col("code").rlike(r";\s*$"), F.col("row"))).over(onward),
+            "paren": F.min(F.when(F.col("code").startswith(")"), F.col("row"))).over(later),
+        }
+    )
+    return rows.withColumn("above", F.lag("comment_from").over(Window.partitionBy("file_path").orderBy("row")))
+
+
 def declarations(lines: DataFrame) -> DataFrame:
-    """(file_path, language, base, row, node_type, name, id): pattern matches, the first that fits a line."""
+    """(file_path, language, base, row, node_type, name, id, ...): pattern matches, the first that fits a line of _marked()."""
     per_language: dict[str, list[str]] = {}
     for base, _, regex, _, _ in P.DECLARATIONS:
         per_language.setdefault(base, []).append(f"(?:{regex})")
@@ -64,52 +100,51 @@ def declarations(lines: DataFrame) -> DataFrame:
     found = found.withColumn("name", F.when(F.col("fixed") != "", F.col("fixed")).when(receiver, F.concat(one, F.lit("."), two)).otherwise(one))
     tail = F.when(F.col("fixed") != "", F.col("row").cast("string")).when(F.col("prefix") == "method_", F.concat_ws("_", "name", "row")).otherwise(F.col("name"))
     return found.where("name <> ''").select(
-        "file_path", "language", "base", "row", "line", "indent", "depth", "opened", "closed", "node_type", "name", F.concat("file_path", F.lit("::"), "prefix", tail).alias("id")
+        "file_path", "language", "base", "row", "line", "indent", "depth", "opened", "closed", "begin", "stop", "paren", "all_solid", "above", "node_type", "name", F.concat("file_path", F.lit("::"), "prefix", tail).alias("id")
     )
 
 
-def _ends(lines: DataFrame, found: DataFrame) -> DataFrame:
-    """found with end_row, the last row of each declaration's block."""
-    before = F.col("d.depth") - F.col("d.opened") + F.col("d.closed")
-    other = lines.select("file_path", F.col("row").alias("r"), F.col("depth").alias("after"), F.col("opened").alias("o"), "code", F.col("indent").alias("i"))
-    pairs = found.alias("d").join(other.alias("l"), (F.col("d.file_path") == F.col("l.file_path")) & (F.col("l.r") >= F.col("d.row")))
-    # brackets: the first row at or below the starting depth once a bracket was opened,
-    # or a row that ends the statement before any
-    opens = F.min(F.when(F.col("l.o") > 0, F.col("l.r")))
-    stops = F.min(F.when((F.col("l.o") == 0) & F.col("l.code").rlike(r";\s*$"), F.col("l.r")))
-    firsts = pairs.groupBy("d.file_path", "d.id", "d.row").agg(opens.alias("opens"), stops.alias("stops"))
-    keyed = pairs.join(firsts.select(F.col("file_path").alias("fp"), F.col("id").alias("fid"), F.col("row").alias("frow"), "opens", "stops"), (F.col("d.file_path") == F.col("fp")) & (F.col("d.id") == F.col("fid")) & (F.col("d.row") == F.col("frow")))
-    closes = F.min(F.when((F.col("l.r") >= F.col("opens")) & (F.col("l.after") <= before), F.col("l.r")))
-    dedent = F.min(F.when((F.col("l.r") > F.col("d.row")) & (F.trim("l.code") != "") & (F.col("l.i") <= F.col("d.indent")) & ~F.col("l.code").rlike(r"^\s*[)\]]"), F.col("l.r")))
-    paren = F.min(F.when((F.col("l.r") > F.col("d.row")) & F.col("l.code").startswith(")"), F.col("l.r")))
-    return keyed.groupBy("d.file_path", "d.id", "d.row").agg(closes.alias("closes"), dedent.alias("dedent"), paren.alias("paren"), F.max("l.r").alias("last"), F.any_value("opens").alias("opens"), F.any_value("stops").alias("stops"))
+def _closed(lines: DataFrame, found: DataFrame) -> DataFrame:
+    """found with ``end``: the row that closes a declaration's block, and the last row
+    above it that is not blank.
+
+    A line that goes from one depth down to another closes all levels between, so
+    levels and lines meet in a window instead of declarations and lines: the next
+    closing line of a declaration's level is a running minimum from below.
+    """
+    python = F.col("base") == "python"
+    before = F.col("depth") - F.col("opened") + F.col("closed")
+    code = lines.where(~python | ((F.trim("code") != "") & ~F.col("code").rlike(r"^\s*[)\]]")))
+    last = F.lag("indent").over(Window.partitionBy("file_path").orderBy("row"))
+    code = code.withColumn("low", F.when(python, F.col("indent")).otherwise(F.col("depth"))).withColumn("high", F.when(python, last).otherwise(before - 1))
+    closing = code.where("low <= high").select("file_path", F.explode(F.sequence("low", "high")).alias("level"), "row", F.struct("row", "solid").alias("end"), F.lit(None).cast("struct<id:string,row:int>").alias("of"))
+    asked = found.where(python | F.col("begin").isNotNull()).select(
+        "file_path", F.when(python, F.col("indent")).otherwise(before).alias("level"), F.when(python, F.col("row")).otherwise(F.col("begin.row")).alias("row"), F.lit(None).cast("struct<row:int,solid:int>").alias("end"), F.struct("id", "row").alias("of")
+    )
+    below = Window.partitionBy("file_path", "level").orderBy(F.col("row").desc(), F.col("of").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    met = closing.unionByName(asked).withColumn("end", F.min("end").over(below)).where("of IS NOT NULL")
+    return found.join(met.select("file_path", F.col("of.id").alias("id"), F.col("of.row").alias("row"), "end"), ["file_path", "id", "row"], "left")
 
 
 def nodes_of(files: DataFrame) -> DataFrame:
     """Node rows of sources, with signature and ordinal (the order in the file)."""
-    lines = lines_of(files)
-    found = declarations(lines)
-    ends = _ends(lines, found)
+    lines = _marked(lines_of(files))
+    spans = _closed(lines, declarations(lines))
     single = F.col("node_type") == "import"
-    by_brackets = F.when(F.col("closes").isNull() | (F.col("stops") < F.col("opens")), F.coalesce("stops", "row")).otherwise(F.col("closes"))
-    # the last line of an indented block that is not blank
-    full = lines.where(F.trim("line") != "").select(F.col("file_path").alias("bf"), F.col("row").alias("br"))
-    spans = found.join(ends, ["file_path", "id", "row"])
-    limit = F.coalesce("dedent", F.col("last") + 1)
-    spans = spans.withColumn("limit", F.when(F.col("base") == "python", limit))
-    solid = spans.where("limit IS NOT NULL").join(full, (F.col("file_path") == F.col("bf")) & (F.col("br") >= F.col("row")) & (F.col("br") < F.col("limit")))
-    solid = solid.groupBy("file_path", "id", "row").agg(F.max("br").alias("solid"))
-    spans = spans.join(solid, ["file_path", "id", "row"], "left")
+    before = F.col("depth") - F.col("opened") + F.col("closed")
+    closes = F.when(F.col("begin.depth") <= before, F.col("begin.row")).otherwise(F.col("end.row"))
+    by_brackets = F.when(closes.isNull() | (F.col("stop") < F.col("begin.row")), F.coalesce("stop", "row")).otherwise(closes)
     group_end = F.when(F.col("line").rlike(r"^import\s*\("), F.coalesce("paren", "row")).otherwise(F.col("row"))
     end = F.when(single & (F.col("base") == "go"), group_end).when(single & ~F.col("base").isin("clojure", "commonlisp", "julia"), F.col("row"))
-    end = F.coalesce(end, F.when(F.col("base") == "python", F.coalesce("solid", "row")).otherwise(by_brackets), F.col("row"))
-    spans = spans.select("file_path", "language", "base", "row", "line", "node_type", "name", "id", end.alias("end_row"))
-    body = lines.select(F.col("file_path").alias("cf"), F.col("row").alias("cr"), F.col("line").alias("cl"))
-    # three lines above may hold a comment: all that touch the declaration count
-    near = spans.join(body, (F.col("file_path") == F.col("cf")) & (F.col("cr") <= F.col("end_row")) & (F.col("cr") >= F.col("row") - 40))
-    text = lambda cond: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(cond, F.struct("cr", "cl")))), lambda x: x["cl"]), "\n")
-    grouped = near.groupBy("file_path", "language", "base", "row", "line", "node_type", "name", "id", "end_row").agg(
-        text(F.col("cr") >= F.col("row")).alias("content"), text(F.col("cr") < F.col("row")).alias("above")
+    indented = F.when(F.col("end").isNull(), F.col("all_solid")).otherwise(F.col("end.solid"))
+    end = F.coalesce(end, F.when(F.col("base") == "python", F.coalesce(indented, "row")).otherwise(by_brackets), F.col("row"))
+    spans = spans.select("file_path", "language", "base", "row", "line", "node_type", "name", "id", "above", end.alias("end_row"))
+    whole = files.select("file_path", _text_lines().alias("all"))
+    cut = lambda a, n: F.array_join(F.slice("all", a + 1, n), "\n")
+    grouped = spans.join(whole, "file_path").select(
+        *[c for c in spans.columns if c != "above"],
+        cut(F.col("row"), F.col("end_row") - F.col("row") + 1).alias("content"),
+        F.when(F.col("above").isNull(), "").otherwise(cut(F.col("above"), F.col("row") - F.col("above"))).alias("above"),
     )
     comment = _comment_above(F.col("above"), F.col("base"))
     doc = F.when(F.col("base") == "python", F.regexp_extract("content", r'(?s)^[^\n]*\n\s*("""[^"]*+(?:"(?!"")[^"]*+)*+""")', 1)).when(

@@ -16,15 +16,21 @@ def callee_id(file_path: Column, callee: Column, language: Column | None = None)
     return F.when(outside, F.concat(F.lit("external::"), callee)).otherwise(F.concat(file_path, F.lit("::"), callee))
 
 
+#: Lines of a step of a file; a range stands at every step that it touches.
+STEP = 64
+
+
 def enclosing(sites: DataFrame, ranges: DataFrame) -> DataFrame:
     """Each site (file_path, site, line) with the first range (file_path, id,
     start_line, end_line, ordinal) that holds its line; sites in none are left out.
 
-    The join hashes on the file, and a file's ranges are few; min_by keeps one
-    row for each site while it aggregates.
+    Sites and ranges meet at steps of a file's lines, so a site is compared with
+    the ranges around it and not with all of a long file; min_by keeps one row for
+    each site while it aggregates.
     """
-    r = ranges.select("file_path", F.col("id").alias("caller"), "start_line", "end_line", "ordinal")
-    inside = sites.join(r, "file_path").where(F.col("line").between(F.col("start_line"), F.col("end_line")))
+    at = lambda line: F.floor(F.col(line) / STEP)
+    r = ranges.where("start_line <= end_line").select("file_path", F.col("id").alias("caller"), "start_line", "end_line", "ordinal", F.explode(F.sequence(at("start_line"), at("end_line"))).alias("step"))
+    inside = sites.withColumn("step", at("line")).join(r, ["file_path", "step"]).where(F.col("line").between(F.col("start_line"), F.col("end_line")))
     own = [c for c in sites.columns if c not in ("file_path", "site")]
     return inside.groupBy("file_path", "site").agg(*[F.any_value(c).alias(c) for c in own], F.min_by("caller", "ordinal").alias("caller"))
 

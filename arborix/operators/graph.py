@@ -75,6 +75,15 @@ def trace_view(nodes: DataFrame, path: DataFrame) -> DataFrame:
     return path.join(a, "from_id", "left").join(b, "to_id", "left").select("step", "from_id", "from_name", "to_id", "to_name")
 
 
+def trace_result(path: DataFrame, source: str, target: str) -> DataFrame:
+    """One row: from, to, max_depth, call_chain (from, to, edge_type in order) and found."""
+    step = F.struct("step", F.col("from_id").alias("from"), F.col("to_id").alias("to"), F.lit("calls").alias("edge_type"))
+    chain = F.transform(F.sort_array(F.collect_list(step)), lambda x: F.struct(x["from"].alias("from"), x["to"].alias("to"), x["edge_type"].alias("edge_type")))
+    return path.agg(chain.alias("call_chain")).select(
+        F.lit(source).alias("from"), F.lit(target).alias("to"), F.lit(MAX_PATH).alias("max_depth"), "call_chain", (F.size("call_chain") > 0).alias("found")
+    )
+
+
 def impact(nodes: DataFrame, edges: DataFrame, node_id: str, depth: int = 2) -> DataFrame:
     """What a node depends on, and who calls it: (id, name, node_type, file_path, line, relation)."""
     view = lambda df, relation: df.select("id", "name", "node_type", "file_path", F.col("start_line").alias("line"), F.lit(relation).alias("relation"))

@@ -87,6 +87,22 @@ def resolve_id(nodes: DataFrame, text: str) -> str:
     return found["id"] if found else text
 
 
+def metadata_by_path(metadata: DataFrame, path: str) -> DataFrame:
+    """The metadata of a file, no row if it is unknown."""
+    return metadata.where(F.col("file_path") == path).limit(1)
+
+
+def json_result(found: DataFrame, order: list, **about: str | int) -> DataFrame:
+    """One row ``json``: an answer's rows in order, their number, and what was asked.
+
+    For answers of a bounded number of rows, such as a search's.
+    """
+    fields = [c for c in found.columns]
+    rows = F.transform(F.sort_array(F.collect_list(F.struct(F.struct(*order).alias("place"), F.struct(*fields).alias("row")))), lambda x: x["row"])
+    asked = [F.lit(v).alias(k) for k, v in about.items()]
+    return found.agg(rows.alias("results")).select(F.to_json(F.struct(*asked, "results", F.size("results").alias("count"))).alias("json"))
+
+
 def capped(df: DataFrame, cap: int | None = None) -> DataFrame:
     """A whole table, or an arbitrary part of it where a cap is asked for."""
     return df if cap is None else df.limit(cap)

@@ -9,8 +9,12 @@ from arborix.operators.report import last_wins
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "id", ordinal: str | None = None) -> DataFrame:
-    """Rows of ``old`` without a new version, and the last version of each new row."""
-    new = last_wins(new, key, ordinal).drop(ordinal) if ordinal else new.dropDuplicates([key])
+    """Rows of ``old`` without a new version, and the last version of each new row.
+
+    Last by ``ordinal``, or in the order in which the new rows stand.
+    """
+    at = ordinal or "__at"
+    new = last_wins(new if ordinal else new.withColumn(at, F.monotonically_increasing_id()), key, at).drop(at)
     return old.join(new.select(key), key, "left_anti").unionByName(new.select(*old.columns))
 
 

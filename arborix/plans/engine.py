@@ -34,22 +34,17 @@ class Engine:
     def index(self, tree: str | DataFrame, excludes=(), strict: bool = True) -> dict[str, int]:
         """Bring the store up to date with a folder or a scan; counters of what was done."""
         scan = files.scan(self.spark, tree, excludes) if isinstance(tree, str) else tree
-        old = self.store.read("file_metadata")
+        since, old = self.store.manifest(), self.store.read("file_metadata")
         found = checkpointed(changes(scan, old))
-        todo = scan.join(found.where("status IN ('new', 'changed')").select("file_path"), "file_path", "left_semi")
+        # files are read once: what is hashed is what is parsed
+        todo = checkpointed(scan.join(found.where("status IN ('new', 'changed')").select("file_path"), "file_path", "left_semi"))
         gone = found.where("status IN ('changed', 'deleted')").select("file_path")
         counters = report.index_counters(found).first().asDict()
         parsed, vectors = self._parse(todo)
         calls = checkpointed(calls_of(todo, parsed, strict))
         nodes, edges = merge.replace_files(self.nodes, self.edges, gone, vectors, calls)
-        of_file = parsed.select("file_path").unionAll(found.where("false").select("file_path"))
-        e = calls.select(F.substring_index("from_id", "::", 1).alias("file_path"))
-        counts = report.per_file_counts(of_file, e)
-        meta = merge.upsert_metadata(
-            old.join(found.where("status = 'deleted'"), "file_path", "left_anti"),
-            metadata_of(todo, counts, int(time.time())).join(todo.select("file_path", "language"), "file_path").withColumn("project_id", F.lit(None).cast("string")).select(*[c for c in old.columns if c != "modified_at"], F.lit(None).cast("timestamp").alias("modified_at")),
-        )
-        self.store.publish(nodes=nodes, edges=edges, file_metadata=meta)
+        meta = self._metadata(old.join(found.where("status = 'deleted'"), "file_path", "left_anti"), todo, parsed, calls)
+        self.store.publish(since, nodes=nodes, edges=edges, file_metadata=meta)
         return counters | {"nodes_created": parsed.count(), "edges_created": calls.count()}
 
     def _parse(self, todo: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -61,17 +56,25 @@ class Engine:
         found = checkpointed(embedding.embedded(last, self.provider))
         return parsed, embedding.attach(last, found)
 
+    def _metadata(self, old: DataFrame, scan: DataFrame, parsed: DataFrame, calls: DataFrame) -> DataFrame:
+        """The metadata ``old`` after the files of a scan were indexed."""
+        counts = report.per_file_counts(parsed.select("file_path"), calls.select(F.substring_index("from_id", "::", 1).alias("file_path")))
+        rows = metadata_of(scan, counts, int(time.time())).join(scan.select("file_path", "language"), "file_path")
+        rows = rows.withColumns({"project_id": F.lit(None).cast("string"), "modified_at": F.lit(None).cast("timestamp")})
+        return merge.upsert_metadata(old, rows.select(*old.columns))
+
     def apply(self, upserts: DataFrame, deletes: DataFrame) -> None:
         """Replace the rows of changed files (a scan) and drop those of deleted ones.
 
-        File metadata goes with deleted files and is left alone otherwise.
+        File metadata follows, so that the next index finds these files unchanged.
         """
+        since, upserts = self.store.manifest(), checkpointed(upserts)
         parsed, vectors = self._parse(upserts)
         calls = checkpointed(calls_of(upserts, parsed))
         touched = upserts.select("file_path").unionByName(deletes.select("file_path"))
         nodes, edges = merge.replace_files(self.nodes, self.edges, touched, vectors, calls)
-        meta = self.store.read("file_metadata").join(deletes.select("file_path"), "file_path", "left_anti")
-        self.store.publish(nodes=nodes, edges=edges, file_metadata=meta)
+        meta = self._metadata(self.store.read("file_metadata").join(deletes.select("file_path"), "file_path", "left_anti"), upserts, parsed, calls)
+        self.store.publish(since, nodes=nodes, edges=edges, file_metadata=meta)
 
     def status(self) -> dict[str, int]:
         n = self.nodes.agg(F.count(F.lit(1)).alias("nodes"), F.count("embedding").alias("embedded")).first()

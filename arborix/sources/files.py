@@ -148,7 +148,7 @@ def scan(spark: SparkSession, root: str, excludes=(), folders_only: bool = False
         language(F.col("path")).alias("language"),
     )
     patterns = tuple(DEFAULT_EXCLUDES) + tuple(excludes)
-    below = F.expr(f"substring(file_path, length('{root.rstrip('/')}') + 2)") if root.startswith("/") else F.col("file_path")
+    below = F.substring(F.col("file_path"), F.lit(len(root.rstrip("/")) + 2), F.length("file_path")) if root.startswith("/") else F.col("file_path")
     out = (excluded_folder if folders_only else excluded)(below, patterns)
     return rows.where((F.col("language") != "") & ~out)
 

@@ -1,7 +1,8 @@
 """A versioned store: Parquet tables and a manifest that names the current ones.
 
 A write goes to a new version and is published by renaming one small file, so
-readers see either all of it or nothing. There is one writer at a time.
+readers see either all of it or nothing. A writer that finds another manifest than
+the one it began with has lost and publishes nothing.
 """
 
 from __future__ import annotations
@@ -33,13 +34,20 @@ class Store:
         df = self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{where}") if where else empty(self.spark, name)
         return df if cap is None else df.limit(cap)
 
-    def publish(self, **tables: DataFrame) -> None:
-        """Write tables as a new version and make them current together."""
-        now = self.manifest()
+    def publish(self, _since: dict[str, str] | None = None, **tables: DataFrame) -> None:
+        """Write tables as a new version and make them current together.
+
+        ``_since`` is the manifest that the tables were made from, by default the
+        one before they are written.
+        """
+        began = self.manifest() if _since is None else _since
+        now = dict(began)
         for name, df in tables.items():
             where = f"{name}/{uuid.uuid4().hex}"
             conform(df, name).write.parquet(f"{self.root}/{where}")
             now[name] = where
+        if self.manifest() != began:
+            raise RuntimeError("another writer has published meanwhile")
         draft = self.path(f"{self.root}/.MANIFEST-{uuid.uuid4().hex}")
         out = self.fs.create(draft)
         out.write(bytearray(json.dumps(now).encode()))
@@ -51,6 +59,20 @@ class Store:
         overwrite[0] = rename.OVERWRITE
         context.rename(draft, current, overwrite)
 
+    def vacuum(self) -> int:
+        """Remove the folders that the manifest does not name; how many went.
+
+        Readers of older versions must be done, and no writer may be at work.
+        """
+        kept, gone = set(self.manifest().values()), 0
+        for name in TABLES:
+            folder = self.path(f"{self.root}/{name}")
+            for status in self.fs.listStatus(folder) if self.fs.exists(folder) else []:
+                if f"{name}/{status.getPath().getName()}" not in kept:
+                    self.fs.delete(status.getPath(), True)
+                    gone += 1
+        return gone
+
     def migrate(self) -> list[str]:
         """Create the tables that are missing; repeated calls change nothing."""
         missing = [n for n in TABLES if n not in self.manifest()]

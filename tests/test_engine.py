@@ -72,6 +72,21 @@ def test_extraction(spark):
     assert "a.py::m->a.py::calculate_sum:calls" in {r["id"] for r in calls_of(scan, nodes, strict=False).collect()}
 
 
+def test_long_comments_and_long_files(spark):
+    """Comments of any length are taken whole; nested and flat blocks end where they close."""
+    go = "package p\n\n/* first */\n/*\n@semantic\nid: far\n" + "text\n" * 90 + "*/\nfunc Far() {\n\tif x {\n\t}\n\tfor {\n\t\tif y {\n\t\t}}\n}\n\n"
+    go += "// one\n" * 60 + "func Near() { return }\n" + "".join(f"func f{i}() {{\n\tg()\n}}\n" for i in range(300))
+    py = "# a\n" * 50 + "class A:\n    def m(self):\n        return f(\n            1\n        )\n\n    def n(self): pass\nx = 1\n"
+    got = {r["id"]: r for r in nodes_of(files.from_rows(spark, [("m.go", go), ("a.py", py)])).collect()}
+    far, near = got["m.go::Far"], got["m.go::Near"]
+    assert far["annotations"]["id"].startswith("far text") and far["doc_comment"].count("text") == 90 and "first" not in far["doc_comment"]
+    assert far["end_line"] - far["start_line"] == 6 and near["end_line"] == near["start_line"] and near["doc_comment"].count("one") == 60
+    assert all(got[f"m.go::f{i}"]["end_line"] - got[f"m.go::f{i}"]["start_line"] == 2 for i in range(300))
+    assert got["a.py::A"]["doc_comment"] == " ".join("a" * 50)
+    span = lambda i: (got[i]["start_line"], got[i]["end_line"])
+    assert span("a.py::A") == (51, 57) and {span(i) for i in got if i.startswith("a.py") and i != "a.py::A"} == {(52, 55), (57, 57)}
+
+
 def test_symbol_tables_of_sources(spark):
     util = 'package util\n\nfunc Do() int {\n\treturn 1\n}\n\nfunc (t *T) Go() {\n}\n'
     main = 'package main\n\nimport (\n\tu "util"\n\t"a/b/fmt"\n)\n\nfunc main() {\n\tu.Do()\n\tfmt.Print()\n\tlocal()\n}\n\nfunc local() {\n}\n'
@@ -147,6 +162,9 @@ def test_index_search_and_changes(spark, tmp_path):
     (tree / "m.go").unlink()
     assert engine.index(str(tree))["files_deleted"] == 1
     assert engine.status()["nodes"] == 1 and engine.store.manifest().keys() == {"nodes", "edges", "file_metadata"}
+    assert engine.store.vacuum() > 0 and engine.status()["nodes"] == 1 and engine.store.vacuum() == 0
+    with pytest.raises(RuntimeError):
+        engine.store.publish({"nodes": "an/older"}, nodes=engine.nodes)
 
 
 def test_symbols(spark):
@@ -203,3 +221,5 @@ def test_watch_applies_changes(spark, tmp_path):
     q.stop()
     assert q.exception() is None
     assert {r["file_path"] for r in engine.nodes.collect()} == {"a.go"}
+    assert {(r["file_path"], r["node_count"]) for r in engine.store.read("file_metadata").collect()} == {("a.go", 5)}
+    assert engine.index(sources)["files_skipped"] == 1
