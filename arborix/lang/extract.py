@@ -137,6 +137,8 @@ def nodes_of(files: DataFrame) -> DataFrame:
     group_end = F.when(F.col("line").rlike(r"^import\s*\("), F.coalesce("paren", "row")).otherwise(F.col("row"))
     end = F.when(single & (F.col("base") == "go"), group_end).when(single & ~F.col("base").isin("clojure", "commonlisp", "julia"), F.col("row"))
     indented = F.when(F.col("end").isNull(), F.col("all_solid")).otherwise(F.col("end.solid"))
+    # Julia's blocks open on the line that declares them
+    end = F.when((F.col("base") == "julia") & (F.col("opened") == 0), F.col("row")).otherwise(end)
     end = F.coalesce(end, F.when(F.col("base") == "python", F.coalesce(indented, "row")).otherwise(by_brackets), F.col("row"))
     spans = spans.select("file_path", "language", "base", "row", "line", "node_type", "name", "id", "above", end.alias("end_row"))
     whole = files.select("file_path", _text_lines().alias("all"))

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborix.functions import text as X
+from arborix.lang.extract import calls_of, nodes_of
 from arborix.operators import calls, graph, incremental, lookup, merge, report, search
+from arborix.plans import samples
 from arborix.schema import edge_id
 from arborix.session import table
 from arborix.sources import files as S
@@ -435,7 +437,7 @@ def _marks(x: str) -> str:
     return x
 
 
-_COMMENT = "('/** ' || replace(substr(text, 1, 400), chr(10), chr(10) || ' * ') || chr(10) || '// # end */')"
+_COMMENT = "('/** ' || replace(text, chr(10), chr(10) || ' * ') || chr(10) || '// # end */')"
 
 
 @query(
@@ -443,16 +445,18 @@ _COMMENT = "('/** ' || replace(substr(text, 1, 400), chr(10), chr(10) || ' * ')
     SELECT doc_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: {_STRIP(_marks(_STRIP('x')))}), lambda x: x <> ''), ' ') AS cleaned FROM b"""
 )
 def clean_comment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = F.replace(F.substring("text", 1, 400), F.lit("\n"), F.lit("\n * "))
+    body = F.replace(F.col("text"), F.lit("\n"), F.lit("\n * "))
     comment = F.concat(F.lit("/** "), body, F.lit("\n// # end */"))
     return table(spark, sf_dir, "documents").select("doc_id", X.clean_comment(comment).alias("cleaned"))
 
 
-@query(f"""SELECT doc_id, {_STRIP("substr(text, 1, 100)")} AS cleaned FROM documents WHERE NOT contains(substr(text, 1, 100), '"')""")
+_QUOTED = """('\"\"\"' || text || '\"\"\"')"""
+
+
+@query(f"""SELECT doc_id, {_STRIP(f"regexp_replace({_STRIP(_QUOTED)}, '^\"+|\"+$', '', 'g')")} AS cleaned FROM documents""")
 def clean_docstring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.substring("text", 1, 100)
-    quoted = F.concat(F.lit('"""'), head, F.lit('"""'))
-    return table(spark, sf_dir, "documents").where(~F.contains(head, F.lit('"'))).select("doc_id", X.clean_docstring(quoted).alias("cleaned"))
+    quoted = F.concat(F.lit('"""'), "text", F.lit('"""'))
+    return table(spark, sf_dir, "documents").select("doc_id", X.clean_docstring(quoted).alias("cleaned"))
 
 
 @query("SELECT doc_id, 'f' || doc_id AS id, lang || ' and ' || source AS summary, CAST(doc_id % 3 AS VARCHAR) AS version FROM documents")
@@ -507,13 +511,74 @@ def names_to_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.dedup_first(lookup.names_to_nodes(V.nodes(spark, sf_dir).select("id", "name"), words)).select("id", "ordinal")
 
 
-@query()
+@query(samples.NODES_SQL)
 def parse_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes of a source text for each page, made of a template."""
-    from arborix.lang.extract import nodes_of
+    """Nodes of a source in one of eleven languages for each page."""
+    return nodes_of(samples.sources(spark, sf_dir)).select("id", "name", "node_type", "start_line", "end_line", "doc_comment")
+
+
+@query(samples.CALLS_SQL)
+def call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Call edges of the same sources."""
+    sources = samples.sources(spark, sf_dir)
+    return calls_of(sources, nodes_of(sources)).select("from_id", "to_id")
+
+
+@query("SELECT 'src/doc_30.py' AS file_path, sha256(text) AS content_hash, CAST(strlen(text) AS BIGINT) AS file_size FROM documents WHERE doc_id = 30")
+def metadata_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = incremental.metadata_of(V.files(spark, sf_dir))
+    return lookup.metadata_by_path(known, "src/doc_30.py").select("file_path", "content_hash", "file_size")
+
+
+@query(f"""{N}, {_TOP % 10} SELECT 'vector 7' AS query, CAST((SELECT count(*) FROM top WHERE score > 0) AS INTEGER) AS n,
+    (SELECT string_agg(id, ' ' ORDER BY score DESC, id) FROM top WHERE score > 0) AS ids""")
+def json_search_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search's answer as the JSON that a tool sends, read again."""
+    found = search.semantic_search(V.nodes(spark, sf_dir), _vector(spark, sf_dir), 10).select("id", "score")
+    sent = lookup.json_result(found, [-F.col("score"), F.col("id")], query="vector 7")
+    got = sent.select(F.from_json("json", "query string, results array<struct<id:string>>, count int").alias("r"))
+    return got.select("r.query", F.col("r.count").alias("n"), F.array_join(F.col("r.results.id"), " ").alias("ids"))
+
+
+@query(f"""{NE}, e AS (SELECT from_id, to_id FROM g_edges WHERE edge_type = 'calls'), one AS (SELECT min(to_id) AS t FROM e WHERE from_id = {_DOC0})
+    SELECT t AS goal, true AS found, 1 AS n FROM one WHERE t IS NOT NULL UNION ALL SELECT 'no such node', false, 0""")
+def trace_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether there is a chain: to a callee, and to a node that is not there."""
+    nodes, edges, start = V.nodes(spark, sf_dir), V.edges(spark, sf_dir), _node(spark, sf_dir, 0)
+    near = edges.where((F.col("edge_type") == "calls") & (F.col("from_id") == start)).agg(F.min("to_id")).first()[0]
+    out = None
+    for goal in [x for x in (near, "no such node") if x]:
+        one = graph.trace_result(graph.call_path(nodes, edges, start, goal), start, goal)
+        one = one.select(F.col("to").alias("goal"), "found", F.size("call_chain").alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT doc_id, md5(encode(text)[1:497]) AS head, CASE WHEN strlen(text) > 500 THEN '...' ELSE right(text, 3) END AS tail FROM documents")
+def truncate_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The byte form; a character that is cut lies behind byte 497."""
+    cut = X.truncate_bytes(F.col("text"), 500)
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.substring(F.encode(cut, "UTF-8"), 1, 497)).alias("head"), F.right(cut, F.lit(3)).alias("tail"))
+
+
+@query(f"""{N}, w AS (SELECT * FROM (VALUES (0, 'doc_12'), (1, 'doc_9'), (2, 'c_99')) v(ordinal, part)), m AS (SELECT id, ordinal FROM g_nodes JOIN w ON contains(name, part)),
+    c AS (SELECT ordinal, coalesce(sum(count(*)) OVER (ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM m GROUP BY ordinal)
+    SELECT id, ordinal FROM m JOIN c USING (ordinal) WHERE before < 3""")
+def soft_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spark.createDataFrame([(0, "doc_12"), (1, "doc_9"), (2, "c_99")], "ordinal int, part string")
+    return lookup.soft_limited(lookup.names_to_nodes(V.nodes(spark, sf_dir).select("id", "name"), words)).select("id", "ordinal")
 
-    src = F.concat(F.lit("import os\n\n# About "), "page_id", F.lit("\ndef load_"), "page_id", F.lit('(x):\n    """Loads."""\n    return os.path(x)\n\n\nclass Page'), "page_id", F.lit(":\n    def show(self):\n        return 1\n"))
-    rows = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), "page_id", F.lit(".py")).alias("file_path"), F.lit("python").alias("language"), F.encode(src, "UTF-8").alias("content"))
-    return nodes_of(rows).select("id", "name", "node_type", "start_line", "end_line", "doc_comment")
 
+@query("SELECT count(*) FILTER (WHERE doc_id % 9 <> 0) AS success, CAST(sum(doc_id % 3) AS BIGINT) AS retry, count(*) FILTER (WHERE doc_id % 9 = 0) AS failure FROM documents")
+def embedding_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return report.embedding_counters(d.select((F.col("doc_id") % 3 + 1).alias("attempts"), (F.col("doc_id") % 9 != 0).alias("ok")))
 
+
+@query("SELECT conv_id, turn, role AS name, CAST(turn AS VARCHAR) AS n, text AS message FROM conversations")
+def tool_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arguments read from a call's JSON, and an error's message through its JSON."""
+    c = table(spark, sf_dir, "conversations")
+    call = X.arguments(F.to_json(F.struct(F.col("role").alias("name"), F.col("turn").alias("n"))))
+    failed = F.from_json(X.error_result(F.col("text")), "error boolean, message string")
+    return c.select("conv_id", "turn", call["name"].alias("name"), call["n"].alias("n"), F.when(failed["error"], failed["message"]).alias("message"))
