@@ -36,12 +36,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by host and first path part of the page with their id, without one by source and language."""
-    docs, url = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), F.col("url")
+    url = F.col("url")
     own = [F.min(url_filter.host(url)).alias("host"), F.min(F.regexp_extract(url_filter.path(url), "^/([^/]*)", 1)).alias("path")]
-    pages = table(spark, sf_dir, "pages").where(F.col("page_id").isNotNull()).groupBy(F.col("page_id").alias("doc_id")).agg(*own)
-    placed = docs.join(pages, "doc_id", "left")
-    host = F.coalesce("host", F.concat(F.lit("source="), "source"))
-    return site_quality.classify(placed, table(spark, sf_dir, "labels"), host, F.coalesce("path", "lang"))
+    sites = table(spark, sf_dir, "pages").where(F.col("page_id").isNotNull()).groupBy(F.col("page_id").alias("doc_id")).agg(*own)
+    host = F.concat(F.lit("source="), "source")
+    return site_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), host, F.col("lang"), sites=sites)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

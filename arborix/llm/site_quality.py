@@ -115,11 +115,18 @@ def strengths(paths: DataFrame) -> tuple[float | None, float, float]:
     return got["path"]["good"] / got["path"]["n"], one(got["host"]), one(got["path"])
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
-    """doc_id, evidence, host and path shares, posterior and kept for every row."""
+def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, key: str = "doc_id", text: str = "text", label: str = "quality", sites: DataFrame | None = None) -> DataFrame:
+    """doc_id, evidence, host and path shares, posterior and kept for every row.
+
+    ``sites`` (doc_id, host, path; a row a document) comes before the columns host
+    and path; it meets the documents' bins, so that no text is shuffled.
+    """
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), host.cast("string").alias("host"), path.cast("string").alias("path"), F.col(text).alias("text"))
     known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).cast("long").alias("doc_id")).agg((F.avg(label) >= 0.5).alias("good"))
     bins = measured(slim).select("doc_id", "host", "path", *[binned(n, F.col(n)).alias(n) for n in BINS])
+    if sites is not None:
+        known_at = sites.select(F.col("doc_id"), F.col("host").alias("own_host"), F.col("path").alias("own_path"))
+        bins = bins.join(known_at, "doc_id", "left").select("doc_id", F.coalesce("own_host", "host").alias("host"), F.coalesce("own_path", "path").alias("path"), *BINS)
     bins = checkpointed(bins)
     share, table = ratios(bins.join(known, "doc_id"))
     evidence = F.lit(0.0)

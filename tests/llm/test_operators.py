@@ -664,6 +664,10 @@ def test_site_quality_equals_loops(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, host string, path string").repartition(3)
     got = site_quality.classify(docs, spark.createDataFrame(labels, "doc_id long, quality int"), F.col("host"), F.col("path")).collect()
 
+    where = docs.select("doc_id", "host", "path").where("doc_id IS NOT NULL").distinct()
+    moved = site_quality.classify(docs, docs.limit(0).select("doc_id", F.lit(1).alias("quality")), F.col("host"), F.col("path"), sites=where.select("doc_id", F.lit("h").alias("host"), "path"))
+    assert moved.count() == len(rows) and moved.where("doc_id IS NOT NULL").select("host_share").distinct().count() == 1
+
     def bins(t):
         w = t.split()
         n, chars = max(len(w), 1), sum(map(len, w))
