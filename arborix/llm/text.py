@@ -63,18 +63,21 @@ def bare_words(data: bytes | None) -> list[bytes]:
 class Memo(dict):
     """word -> f(word), worked out once for each word that is in reach.
 
-    The table is emptied when it holds ``limit`` words, which bounds a task's
-    memory and changes no result.
+    The table holds at most ``limit`` words: when half of them are new, the other
+    half goes but for the words that were met again. This bounds a task's memory
+    and changes no result.
     """
 
     def __init__(self, f, limit: int = 400_000):
         super().__init__()
-        self.f, self.limit = f, limit
+        self.f, self.limit, self.older = f, limit, {}
 
     def __missing__(self, word):
-        if len(self) >= self.limit:
+        value = self.older[word] if word in self.older else self.f(word)
+        if 2 * len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
-        self[word] = value = self.f(word)
+        self[word] = value
         return value
 
 
@@ -88,11 +91,17 @@ def held(key: str, make: Callable):
     not carry its tables into the next one's.
     """
     if key not in _held:
-        _held.clear()
+        release()
         _held[key] = make()
     return _held[key]
 
 
+def release() -> None:
+    """Let go of what the worker process keeps, before work that does not need it."""
+    _held.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, so that a task holds few texts twice."""
     for batch in batches:

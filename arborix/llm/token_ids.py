@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from arborix.llm.text import Memo, held, small_batches
+from arborix.llm.text import Memo, held, release, small_batches
 from arborix.session import shared_path
 
 END_ID = 1
@@ -41,6 +41,8 @@ BLOCK_BITS = 512
 PART_BYTES, MOST_PARTS, PARTS_PER_TASK = 8 << 20, 1 << 16, 4
 #: Shards of a file, about two bytes an id each.
 FILE_SHARDS = 32
+#: Words whose ids a worker keeps at a time.
+KEPT_WORDS = 200_000
 MAGIC = b"DAC1"
 
 
@@ -131,7 +133,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.model = self.tokenizer.model
         self.direct = all(self._letters(w) == self._encode(w) for w in ("the", "straße", "ñandú", "σς", "日本語"))
-        self.words = Memo(self._word)
+        self.words = Memo(self._word, KEPT_WORDS)
 
     def _encode(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -230,12 +232,13 @@ def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", v
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema, part, shard = to_arrow_schema(SHARD), None, 0
         doc_ids, counts, ids, size = [], [], [], 0
+        release()
 
         def done() -> pa.RecordBatch:
             row = {"part": part, "shard": shard, "doc_ids": doc_ids, "counts": counts, "n_tokens": size, "codes": encode(np.concatenate(ids))}
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
-        for batch in batches:
+        for batch in small_batches(batches):
             for own, doc_id, n, codes in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if size and (own != part or size + n > SHARD_IDS):
                     yield done()

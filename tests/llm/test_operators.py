@@ -718,3 +718,15 @@ def test_pipeline(spark, tmp_path):
     assert seen[0] > seen[1] > seen[3] > 0
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert last.count() == seen[-1] and corpus_pipeline.run(spark, sf).count() == seen[-1]
+
+
+def test_memo_is_bounded_and_right():
+    """A table of words never holds more than its limit, and words in use are not worked out again."""
+    from arborix.llm.text import Memo
+
+    made = []
+    memo = Memo(lambda w: made.append(w) or w * 2, 10)
+    for i in range(200):
+        assert memo[i] == 2 * i and memo["often"] == "oftenoften"
+        assert len(memo.keys() | memo.older.keys()) <= 10
+    assert made.count("often") == 1 and len(made) == 201
