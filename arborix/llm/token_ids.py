@@ -42,7 +42,7 @@ PART_BYTES, MOST_PARTS, PARTS_PER_TASK = 8 << 20, 1 << 16, 4
 #: Shards of a file, about two bytes an id each.
 FILE_SHARDS = 32
 #: Words whose ids a worker keeps at a time.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 400_000
 MAGIC = b"DAC1"
 
 
