@@ -41,6 +41,8 @@ BLOCK_BITS = 512
 PART_BYTES, MOST_PARTS, PARTS_PER_TASK = 8 << 20, 1 << 16, 4
 #: Shards of a file, about two bytes an id each.
 FILE_SHARDS = 32
+#: Shards that a task holds at a time when it reads.
+SHARDS_AT_ONCE = 4
 #: Words whose ids a worker keeps at a time.
 KEPT_WORDS = 400_000
 MAGIC = b"DAC1"
@@ -266,10 +268,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32.
 
     Starts are prefix sums in two steps: over the tasks that wrote, then over
-    the shards of a task; the documents of a shard follow in place.
+    the shards of a task; the documents of a shard follow in place. Shards are
+    long rows, so they are opened at once in a session of their own, whose
+    batches are of SHARDS_AT_ONCE; a slim table of what they hold is what stays.
     """
-    shards = spark.read.parquet(path)
-    sizes = shards.select("part", "shard", "n_tokens")
+    sizes = spark.read.schema(SHARD).parquet(path).select("part", "shard", "n_tokens")
     per_part = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = per_part.select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("part_start"))
@@ -287,9 +290,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 own = [pa.array(x, pa.int64()) for x in (row["doc_ids"], ends - counts, counts, crc)]
                 yield pa.RecordBatch.from_arrays([*same, *own], names=["part", "shard", "doc_id", "inner", "n_tokens", "ids_crc32"])
 
-    rows = shards.select("part", "shard", "doc_ids", "counts", "codes").mapInArrow(
-        check, "part long, shard long, doc_id long, inner long, n_tokens long, ids_crc32 long"
-    )
+    few, opened = spark.newSession(), shared_path(spark, "token-ids-read")
+    for setting in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
+        few.conf.set(setting, SHARDS_AT_ONCE)
+    held_in = "part long, shard long, doc_id long, inner long, n_tokens long, ids_crc32 long"
+    few.read.schema(SHARD).parquet(path).select("part", "shard", "doc_ids", "counts", "codes").mapInArrow(check, held_in).write.parquet(opened)
+    rows = spark.read.schema(held_in).parquet(opened)
     return rows.join(starts, ["part", "shard"]).select("doc_id", (F.col("base") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
 
 
