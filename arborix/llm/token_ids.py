@@ -20,6 +20,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from unicodedata import is_normalized
 
 import numpy as np
@@ -43,6 +44,8 @@ PART_BYTES, MOST_PARTS, PARTS_PER_TASK = 8 << 20, 1 << 16, 4
 FILE_SHARDS = 32
 #: Shards that a task holds at a time when it reads.
 SHARDS_AT_ONCE = 4
+#: Texts that come to a task at a time when it encodes.
+TEXTS_AT_ONCE = 1000
 #: Words whose ids a worker keeps at a time.
 KEPT_WORDS = 400_000
 MAGIC = b"DAC1"
@@ -223,6 +226,18 @@ def _wide(data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<u2" if data[0] == 2 else "<u4", offset=1).astype("<u4")
 
 
+@contextmanager
+def _batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs that run meanwhile hand their tasks so many rows at a time."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> None:
     """Write all ids in ascending doc_id order as shards of at most SHARD_IDS ids.
 
@@ -261,7 +276,8 @@ def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", v
     cuts = (docs.agg(F.percentile_approx(own, at, min(1_000_000, 100 * parts))).first()[0] or []) if at else []
     rows = encoded(docs, cuts, parts, key, text, vocabulary)
     placed = rows.repartition(-(-parts // PARTS_PER_TASK), "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "hash")
-    placed.select("part", "doc_id", "n_tokens", "codes").mapInArrow(pack, SHARD).write.option("maxRecordsPerFile", FILE_SHARDS).parquet(path)
+    with _batches_of(spark, TEXTS_AT_ONCE):
+        placed.select("part", "doc_id", "n_tokens", "codes").mapInArrow(pack, SHARD).write.option("maxRecordsPerFile", FILE_SHARDS).parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
