@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -149,25 +150,27 @@ def estimate(patterns: list[tuple[int, int]], rounds: int = 500) -> tuple[float,
     Each rule has its own chances of each vote on good and on bad texts; to
     abstain is a vote like the others. Without texts the priors are returned.
     """
-    seen = [(decoded(code), n) for code, n in sorted(patterns)]
-    good, chance = PRIOR_GOOD, [[list(side) for side in PRIOR_VOTES] for _ in RULES]
+    n_rules = len(RULES)
+    prior = PRIOR_WEIGHT * np.array([PRIOR_VOTES] * n_rules)
+    good, chance = PRIOR_GOOD, prior / PRIOR_WEIGHT
+    seen = sorted(patterns)
+    vote = np.array([decoded(code) for code, _ in seen], np.int64).reshape(-1, n_rules)
+    n = np.array([count for _, count in seen], np.float64)
+    at = vote + 3 * np.arange(n_rules)
     for _ in range(rounds):
-        model = _weights(good, chance)
-        mass = [[[PRIOR_WEIGHT * x for x in side] for side in PRIOR_VOTES] for _ in RULES]
-        sums = [PRIOR_WEIGHT * PRIOR_GOOD, PRIOR_WEIGHT * (1 - PRIOR_GOOD)]
-        for vote, n in seen:
-            p = probability(model, vote)
-            for side, share in enumerate((p * n, (1 - p) * n)):
-                sums[side] += share
-                for j, v in enumerate(vote):
-                    mass[j][side][v] += share
-        new = [[[x / sum(side) for x in side] for side in rule] for rule in mass]
-        share = sums[0] / sum(sums)
-        moved = max([abs(share - good), *(abs(a - b) for x, y in zip(new, chance, strict=True) for p, q in zip(x, y, strict=True) for a, b in zip(p, q, strict=True))])
+        ratio = np.log(chance[:, 0] / chance[:, 1]).ravel()
+        score = math.log(good / (1 - good)) + ratio[at].sum(axis=1)
+        p = 1 / (1 + np.exp(-np.clip(score, -500, 500)))
+        sums = PRIOR_WEIGHT * np.array([PRIOR_GOOD, 1 - PRIOR_GOOD]) + np.array([(p * n).sum(), ((1 - p) * n).sum()])
+        mass = [np.bincount(at.ravel(), np.repeat(x, n_rules), 3 * n_rules).reshape(n_rules, 3) for x in (p * n, (1 - p) * n)]
+        new = prior + np.stack(mass, axis=1)
+        new /= new.sum(axis=2, keepdims=True)
+        share = sums[0] / sums.sum()
+        moved = max(abs(share - good), np.abs(new - chance).max())
         good, chance = share, new
         if moved < 1e-9:
             break
-    return _weights(good, chance)
+    return _weights(float(good), chance.tolist())
 
 
 def _weights(good: float, chance: list) -> tuple[float, list[list[float]]]:
@@ -187,13 +190,13 @@ def fit(patterns: DataFrame) -> tuple[float, list[list[float]]]:
 
 
 def posterior(model: tuple[float, list[list[float]]], code: Column) -> Column:
-    """Posterior of a pattern column: the sum of its votes' ratios."""
+    """Posterior of a pattern column: the sum of its votes' ratios, null for a null."""
     odds, ratios = model
     score = F.lit(odds)
     for j, rule in enumerate(reversed(ratios)):
         vote = F.pmod(F.floor(code / F.lit(3**j)), F.lit(3)).cast("int")
-        score = score + F.element_at(F.array(*[F.lit(x) for x in rule]), vote + 1)
-    return 1 / (1 + F.exp(-score))
+        score = score + F.get(F.array(*[F.lit(x) for x in rule]), vote)
+    return F.when(code.isNotNull(), 1 / (1 + F.exp(-score)))
 
 
 def quality(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -210,7 +213,7 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         "n_dup_lines",
         "n_repeat_words",
         "base_failed",
-        F.coalesce(p >= 0.5, F.lit(False)).alias("kept"),
+        F.when(F.col("base_failed"), F.lit(False)).otherwise(p >= 0.5).alias("kept"),
         F.round(p, 6).alias("posterior"),
     )
 
