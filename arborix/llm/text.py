@@ -63,20 +63,29 @@ def bare_words(data: bytes | None) -> list[bytes]:
 class Memo(dict):
     """word -> f(word), worked out once for each word that is in reach.
 
-    The table holds at most ``limit`` words: when half of them are new, the other
-    half goes but for the words that were met again. This bounds a task's memory
-    and changes no result.
+    The table holds about ``limit`` bytes: when half of them are new, the other
+    half goes but for the words that were met again. A word and a value as long
+    as a quarter of that are not kept at all. This bounds a task's memory and
+    changes no result.
     """
 
-    def __init__(self, f, limit: int = 400_000):
+    #: What a dictionary needs for an entry besides the bytes of key and value.
+    ENTRY = 150
+
+    def __init__(self, f, limit: int = 48 << 20):
         super().__init__()
-        self.f, self.limit, self.older = f, limit, {}
+        self.f, self.limit, self.older, self.held = f, limit, {}, 0
 
     def __missing__(self, word):
         value = self.older[word] if word in self.older else self.f(word)
-        if 2 * len(self) >= self.limit:
+        size = self.ENTRY + len(word) + (len(value) if isinstance(value, bytes) else 0)
+        if 4 * size >= self.limit:
+            return value
+        if 2 * self.held >= self.limit:
             self.older = dict(self)
             self.clear()
+            self.held = 0
+        self.held += size
         self[word] = value
         return value
 

@@ -46,8 +46,8 @@ FILE_SHARDS = 32
 SHARDS_AT_ONCE = 4
 #: Texts that come to a task at a time when it encodes.
 TEXTS_AT_ONCE = 1000
-#: Words whose ids a worker keeps at a time.
-KEPT_WORDS = 400_000
+#: Bytes of the words and ids that a worker keeps at a time.
+KEPT_BYTES = 48 << 20
 MAGIC = b"DAC1"
 
 
@@ -125,9 +125,11 @@ class Encoder:
     """Ids of a text, word by word.
 
     The vocabulary's own rules lower the case and never join characters across
-    white space, nor letters or digits with the punctuation behind them, so a
-    text's ids are those of its lower-case words in turn, and a word's those of
-    its stem and its tail. What is in reach goes through the library once, words
+    white space, nor ASCII letters or digits with the punctuation behind them, so
+    a text's ids are those of its lower-case words in turn, and a word's those of
+    its stem and its tail. (Other letters may end in a combining mark once they
+    are lower-case and composed, and a mark goes with the punctuation: a word with
+    such a letter before its tail stays whole.) What is in reach goes through the library once, words
     of lower-case letters straight to its model, as nothing before that would
     change them; a text with a special token's beginning goes through it whole.
     """
@@ -138,14 +140,14 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.model = self.tokenizer.model
         self.direct = all(self._letters(w) == self._encode(w) for w in ("the", "straße", "ñandú", "σς", "日本語"))
-        self.words = Memo(self._word, KEPT_WORDS)
+        self.words = Memo(self._word, KEPT_BYTES)
 
     def _encode(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _word(self, word: bytes) -> bytes:
         stem = word.rstrip(b".,;:!?")
-        if stem and len(stem) < len(word) and stem.decode("utf-8")[-1].isalnum():
+        if stem and len(stem) < len(word) and stem[-1:].isalnum():
             return self.words[stem] + self.words[word[len(stem) :]]
         text = word.decode("utf-8")
         if self.direct and text.isalpha() and text == text.lower() and is_normalized("NFC", text):

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from arborix.llm import decontaminate, language_model, mixing, pii, quality_rules, simhash, site_quality, token_ids, toxicity, url_filter
+from arborix.llm import decontaminate, language_model, mixing, pii, quality_rules, simhash, site_quality, text, token_ids, toxicity, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, words string"
@@ -721,12 +721,12 @@ def test_pipeline(spark, tmp_path):
 
 
 def test_memo_is_bounded_and_right():
-    """A table of words never holds more than its limit, and words in use are not worked out again."""
-    from arborix.llm.text import Memo
-
-    made = []
-    memo = Memo(lambda w: made.append(w) or w * 2, 10)
-    for i in range(200):
-        assert memo[i] == 2 * i and memo["often"] == "oftenoften"
-        assert len(memo.keys() | memo.older.keys()) <= 10
-    assert made.count("often") == 1 and len(made) == 201
+    calls, limit = [], 40 * (text.Memo.ENTRY + 10)
+    memo = text.Memo(lambda w: calls.append(w) or w[::-1] * 2, limit)
+    r = random.Random(2)
+    for _ in range(3000):
+        w = f"w{r.randrange(100):04d}".encode()
+        assert memo[w] == w[::-1] * 2
+        assert memo.held <= limit / 2 + 200
+    assert 100 < len(calls) < 3000
+    assert memo[b"x" * limit] == b"x" * limit * 2 and b"x" * limit not in memo
