@@ -65,19 +65,36 @@ class Memo(dict):
 
     The table holds about ``limit`` bytes: when half of them are new, the other
     half goes but for the words that were met again. A word and a value as long
-    as a quarter of that are not kept at all. This bounds a task's memory and
-    changes no result.
+    as a quarter of that are not kept at all, and with ``twice`` only words that are
+    met a second time: many words of a text stand nowhere else. This bounds a
+    task's memory and changes no result.
     """
 
     #: What a dictionary needs for an entry besides the bytes of key and value.
     ENTRY = 150
+    #: One byte each for words that were met, by their hash; emptied when a quarter is set.
+    MET = 1 << 22
 
-    def __init__(self, f, limit: int = 48 << 20):
+    def __init__(self, f, limit: int = 48 << 20, twice: bool = False):
         super().__init__()
         self.f, self.limit, self.older, self.held = f, limit, {}, 0
+        self.met, self.n_met = bytearray(self.MET) if twice else None, 0
+
+    def _met(self, word) -> bool:
+        at = hash(word) % self.MET
+        if self.met[at]:
+            return True
+        if 4 * self.n_met >= self.MET:
+            self.met, self.n_met = bytearray(self.MET), 0
+        self.met[at] = 1
+        self.n_met += 1
+        return False
 
     def __missing__(self, word):
-        value = self.older[word] if word in self.older else self.f(word)
+        known = word in self.older
+        value = self.older[word] if known else self.f(word)
+        if self.met is not None and not known and not self._met(word):
+            return value
         size = self.ENTRY + len(word) + (len(value) if isinstance(value, bytes) else 0)
         if 4 * size >= self.limit:
             return value

@@ -21,10 +21,11 @@ import struct
 import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
-from unicodedata import is_normalized
+from unicodedata import is_normalized, normalize
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -47,8 +48,10 @@ SHARDS_AT_ONCE = 4
 #: Texts that come to a task at a time when it encodes.
 TEXTS_AT_ONCE = 1000
 #: Bytes of the words and ids that a worker keeps at a time.
-KEPT_BYTES = 48 << 20
+KEPT_BYTES = 64 << 20
 MAGIC = b"DAC1"
+#: Punctuation and symbols of ASCII. The apostrophe begins words of its own ('s).
+TAIL = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 
 
 def encode(ids: np.ndarray) -> bytes:
@@ -121,14 +124,19 @@ def _byte_characters() -> dict[int, int]:
 _BYTE_CHARACTERS = _byte_characters()
 
 
+def _ends_a_word(stem: str) -> bool:
+    """Whether a letter or digit is last once the vocabulary has normalised the stem."""
+    return normalize("NFC", stem).lower()[-1].isalnum()
+
+
 class Encoder:
     """Ids of a text, word by word.
 
     The vocabulary's own rules lower the case and never join characters across
-    white space, nor ASCII letters or digits with the punctuation behind them, so
-    a text's ids are those of its lower-case words in turn, and a word's those of
-    its stem and its tail. (Other letters may end in a combining mark once they
-    are lower-case and composed, and a mark goes with the punctuation: a word with
+    white space, nor letters or digits with the punctuation behind them, so a
+    text's ids are those of its lower-case words in turn, and a word's those of
+    its stem and its tail. (Some letters end in a combining mark once they are
+    composed and lower-case, and a mark goes with the punctuation: a word with
     such a letter before its tail stays whole.) What is in reach goes through the library once, words
     of lower-case letters straight to its model, as nothing before that would
     change them; a text with a special token's beginning goes through it whole.
@@ -140,16 +148,22 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.model = self.tokenizer.model
         self.direct = all(self._letters(w) == self._encode(w) for w in ("the", "straße", "ñandú", "σς", "日本語"))
-        self.words = Memo(self._word, KEPT_BYTES)
+        self.words = Memo(self._word, KEPT_BYTES, twice=True)
 
     def _encode(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _word(self, word: bytes) -> bytes:
-        stem = word.rstrip(b".,;:!?")
-        if stem and len(stem) < len(word) and stem[-1:].isalnum():
+    def _whole(self, word: bytes) -> bytes:
+        """Ids of a word, from its stem and its tail where it has both."""
+        stem = word.rstrip(TAIL)
+        if stem and len(stem) < len(word) and (stem[-1:].isalnum() or (stem[-1] > 127 and _ends_a_word(stem.decode("utf-8", "replace")))):
             return self.words[stem] + self.words[word[len(stem) :]]
-        text = word.decode("utf-8")
+        return self.words[word]
+
+    def _word(self, word: bytes) -> bytes:
+        if self.direct and word.isalpha() and word.islower():
+            return self._letters(word.decode())
+        text = word.decode("utf-8", "replace")
         if self.direct and text.isalpha() and text == text.lower() and is_normalized("NFC", text):
             return self._letters(text)
         return self._encode(text)
@@ -157,16 +171,34 @@ class Encoder:
     def _letters(self, word: str) -> bytes:
         """Ids of a word of lower-case letters, its bytes written as the model's characters."""
         shown = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
-        return np.asarray([t.id for t in self.model.tokenize(shown)], dtype="<u4").tobytes()
+        return struct.pack(f"<{len(found := self.model.tokenize(shown))}I", *[t.id for t in found])
 
     def ids(self, text: bytes | None) -> bytes:
         """Little-endian 32-bit ids with the end id."""
+        return self.batch(pa.array([text], pa.binary()))[0]
+
+    def batch(self, texts: pa.Array) -> list[bytes]:
+        """The same for a binary column: the different words of all texts are looked up
+        once, and their ids are dealt to the places where they stand."""
         end = struct.pack("<I", END_ID)
-        if not text:
-            return end
-        if b"<|" in text:
-            return self._encode(text.decode("utf-8")) + end
-        return b"".join(map(self.words.__getitem__, text.lower().split())) + end
+        whole = pc.fill_null(pc.match_substring(texts, "<|"), False)
+        special = {i: self._encode(texts[i].as_py().decode("utf-8", "replace")) for i in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist()}
+        plain = pc.if_else(whole, pa.scalar(b"", texts.type), texts).fill_null(b"").cast(pa.large_binary())
+        # case and white space of ASCII are bytes, whatever else the text holds
+        shown = pa.Array.from_buffers(pa.large_string(), len(plain), plain.buffers(), 0, plain.offset)
+        split = pc.ascii_split_whitespace(pc.ascii_lower(shown))
+        words = split.flatten().dictionary_encode()
+        own = [self._whole(w) for w in words.dictionary.cast(pa.large_binary()).to_pylist()]
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        pool, begins = np.frombuffer(b"".join(own), "<u4"), np.cumsum(sizes) - sizes
+        at = words.indices.to_numpy(zero_copy_only=False)
+        long = sizes[at]
+        ends = np.cumsum(long)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = pool[np.repeat(begins[at] - ends + long, long) + np.arange(total)]
+        bounds = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+        raw = memoryview(ids.astype("<u4").tobytes())
+        return [special[i] + end if i in special else bytes(raw[4 * a : 4 * b]) + end for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))]
 
 
 SHARD = T.StructType(
@@ -203,7 +235,7 @@ def encoded(docs: DataFrame, cuts: list[int], spread: int, key: str = "doc_id",
         name = vocabulary or default_vocabulary()
         encoder = held(name, lambda: Encoder(name))
         for batch in small_batches(batches):
-            raw = [encoder.ids(t) for t in batch.column(1).to_pylist()]
+            raw = encoder.batch(batch.column(1))
             hashes = np.fromiter(map(xxhash.xxh64_intdigest, raw), np.uint64, len(raw)).view(np.int64)
             share = hashes / 2.0**64 + 0.5
             null = batch.column(0).is_null().to_numpy(zero_copy_only=False)
