@@ -109,7 +109,7 @@ def features(data: np.ndarray, offsets: np.ndarray, most_words: int = MOST_WORDS
         else:
             starts_n, together = starts, np.ones(len(starts), bool)
         state = advance(state, data, starts_n, ends[n:] - starts_n)
-        out.append((text[: len(starts_n)][together], ((state ^ np.uint32(0xFFFFFFFF)) % np.uint32(buckets)).astype(np.int64)[together]))
+        out.append((text[: len(starts_n)][together], ((state ^ np.uint32(0xFFFFFFFF)).astype(np.int64) % buckets)[together]))
     return np.bincount(text, minlength=len(offsets) - 1), out
 
 
