@@ -8,7 +8,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -135,6 +137,18 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterat
             yield batch.slice(at, rows)
 
 
+def cut_by_bytes(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose binary column holds about ``size`` bytes, a row at least."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            begun = ends[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, begun + size, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def map_texts(docs: DataFrame, key: str, text: str, fields: list[T.StructField], make: Callable, carried: dict[str, Column] | None = None) -> DataFrame:
     """doc_id, the strings of ``carried`` and what a function makes of each whole text.
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from arborix.llm.text import Memo, held, release, small_batches
+from arborix.llm.text import Memo, cut_by_bytes, held, release, small_batches
 from arborix.session import shared_path
 
 END_ID = 1
@@ -40,15 +40,16 @@ SHARD_IDS = 1 << 20
 BLOCK_BITS = 512
 #: A part has about so many bytes of text. Beyond MOST_PARTS parts grow instead: a
 #: part is sorted by Spark and leaves as a stream of shards, so its size is free.
-PART_BYTES, MOST_PARTS, PARTS_PER_TASK = 8 << 20, 1 << 16, 4
-#: Shards of a file, about two bytes an id each.
-FILE_SHARDS = 32
+PART_BYTES, MOST_PARTS, PARTS_PER_TASK = 8 << 20, 1 << 16, 2
+#: Shards of a file, about two bytes an id each, and bytes that its writer holds back.
+FILE_SHARDS, HELD_BACK = 32, 16 << 20
 #: Shards that a task holds at a time when it reads.
 SHARDS_AT_ONCE = 4
-#: Texts that come to a task at a time when it encodes.
-TEXTS_AT_ONCE = 1000
+#: Texts that come to a task at a time when it encodes, and bytes of them that it
+#: looks up together.
+TEXTS_AT_ONCE, TOGETHER = 1000, 1 << 20
 #: Bytes of the words and ids that a worker keeps at a time.
-KEPT_BYTES = 64 << 20
+KEPT_BYTES = 48 << 20
 MAGIC = b"DAC1"
 #: Punctuation and symbols of ASCII. The apostrophe begins words of its own ('s).
 TAIL = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
@@ -234,7 +235,7 @@ def encoded(docs: DataFrame, cuts: list[int], spread: int, key: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = vocabulary or default_vocabulary()
         encoder = held(name, lambda: Encoder(name))
-        for batch in small_batches(batches):
+        for batch in cut_by_bytes(batches, 1, TOGETHER):
             raw = encoder.batch(batch.column(1))
             hashes = np.fromiter(map(xxhash.xxh64_intdigest, raw), np.uint64, len(raw)).view(np.int64)
             share = hashes / 2.0**64 + 0.5
@@ -311,7 +312,7 @@ def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", v
     rows = encoded(docs, cuts, parts, key, text, vocabulary)
     placed = rows.repartition(-(-parts // PARTS_PER_TASK), "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "hash")
     with _batches_of(spark, TEXTS_AT_ONCE):
-        placed.select("part", "doc_id", "n_tokens", "codes").mapInArrow(pack, SHARD).write.option("maxRecordsPerFile", FILE_SHARDS).parquet(path)
+        placed.select("part", "doc_id", "n_tokens", "codes").mapInArrow(pack, SHARD).write.option("maxRecordsPerFile", FILE_SHARDS).option("parquet.block.size", HELD_BACK).parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
