@@ -1,14 +1,16 @@
 """From sources to nodes and call edges, as one Spark plan.
 
-Files are cut into lines; declarations are found by their language's patterns;
-a block's last line is the next one that goes back to its bracket depth, or to its
-indentation: windows find it in one pass over a file's lines, in proportion to
-brackets and blanks, and no declaration is joined with the lines after it. Comments
-of any length above a declaration and docstrings below it give its documentation.
-Call sites are matched on the lines and joined with the function that encloses
-them. Strings and line comments are blanked before brackets are counted. A file is
-the unit of work: all windows are partitioned by its path, and no step needs two
-files together.
+A file is scanned once from end to end for texts and comments, whose insides are
+blanked wherever they end, so that later steps see code alone; lines inside round
+brackets or a text are marked as going on. Then a file is lines: those of one
+statement are joined, and declarations are found on whole statements by their
+language's patterns. A block's last line is the next one that goes back to its
+bracket depth, or to its indentation: windows find it in one pass over a file's
+lines, in proportion to brackets and blanks, and no declaration is joined with the
+lines after it. Comments of any length above a declaration and docstrings below it
+give its documentation. Call sites are matched on the code and joined with the
+function that encloses them. A file is the unit of work: all windows are
+partitioned by its path, and no step needs two files together.
 """
 
 from __future__ import annotations
@@ -26,20 +28,59 @@ def _base(language: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in P.SAME_AS.items() for x in kv]), language), language)
 
 
+def _text() -> Column:
+    return F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "\r\n", "\n")
+
+
 def _text_lines() -> Column:
-    return F.split(F.make_valid_utf8(F.col("content").cast("string")), "\r?\n")
+    return F.split(_text(), "\n")
+
+
+#: Ends a line of code that goes on in the next one, inside a text or brackets.
+ON = "\u0001"
+
+
+def _code(text: Column, base: str) -> Column:
+    """A text of a language with the same lines, of which only code is left.
+
+    Comments become blanks, texts too between their quotes.
+    """
+    found, begins = P.SCANNERS[base]
+    rest = "".join("\\" + c for c in begins)
+    parts = F.regexp_extract_all(text, F.lit("|".join([*[f"(?:{x})" for x in found], f"[^{rest}]++", r"[\s\S]"])), F.lit(0))
+
+    def blanked(part: Column) -> Column:
+        bare = lambda x: F.regexp_replace(x, r"[^\n]", " ")
+        comment = F.lit(False)
+        for mark in P.COMMENTS.get(base, P.SLASHES):
+            comment = comment | part.startswith(mark)
+        inside = F.replace(bare(F.substring(part, F.lit(2), F.length(part) - 2)), F.lit("\n"), F.lit(ON + "\n"))
+        shown = F.concat(F.left(part, F.lit(1)), inside, F.right(part, F.lit(1)))
+        special = (F.length(part) > 1) & F.instr(F.lit(begins), F.left(part, F.lit(1))).cast("boolean")
+        return F.when(~special, part).when(comment, bare(part)).otherwise(shown)
+
+    code = F.array_join(F.transform(parts, blanked), "")
+    if base in ("clojure", "commonlisp"):
+        return code
+    brackets = P.ANY if base in ("python", "julia") else P.ROUND
+    pieces = F.regexp_extract_all(code, F.lit(rf"{brackets}|[^(\[{{]++|[\s\S]"), F.lit(0))
+    on = lambda x: F.when(x.rlike(r"^[(\[{][\s\S]"), F.regexp_replace(x, f"{ON}?\n", f"{ON}\n")).otherwise(x)
+    return F.replace(F.array_join(F.transform(pieces, on), ""), F.lit("\\\n"), F.lit(ON + "\n"))
 
 
 def lines_of(files: DataFrame) -> DataFrame:
-    """(file_path, language, base, row, line, code, indent, opened, depth): row from 0,
-    code is the line without strings and comments, depth the open brackets after it."""
-    rows = files.select("file_path", "language", F.posexplode(_text_lines()).alias("row", "line"))
-    rows = rows.withColumn("base", _base(F.col("language")))
-    # a quoted text, or a character between apostrophes, counts no brackets
-    blank = F.regexp_replace("line", r""""(?:[^"\\]|\\.)*+"|'(?:[^'\\]|\\.)'|`[^`]*`""", '""')
+    """(file_path, language, base, row, line, code, joined, indent, opened, depth): row from
+    0, code is the line without texts and comments, joined whether it goes on in the next
+    one, depth the open brackets after it."""
+    texts = files.select("file_path", "language", _base(F.col("language")).alias("base"), _text().alias("text"))
+    code = F.col("text")
+    for base in P.SCANNERS:
+        code = F.when(F.col("base") == base, _code(F.col("text"), base)).otherwise(code)
+    rows = texts.select("file_path", "language", "base", F.posexplode(F.arrays_zip(F.split("text", "\n").alias("line"), F.split(code, "\n").alias("code"))).alias("row", "both"))
+    rows = rows.select("file_path", "language", "base", "row", F.col("both.line").alias("line"), F.coalesce("both.code", F.lit("")).alias("code"))
+    rows = rows.withColumn("joined", F.col("code").endswith(ON)).withColumn("code", F.replace("code", F.lit(ON), F.lit("")))
+    rows = rows.withColumn("indent", F.length(F.regexp_extract("line", r"^[ \t]*", 0)))
     lisp = F.col("base").isin("clojure", "commonlisp")
-    blank = F.when(F.col("base").isin("python", "julia"), F.regexp_replace(blank, "#.*", "")).when(lisp, F.regexp_replace(blank, ";.*", "")).otherwise(F.regexp_replace(blank, r"//.*|/\*.*?\*/|^\s*/?\*.*", ""))
-    rows = rows.withColumn("code", blank).withColumn("indent", F.length(F.regexp_extract("line", r"^[ \t]*", 0)))
     count = lambda chars: F.length("code") - F.length(F.translate("code", chars, ""))
     words = lambda regex: F.regexp_count("code", F.lit(regex))
     begins = words(r"^\s*(?:function|macro|struct|mutable\s+struct|abstract\s+type|primitive\s+type|module|baremodule|if|for|while|let|quote|try)\b|\b(?:begin|do)\b")
@@ -50,19 +91,46 @@ def lines_of(files: DataFrame) -> DataFrame:
     return rows.withColumn("depth", F.sum(F.col("opened") - F.col("closed")).over(so_far))
 
 
+def _ends() -> Column:
+    """Whether a line that holds code ends its statement."""
+    code, base = F.col("code"), F.col("base")
+    by_mark = code.rlike(P.ENDED)
+    for name, regex in P.COMPLETE.items():
+        by_mark = by_mark | ((base == name) & code.rlike(regex) & (F.col("next") != "{"))
+    goes_on = F.lit(False)
+    for name, regex in P.GOES_ON.items():
+        goes_on = goes_on | ((base == name) & code.rlike(regex))
+    for name, regex in P.GOES_BACK.items():
+        goes_on = goes_on | ((base == name) & F.col("next").rlike(regex))
+    return (F.trim("code") != "") & ~F.col("joined") & F.when(base.isin("c", "java", "rust"), by_mark).otherwise(~goes_on)
+
+
+def heads_of(marked: DataFrame) -> DataFrame:
+    """Statements: the columns of their first line of code, ``head`` (their code as one
+    line, indented as it is) and ``last`` (row, opened, depth) of their last line."""
+    solid = F.trim("code") != ""
+    onward = Window.partitionBy("file_path").orderBy(F.col("row").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    rows = marked.withColumn("next", F.coalesce(F.min(F.when(solid, F.struct("row", F.left(F.trim("code"), F.lit(1)).alias("c")))).over(onward)["c"], F.lit("")))
+    before = Window.partitionBy("file_path").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("statement", F.coalesce(F.sum(_ends().cast("int")).over(before), F.lit(0))).where(solid)
+    own = [c for c in marked.columns if c != "file_path"]
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", F.trim("code").alias("c")))), lambda x: x["c"]), " ")
+    # min and max of structs pick the first and the last row
+    one = rows.groupBy("file_path", "statement").agg(F.min(F.struct("row", *[c for c in own if c != "row"])).alias("f"), F.max(F.struct("row", "opened", "depth")).alias("last"), text.alias("text"))
+    return one.select("file_path", *[F.col(f"f.{c}").alias(c) for c in own], F.concat(F.repeat(F.lit(" "), F.col("f.indent")), "text").alias("head"), "last")
+
+
 def _marked(lines: DataFrame) -> DataFrame:
     """lines with what a declaration on them has to know of the lines around.
 
-    begin: the first line from here on that opens a bracket, with the depth after
-    it; stop: the first that ends a statement and opens none; paren: the next that
-    begins with ")"; solid: the last one above that is not blank; all_solid: the
+    paren: the next line that begins with ")"; solid: the last one above that is not blank; all_solid: the
     last one of the file; above: where the comment that ends right above begins.
     """
     earlier = Window.partitionBy("file_path").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    onward = Window.partitionBy("file_path").orderBy(F.col("row").desc()).rowsBetween(Window.unboundedPreceding, 0)
     later = Window.partitionBy("file_path").orderBy(F.col("row").desc()).rowsBetween(Window.unboundedPreceding, -1)
     hashes, lisp = F.col("base").isin("python", "julia"), F.col("base").isin("clojure", "commonlisp")
-    commented = F.ltrim("line").startswith(F.when(hashes, "#").when(lisp, ";").otherwise("//"))
+    bare = F.trim("code") == ""
+    commented = bare & F.ltrim("line").startswith(F.when(hashes, "#").when(lisp, ";").otherwise("//"))
     solid = F.when(F.trim("line") != "", F.col("row"))
     run = F.coalesce(F.max(F.when(~commented, F.col("row"))).over(earlier), F.lit(-1)) + 1
     # a block comment begins behind the one before it
@@ -71,36 +139,38 @@ def _marked(lines: DataFrame) -> DataFrame:
         {
             "solid": F.max(solid).over(earlier),
             "all_solid": F.max(solid).over(Window.partitionBy("file_path")),
-            "comment_from": F.when(~hashes & ~lisp & F.col("line").rlike(r"\*/[ \t]*$"), block).when(commented, run),
-            "begin": F.min(F.when(F.col("opened") > 0, F.struct("row", "depth"))).over(onward),
-            "stop": F.min(F.when((F.col("opened") == 0) & F.col("code").rlike(r";\s*$"), F.col("row"))).over(onward),
+            "comment_from": F.when(~hashes & ~lisp & bare & F.col("line").rlike(r"\*/[ \t]*$"), block).when(commented, run),
             "paren": F.min(F.when(F.col("code").startswith(")"), F.col("row"))).over(later),
         }
     )
-    return rows.withColumn("above", F.lag("comment_from").over(Window.partitionBy("file_path").orderBy("row")))
+    in_order = Window.partitionBy("file_path").orderBy("row")
+    return rows.withColumns({"above": F.lag("comment_from").over(in_order), "inner": F.coalesce(F.lag("joined").over(in_order), F.lit(False))})
 
 
-def declarations(lines: DataFrame) -> DataFrame:
-    """(file_path, language, base, row, node_type, name, id, ...): pattern matches, the first that fits a line of _marked()."""
+def declarations(heads: DataFrame) -> DataFrame:
+    """(file_path, language, base, row, node_type, name, id, ...): pattern matches, the first that fits a statement of heads_of()."""
     per_language: dict[str, list[str]] = {}
     for base, _, regex, _, _ in P.DECLARATIONS:
         per_language.setdefault(base, []).append(f"(?:{regex})")
     likely = F.lit(False)
     for base, own in per_language.items():
-        likely = F.when(F.col("base") == base, F.col("line").rlike("|".join(own))).otherwise(likely)
+        likely = F.when(F.col("base") == base, F.col("head").rlike("|".join(own))).otherwise(likely)
     # few lines pass; only on those are a language's patterns tried one by one
     known = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(d[0]).alias("base"), F.lit(d[2]).alias("regex")) for n, d in enumerate(P.DECLARATIONS)])
-    fits = F.filter(known, lambda p: (p["base"] == F.col("base")) & F.regexp_like(F.col("line"), p["regex"]))
-    found = lines.where(likely).withColumn("n", F.get(fits, F.lit(0))["n"])
-    pick = lambda k: F.element_at(F.array(*[F.lit(d[k]) for d in P.DECLARATIONS]), F.col("n") + 1)
+    fits = F.filter(known, lambda p: (p["base"] == F.col("base")) & F.regexp_like(F.col("head"), p["regex"]))
+    found = heads.where(likely).withColumn("n", F.get(fits, F.lit(0))["n"])
+    pick = lambda k: F.get(F.array(*[F.lit(d[k]) for d in P.DECLARATIONS]), F.col("n"))
     found = found.select("*", pick(1).alias("node_type"), pick(2).alias("regex"), pick(3).alias("prefix"), pick(4).alias("fixed"))
-    one = F.expr("regexp_extract(line, regex, 1)")
-    two = F.expr("CASE WHEN base = 'go' AND node_type = 'method' THEN regexp_extract(line, regex, 2) END")
+    one = F.expr("regexp_extract(head, regex, 1)")
+    two = F.expr("CASE WHEN base = 'go' AND node_type = 'method' THEN regexp_extract(head, regex, 2) END")
+    # a brace ends a head, while a Lisp's bracket and Julia's words open it
+    opens_first = F.col("base").isin("julia", "clojure", "commonlisp")
+    found = found.withColumn("begin", F.when(opens_first & (F.col("opened") > 0), F.struct("row", "depth")).when(~opens_first & (F.col("last.opened") > 0), F.struct("last.row", "last.depth")))
     receiver = (F.col("base") == "go") & (F.col("node_type") == "method")
     found = found.withColumn("name", F.when(F.col("fixed") != "", F.col("fixed")).when(receiver, F.concat(one, F.lit("."), two)).otherwise(one))
     tail = F.when(F.col("fixed") != "", F.col("row").cast("string")).when(F.col("prefix") == "method_", F.concat_ws("_", "name", "row")).otherwise(F.col("name"))
     return found.where("name <> ''").select(
-        "file_path", "language", "base", "row", "line", "indent", "depth", "opened", "closed", "begin", "stop", "paren", "all_solid", "above", "node_type", "name", F.concat("file_path", F.lit("::"), "prefix", tail).alias("id")
+        "file_path", "language", "base", "row", "line", "indent", "depth", "opened", "closed", "last", "begin", "paren", "all_solid", "above", "node_type", "name", F.concat("file_path", F.lit("::"), "prefix", tail).alias("id")
     )
 
 
@@ -114,7 +184,7 @@ def _closed(lines: DataFrame, found: DataFrame) -> DataFrame:
     """
     python = F.col("base") == "python"
     before = F.col("depth") - F.col("opened") + F.col("closed")
-    code = lines.where(~python | ((F.trim("code") != "") & ~F.col("code").rlike(r"^\s*[)\]]")))
+    code = lines.where(~python | ((F.trim("code") != "") & ~F.col("inner")))
     last = F.lag("indent").over(Window.partitionBy("file_path").orderBy("row"))
     code = code.withColumn("low", F.when(python, F.col("indent")).otherwise(F.col("depth"))).withColumn("high", F.when(python, last).otherwise(before - 1))
     closing = code.where("low <= high").select("file_path", F.explode(F.sequence("low", "high")).alias("level"), "row", F.struct("row", "solid").alias("end"), F.lit(None).cast("struct<id:string,row:int>").alias("of"))
@@ -127,29 +197,31 @@ def _closed(lines: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def nodes_of(files: DataFrame) -> DataFrame:
-    """Node rows of sources, with signature and ordinal (the order in the file)."""
+    """Node rows of sources, with head_end (the line that ends a declaration's head),
+    signature and ordinal (the order in the file)."""
     lines = _marked(lines_of(files))
-    spans = _closed(lines, declarations(lines))
+    spans = _closed(lines, declarations(heads_of(lines)))
     single = F.col("node_type") == "import"
     before = F.col("depth") - F.col("opened") + F.col("closed")
     closes = F.when(F.col("begin.depth") <= before, F.col("begin.row")).otherwise(F.col("end.row"))
-    by_brackets = F.when(closes.isNull() | (F.col("stop") < F.col("begin.row")), F.coalesce("stop", "row")).otherwise(closes)
+    by_brackets = F.when(F.col("begin").isNull(), F.col("last.row")).otherwise(F.coalesce(closes, "last.row"))
     group_end = F.when(F.col("line").rlike(r"^import\s*\("), F.coalesce("paren", "row")).otherwise(F.col("row"))
     end = F.when(single & (F.col("base") == "go"), group_end).when(single & ~F.col("base").isin("clojure", "commonlisp", "julia"), F.col("row"))
     indented = F.when(F.col("end").isNull(), F.col("all_solid")).otherwise(F.col("end.solid"))
     # Julia's blocks open on the line that declares them
-    end = F.when((F.col("base") == "julia") & (F.col("opened") == 0), F.col("row")).otherwise(end)
+    end = F.when((F.col("base") == "julia") & (F.col("opened") == 0), F.col("last.row")).otherwise(end)
     end = F.coalesce(end, F.when(F.col("base") == "python", F.coalesce(indented, "row")).otherwise(by_brackets), F.col("row"))
-    spans = spans.select("file_path", "language", "base", "row", "line", "node_type", "name", "id", "above", end.alias("end_row"))
+    spans = spans.select("file_path", "language", "base", "row", "line", "node_type", "name", "id", "above", F.least("last.row", end).alias("head_row"), end.alias("end_row"))
     whole = files.select("file_path", _text_lines().alias("all"))
     cut = lambda a, n: F.array_join(F.slice("all", a + 1, n), "\n")
     grouped = spans.join(whole, "file_path").select(
         *[c for c in spans.columns if c != "above"],
         cut(F.col("row"), F.col("end_row") - F.col("row") + 1).alias("content"),
+        F.when(F.col("base") == "python", cut(F.col("head_row") + 1, F.greatest(F.col("end_row") - F.col("head_row"), F.lit(0)))).alias("body"),
         F.when(F.col("above").isNull(), "").otherwise(cut(F.col("above"), F.col("row") - F.col("above"))).alias("above"),
     )
     comment = _comment_above(F.col("above"), F.col("base"))
-    doc = F.when(F.col("base") == "python", F.regexp_extract("content", r'(?s)^[^\n]*\n\s*("""[^"]*+(?:"(?!"")[^"]*+)*+""")', 1)).when(
+    doc = F.when(F.col("base") == "python", F.regexp_extract("body", r'''(?s)^\s*("""[^"]*+(?:"(?!"")[^"]*+)*+"""|"[^"\n]*+"|\'{3}[^']*+(?:'(?!'')[^']*+)*+\'{3})''', 1)).when(
         F.col("base").isin("clojure", "commonlisp"), F.regexp_extract("content", r'(?s)^\s*\(def\S*\s+\S+\s+(?:\([^)]*\)\s*)?("(?:[^"\\]|\\.)*+")', 1)
     ).otherwise("")
     made = F.when(F.trim(comment) != "", clean_comment(comment)).when(doc != "", clean_docstring(doc))
@@ -162,6 +234,7 @@ def nodes_of(files: DataFrame) -> DataFrame:
         "file_path",
         (F.col("row") + 1).cast("int").alias("start_line"),
         (F.col("end_row") + 1).cast("int").alias("end_line"),
+        (F.col("head_row") + 1).cast("int").alias("head_end"),
         "content",
         made.alias("doc_comment"),
         annotations(marked).alias("annotations"),
@@ -238,7 +311,7 @@ def calls_of(files: DataFrame, nodes: DataFrame, strict: bool = True, symbols: s
     sites = sites.withColumn("callee", F.when(F.col("base") == "c", F.regexp_extract("callee", r"([^.>]+)$", 1)).otherwise(F.col("callee")))
     sites = sites.withColumn("site", F.concat_ws(":", "row", "k"))
     ranges = nodes.where(F.col("node_type").isin(*P.CALLERS)).select("file_path", "id", "start_line", "end_line", "ordinal")
-    heads_ = nodes.select(F.col("file_path").alias("hf"), (F.col("start_line")).alias("hl"), F.regexp_replace("name", r"^.*\.", "").alias("hn"))
-    own = (F.col("file_path") == F.col("hf")) & (F.col("line") == F.col("hl")) & (F.col("callee") == F.col("hn"))
+    heads_ = nodes.select(F.col("file_path").alias("hf"), F.col("start_line").alias("hl"), F.col("head_end").alias("he"), F.regexp_replace("name", r"^.*\.", "").alias("hn"))
+    own = (F.col("file_path") == F.col("hf")) & F.col("line").between(F.col("hl"), F.col("he")) & (F.regexp_replace("callee", r"^.*(?:\.|::|->)", "") == F.col("hn"))
     placed = enclosing(sites.join(heads_, own, "left_anti"), ranges)
     return call_edges(_resolved(placed, files, nodes, symbols) if symbols else placed)

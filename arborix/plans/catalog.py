@@ -513,8 +513,9 @@ def names_to_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(samples.NODES_SQL)
 def parse_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes of a source in one of eleven languages for each page."""
-    return nodes_of(samples.sources(spark, sf_dir)).select("id", "name", "node_type", "start_line", "end_line", "doc_comment")
+    """Nodes of a source in one of eleven languages for each page, plain and hard shapes."""
+    marks = [F.col("annotations")[k].alias(c) for k, c in (("id", "marked_id"), ("summary", "summary"))]
+    return nodes_of(samples.sources(spark, sf_dir)).select("id", "name", "node_type", "start_line", "end_line", "doc_comment", *marks)
 
 
 @query(samples.CALLS_SQL)

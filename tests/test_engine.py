@@ -223,3 +223,22 @@ def test_watch_applies_changes(spark, tmp_path):
     assert {r["file_path"] for r in engine.nodes.collect()} == {"a.go"}
     assert {(r["file_path"], r["node_count"]) for r in engine.store.read("file_metadata").collect()} == {("a.go", 5)}
     assert engine.index(sources)["files_skipped"] == 1
+
+
+def test_sources_that_are_no_code(spark):
+    """Brackets that never close, texts and comments that never end, long lines: other declarations stay."""
+    rows = [
+        ("deep.c", "int a(void) { return 1; }\nint x = " + "(" * 3000 + ";\n" + "{[(" * 2000),
+        ("open.js", "function a() {}\nconst s = `never ends\nfunction fake() {}\n"),
+        ("open.c", "int a(void) { return 1; }\n/* never ends\nint fake(void) { return 2; }\n"),
+        ("long.py", "def a():\n    return '" + "x\\'" * 50_000 + "'\n" + "t = [\n" + "1,\n" * 20_000 + "]\ndef b(): pass\n"),
+        ("data.c", "int t[] = {\n" + "1, 2,\n" * 20_000 + "};\nint a(void)\n{\n  return 'x';\n}\n"),
+        ("quote.rs", "fn a<'x>(s: &'x str) -> char {\n  '\"'\n}\nfn b() {}\n"),
+        ("nul.go", "package p\n\u0001func a() {\nfunc b() {}\n"),
+        ("none.java", None),
+    ]
+    got = {r["id"]: (r["start_line"], r["end_line"]) for r in nodes_of(files.from_rows(spark, rows)).collect()}
+    assert got["deep.c::a"] == (1, 1) and got["open.js::a"] == (1, 1) and got["open.c::a"] == (1, 1)
+    assert got["long.py::a"] == (1, 2) and got["long.py::b"] == (20005, 20005) and got["data.c::a"] == (20003, 20006)
+    assert got["quote.rs::a"] == (1, 3) and got["quote.rs::b"] == (4, 4)
+    assert not any("fake" in i for i in got)
