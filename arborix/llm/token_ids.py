@@ -47,9 +47,9 @@ FILE_SHARDS, HELD_BACK = 32, 16 << 20
 SHARDS_AT_ONCE = 4
 #: Texts that come to a task at a time when it encodes, and bytes of them that it
 #: looks up together.
-TEXTS_AT_ONCE, TOGETHER = 1000, 1 << 20
+TEXTS_AT_ONCE, TOGETHER = 1000, 4 << 20
 #: Bytes of the words and ids that a worker keeps at a time.
-KEPT_BYTES = 48 << 20
+KEPT_BYTES = 96 << 20
 MAGIC = b"DAC1"
 #: Punctuation and symbols of ASCII. The apostrophe begins words of its own ('s).
 TAIL = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
@@ -189,7 +189,8 @@ class Encoder:
         shown = pa.Array.from_buffers(pa.large_string(), len(plain), plain.buffers(), 0, plain.offset)
         split = pc.ascii_split_whitespace(pc.ascii_lower(shown))
         words = split.flatten().dictionary_encode()
-        own = [self._whole(w) for w in words.dictionary.cast(pa.large_binary()).to_pylist()]
+        get = self.words.__getitem__
+        own = [get(w) if w[-1:].isalnum() else self._whole(w) for w in words.dictionary.cast(pa.large_binary()).to_pylist()]
         sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
         pool, begins = np.frombuffer(b"".join(own), "<u4"), np.cumsum(sizes) - sizes
         at = words.indices.to_numpy(zero_copy_only=False)
