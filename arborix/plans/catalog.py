@@ -12,10 +12,11 @@ from arborix.functions import text as X
 from arborix.lang.extract import calls_of, nodes_of
 from arborix.operators import calls, graph, incremental, lookup, merge, report, search
 from arborix.plans import samples
-from arborix.schema import edge_id
-from arborix.session import table
+from arborix.schema import edge_id, empty
+from arborix.session import shared_path, table
 from arborix.sources import files as S
 from arborix.sources import views as V
+from arborix.sources.store import Store
 from arborix.streaming import debounce
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -323,6 +324,18 @@ def delete_nodes_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.delete_nodes_by_file(V.nodes(spark, sf_dir), gone).select("id")
 
 
+@query(ORACLES["atomic_file_replace_edges"])
+def store_replaced_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through a store: buckets of two files and of what leads to them are rewritten."""
+    store = Store(spark, shared_path(spark, "store"), 8)
+    nodes, edges = V.nodes(spark, sf_dir).drop("embedding", "content"), V.edges(spark, sf_dir)
+    store.publish(nodes=nodes, edges=edges)
+    new = nodes.where("file_path = 'src3' AND name LIKE '%1'").withColumn("end_line", F.lit(99))
+    calls_ = edges.join(new.select(F.col("id").alias("from_id")), "from_id", "left_semi").where("edge_type = 'calls'")
+    store.replace_files(spark.createDataFrame([("src3",), ("src5",)], "file_path string"), new, calls_, empty(spark, "file_metadata"))
+    return store.read("edges").select("id", "from_id", "to_id", "edge_type")
+
+
 _EMPTIED = "CASE WHEN ends_with(from_id, '4') THEN '' ELSE from_id END"
 
 

@@ -4,23 +4,24 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from arborix.functions.text import node_block, potential_names
 from arborix.lang.extract import calls_of, nodes_of
-from arborix.operators import graph, lookup, merge, report, search
+from arborix.operators import graph, lookup, report, search
 from arborix.operators.incremental import changes, metadata_of
-from arborix.session import checkpointed
+from arborix.schema import FILE_SCHEMA
+from arborix.session import checkpointed, written
 from arborix.sources import embedding, files
-from arborix.sources.store import Store
+from arborix.sources.store import BUCKETS, Store
 
 
 class Engine:
     """The graph of a source tree in a store, and the questions it answers."""
 
-    def __init__(self, spark: SparkSession, root: str, provider: embedding.Provider | None = None):
-        self.spark, self.store, self.provider = spark, Store(spark, root), provider
+    def __init__(self, spark: SparkSession, root: str, provider: embedding.Provider | None = None, buckets: int = BUCKETS):
+        self.spark, self.store, self.provider = spark, Store(spark, root, buckets), provider
         self.store.migrate()
 
     @property
@@ -32,49 +33,49 @@ class Engine:
         return self.store.read("edges")
 
     def index(self, tree: str | DataFrame, excludes=(), strict: bool = True) -> dict[str, int]:
-        """Bring the store up to date with a folder or a scan; counters of what was done."""
-        scan = files.scan(self.spark, tree, excludes) if isinstance(tree, str) else tree
-        since, old = self.store.manifest(), self.store.read("file_metadata")
-        found = checkpointed(changes(scan, old))
-        # files are read once: what is hashed is what is parsed
-        todo = checkpointed(scan.join(found.where("status IN ('new', 'changed')").select("file_path"), "file_path", "left_semi"))
-        gone = found.where("status IN ('changed', 'deleted')").select("file_path")
-        counters = report.index_counters(found).first().asDict()
-        parsed, vectors = self._parse(todo)
-        calls = checkpointed(calls_of(todo, parsed, strict))
-        nodes, edges = merge.replace_files(self.nodes, self.edges, gone, vectors, calls)
-        meta = self._metadata(old.join(found.where("status = 'deleted'"), "file_path", "left_anti"), todo, parsed, calls)
-        self.store.publish(since, nodes=nodes, edges=edges, file_metadata=meta)
-        return counters | {"nodes_created": parsed.count(), "edges_created": calls.count()}
-
-    def _parse(self, todo: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(nodes as parsed, nodes to store): one row for an id, with its embedding."""
-        parsed = checkpointed(nodes_of(todo))
-        last = report.last_wins(parsed)
-        if self.provider is None:
-            return parsed, embedding.without_embeddings(last)
-        found = checkpointed(embedding.embedded(last, self.provider))
-        return parsed, embedding.attach(last, found)
+        """Bring the store up to date with a folder or a scan; counters of what was done.
 
-    def _metadata(self, old: DataFrame, scan: DataFrame, parsed: DataFrame, calls: DataFrame) -> DataFrame:
-        """The metadata ``old`` after the files of a scan were indexed."""
-        counts = report.per_file_counts(parsed.select("file_path"), calls.select(F.substring_index("from_id", "::", 1).alias("file_path")))
-        rows = metadata_of(scan, counts, int(time.time())).join(scan.select("file_path", "language"), "file_path")
-        rows = rows.withColumns({"project_id": F.lit(None).cast("string"), "modified_at": F.lit(None).cast("timestamp")})
-        return merge.upsert_metadata(old, rows.select(*old.columns))
+        Contents are read where they lie and never copied. They are hashed before
+        and after they are parsed; a file that changed meanwhile stays as it was and
+        is left for the next index.
+        """
+        scan = files.scan(self.spark, tree, excludes) if isinstance(tree, str) else tree
+        found = checkpointed(changes(scan, self.store.read("file_metadata")))
+        todo = scan.join(found.where("status IN ('new', 'changed')").select("file_path"), "file_path", "left_semi")
+        nodes, edges = self._replace(found.where("status = 'deleted'").select("file_path"), todo, strict)
+        return report.index_counters(found).first().asDict() | {"nodes_created": nodes, "edges_created": edges}
 
     def apply(self, upserts: DataFrame, deletes: DataFrame) -> None:
         """Replace the rows of changed files (a scan) and drop those of deleted ones.
 
         File metadata follows, so that the next index finds these files unchanged.
         """
-        since, upserts = self.store.manifest(), checkpointed(upserts)
-        parsed, vectors = self._parse(upserts)
-        calls = checkpointed(calls_of(upserts, parsed))
-        touched = upserts.select("file_path").unionByName(deletes.select("file_path"))
-        nodes, edges = merge.replace_files(self.nodes, self.edges, touched, vectors, calls)
-        meta = self._metadata(self.store.read("file_metadata").join(deletes.select("file_path"), "file_path", "left_anti"), upserts, parsed, calls)
-        self.store.publish(since, nodes=nodes, edges=edges, file_metadata=meta)
+        self._replace(deletes.select("file_path"), upserts)
+
+    def _replace(self, gone: DataFrame, todo: DataFrame, strict: bool = True) -> tuple[int, int]:
+        """Drop what the files of ``gone`` have and replace that of a scan's files by its
+        nodes and edges; how many those are, counted by the jobs that write them."""
+        made = Observation()
+        hashed = todo.select("file_path", files.content_hash(F.col("content")).alias("content_hash"))
+        facts = written(metadata_of(todo, None, int(time.time())).drop("node_count", "edge_count").join(todo.select("file_path", "language"), "file_path"), "facts")
+        parsed = written(nodes_of(todo).observe(made, F.count(F.lit(1)).alias("n")), "parsed")
+        calls = Observation()
+        edges = written(calls_of(todo, parsed, strict).observe(calls, F.count(F.lit(1)).alias("n")), "calls")
+        # what changed while it was read has another hash by now
+        same = checkpointed(facts.join(hashed, ["file_path", "content_hash"], "left_semi"))
+        here = same.select("file_path")
+        parsed = parsed.join(here, "file_path", "left_semi")
+        edges = edges.join(here.select(F.col("file_path").alias("__f")), F.substring_index("from_id", "::", 1) == F.col("__f"), "left_semi")
+        counts = report.per_file_counts(parsed.select("file_path"), edges.select(F.substring_index("from_id", "::", 1).alias("file_path")))
+        rows = same.join(counts, "file_path", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("node_count", "edge_count")})
+        rows = rows.withColumns({"project_id": F.lit(None).cast("string"), "modified_at": F.lit(None).cast("timestamp")}).select(*FILE_SCHEMA.names)
+        last = report.last_wins(parsed)
+        if self.provider is None:
+            stored = embedding.without_embeddings(last)
+        else:
+            stored = embedding.attach(last, checkpointed(embedding.embedded(last, self.provider)))
+        self.store.replace_files(gone.unionByName(here), stored, edges, rows)
+        return made.get["n"], calls.get["n"]
 
     def status(self) -> dict[str, int]:
         n = self.nodes.agg(F.count(F.lit(1)).alias("nodes"), F.count("embedding").alias("embedded")).first()
