@@ -205,24 +205,89 @@ def test_debounce_stream(spark, tmp_path):
     assert got == [("a.go", "upsert", 1), ("a.go", "upsert", 2), ("c.py", "delete", 2)]
 
 
+def until(query, holds, seconds=90):
+    """Wait for what a stream brings about."""
+    end = time.time() + seconds
+    while time.time() < end and query.exception() is None:
+        if holds():
+            return True
+        time.sleep(0.3)
+    return False
+
+
+def test_a_lone_event_is_flushed(spark, tmp_path):
+    """The last change of a quiet tree needs no later one; a burst is one row with its last operation."""
+    debounce.state_store(spark)
+    inbox = f"{tmp_path}/in"
+    events(spark).coalesce(1).write.parquet(inbox)
+    q = debounce.debounce_live(debounce.accepted(debounce.event_stream(spark, inbox)), 300).writeStream.format("memory").queryName("live").outputMode("append").option("checkpointLocation", f"{tmp_path}/ck").start()
+    try:
+        assert until(q, lambda: spark.table("live").count() == 2), q.exception()
+        assert sorted((r["path"], r["op"], r["n_events"]) for r in spark.table("live").collect()) == [("a.go", "upsert", 3), ("c.py", "delete", 2)]
+        one = spark.createDataFrame([("a.go", "delete", 7)], "path string, op string, seq long")
+        one.select("path", "op", F.lit("2024-01-01").cast("timestamp").alias("ts"), "seq").write.mode("append").parquet(inbox)
+        assert until(q, lambda: spark.table("live").count() == 3), q.exception()
+        assert [tuple(r) for r in spark.table("live").where("op = 'delete' AND path = 'a.go'").select("n_events").collect()] == [(1,)]
+    finally:
+        q.stop()
+
+
 def test_watch_applies_changes(spark, tmp_path):
-    engine = Engine(spark, f"{tmp_path}/store")
+    engine = Engine(spark, f"{tmp_path}/store", buckets=2)
     engine.index(files.from_rows(spark, [("c.py", "def old():\n    return 1\n")]))
     inbox = f"{tmp_path}/in"
     events(spark).coalesce(1).write.parquet(inbox)
     sources = files.from_rows(spark, [("a.go", GO)])
     load = lambda paths: sources.join(paths, "file_path", "left_semi")
     q = debounce.watch(engine, debounce.event_stream(spark, inbox), load, f"{tmp_path}/ck")
-    q.processAllAvailable()
-    spark.createDataFrame([("z.go", "upsert", 1)], "path string, op string, seq long").select("path", "op", F.lit("2024-01-01").cast("timestamp").alias("ts"), "seq").write.mode("append").parquet(inbox)
-    q.processAllAvailable()
-    q.stop()
+    try:
+        assert until(q, lambda: {r["file_path"] for r in engine.nodes.collect()} == {"a.go"}), q.exception()
+    finally:
+        q.stop()
     assert q.exception() is None
-    assert {r["file_path"] for r in engine.nodes.collect()} == {"a.go"}
     assert {(r["file_path"], r["node_count"]) for r in engine.store.read("file_metadata").collect()} == {("a.go", 5)}
     assert engine.index(sources)["files_skipped"] == 1
 
 
+def test_watch_tree(spark, tmp_path):
+    """Files that are written, changed and deleted in a folder end up so in the store."""
+    root = tmp_path / "tree"
+    (root / "sub").mkdir(parents=True)
+    (root / "sub" / "a.py").write_text("def a():\n    return 1\n")
+    (root / "b.py").write_text("def b():\n    return 1\n")
+    (root / "notes.txt").write_text("x")
+    engine = Engine(spark, f"{tmp_path}/store", buckets=2)
+    names = lambda: {r["name"] for r in engine.nodes.collect()}
+    q = debounce.watch_tree(engine, str(root), f"{tmp_path}/state", every="300 milliseconds", parts=3)
+    try:
+        assert until(q, lambda: names() == {"a", "b"}), q.exception()
+        (root / "sub" / "a.py").write_text("def changed():\n    return 22\n")
+        (root / "b.py").unlink()
+        (root / "new.py").write_text("def new():\n    pass\n")
+        assert until(q, lambda: names() == {"changed", "new"}), q.exception()
+    finally:
+        q.stop()
+    assert q.exception() is None
+
+
+def test_listings_are_given_again(tmp_path):
+    """A batch that runs again reads the listing that it took, whatever became of the tree."""
+    from arborix.sources.tree import Changes
+
+    root = tmp_path / "tree"
+    root.mkdir()
+    (root / "a.py").write_text("1")
+    source = Changes(str(root), f"{tmp_path}/state", 2)
+    read = lambda since, till: sorted((r[0].rsplit("/", 1)[1], r[1]) for p in source.partitions({"listing": since}, {"listing": till}) for r in source.read(p))
+    assert read(0, 1) == [("a.py", "upsert")]
+    (root / "a.py").unlink()
+    (root / "b.py").write_text("2")
+    assert read(0, 1) == [("a.py", "upsert")]
+    assert read(1, 2) == [("a.py", "delete"), ("b.py", "upsert")] and read(2, 3) == []
+    source.commit({"listing": 3})
+    assert sorted(p.name for p in (tmp_path / "state").iterdir()) == ["3"]
+
+
 def test_sources_that_are_no_code(spark):
     """Brackets that never close, texts and comments that never end, long lines: other declarations stay."""
     rows = [
