@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from unicodedata import is_normalized, normalize
 
@@ -47,9 +47,9 @@ FILE_SHARDS, HELD_BACK = 32, 16 << 20
 SHARDS_AT_ONCE = 4
 #: Texts that come to a task at a time when it encodes, and bytes of them that it
 #: looks up together.
-TEXTS_AT_ONCE, TOGETHER = 1000, 4 << 20
-#: Bytes of the words and ids that a worker keeps at a time.
-KEPT_BYTES = 96 << 20
+TEXTS_AT_ONCE, TOGETHER = 1000, 2 << 20
+#: Bytes of the words and ids that a worker keeps at a time, and of their stems.
+KEPT_BYTES, STEM_BYTES = 32 << 20, 16 << 20
 MAGIC = b"DAC1"
 #: Punctuation and symbols of ASCII. The apostrophe begins words of its own ('s).
 TAIL = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
@@ -130,6 +130,97 @@ def _ends_a_word(stem: str) -> bool:
     return normalize("NFC", stem).lower()[-1].isalnum()
 
 
+def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places starts[i] to starts[i] + sizes[i] of all i in turn."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+class Words:
+    """Ids of words that were met twice, in flat arrays sorted by a hash of the word.
+
+    A word is found by its hash and then compared byte by byte, so that a hash
+    that two words share costs time and nothing else. The arrays need about 40
+    bytes a word; beyond ``limit`` bytes they begin anew.
+    """
+
+    LONGEST, MET = 48, 1 << 22
+
+    def __init__(self, make: Callable[[bytes], bytes], limit: int):
+        self.make, self.limit = make, limit
+        self.powers = np.cumprod(np.full(self.LONGEST, 0x9E3779B97F4A7C15, np.uint64))
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.met = np.zeros(0, np.uint64), np.zeros(self.MET, bool)
+        self.at, self.sizes, self.ids_at, self.ids_sizes = (np.zeros(0, np.int32) for _ in range(4))
+        self.text, self.ids = np.zeros(0, np.uint8), np.zeros(0, "<u4")
+
+    def held(self) -> int:
+        return 24 * len(self.hashes) + len(self.text) + 4 * len(self.ids)
+
+    def _hashes(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(starts), np.uint64)
+        some = np.flatnonzero(sizes)
+        n = sizes[some]
+        first = np.cumsum(n) - n
+        place = np.arange(int(n.sum())) - np.repeat(first, n)
+        out[some] = np.add.reduceat((data[_ragged(starts[some], n)] + np.uint64(1)) * self.powers[place], first) if len(some) else 0
+        return out
+
+    def look_up(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, begins, sizes): of word i of ``data`` ids[begins[i] : begins[i] + sizes[i]]."""
+        starts, sizes = offsets[:-1], np.diff(offsets)
+        short = np.flatnonzero(sizes <= self.LONGEST)
+        hashes = self._hashes(data, starts[short], sizes[short])
+        place = np.searchsorted(self.hashes, hashes)
+        inside = np.flatnonzero(place < len(self.hashes))
+        inside = inside[(self.hashes[place[inside]] == hashes[inside]) & (self.sizes[place[inside]] == sizes[short[inside]])]
+        found, n = place[inside], sizes[short[inside]]
+        differ = data[_ragged(starts[short[inside]], n)] != self.text[_ragged(self.at[found].astype(np.int64), n)]
+        wrong = np.bincount(np.repeat(np.arange(len(n)), n)[differ], minlength=len(n)) > 0
+        inside, found = inside[~wrong], found[~wrong]
+        begins, counts = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        begins[short[inside]], counts[short[inside]] = self.ids_at[found], self.ids_sizes[found]
+        known = np.zeros(len(starts), bool)
+        known[short[inside]] = True
+        new = np.flatnonzero(~known)
+        raw, ends = data.tobytes(), offsets.tolist()
+        made = [self.make(raw[ends[i] : ends[i + 1]]) for i in new.tolist()]
+        counts[new] = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        begins[new] = len(self.ids) + np.cumsum(counts[new]) - counts[new]
+        ids = np.concatenate([self.ids, np.frombuffer(b"".join(made), "<u4")])
+        fresh = np.ones(len(short), bool)
+        fresh[inside] = False
+        self._keep(data, ids, hashes[fresh], starts[short[fresh]], sizes[short[fresh]], begins[short[fresh]], counts[short[fresh]])
+        return ids, begins, counts
+
+    def _keep(self, data: np.ndarray, ids: np.ndarray, hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, begins: np.ndarray, counts: np.ndarray) -> None:
+        """Take up those words whose hash was met before."""
+        slot = (hashes >> np.uint64(42)).astype(np.int64)
+        again = np.flatnonzero(self.met[slot])
+        self.met[slot] = True
+        hashes, first = np.unique(hashes[again], return_index=True)
+        place = np.searchsorted(self.hashes, hashes)
+        free = np.ones(len(hashes), bool)
+        inside = place < len(self.hashes)
+        free[inside] = self.hashes[place[inside]] != hashes[inside]
+        hashes, place, take = hashes[free], place[free], again[first][free]
+        if not len(take):
+            return
+        n, m = sizes[take], counts[take]
+        put = lambda old, new: np.insert(old, place, new)
+        self.at, self.sizes = put(self.at, len(self.text) + np.cumsum(n) - n), put(self.sizes, n)
+        self.ids_at, self.ids_sizes = put(self.ids_at, len(self.ids) + np.cumsum(m) - m), put(self.ids_sizes, m)
+        self.hashes = put(self.hashes, hashes)
+        self.text = np.concatenate([self.text, data[_ragged(starts[take], n)]])
+        self.ids = np.concatenate([self.ids, ids[_ragged(begins[take], m)]])
+        if self.held() > self.limit:
+            self.clear()
+        elif self.met.mean() > 0.25:
+            self.met[:] = False
+
+
 class Encoder:
     """Ids of a text, word by word.
 
@@ -149,7 +240,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.model = self.tokenizer.model
         self.direct = all(self._letters(w) == self._encode(w) for w in ("the", "straße", "ñandú", "σς", "日本語"))
-        self.words = Memo(self._word, KEPT_BYTES, twice=True)
+        self.stems = Memo(self._word, STEM_BYTES, twice=True)
+        self.words = Words(self._whole, KEPT_BYTES)
 
     def _encode(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -158,8 +250,8 @@ class Encoder:
         """Ids of a word, from its stem and its tail where it has both."""
         stem = word.rstrip(TAIL)
         if stem and len(stem) < len(word) and (stem[-1:].isalnum() or (stem[-1] > 127 and _ends_a_word(stem.decode("utf-8", "replace")))):
-            return self.words[stem] + self.words[word[len(stem) :]]
-        return self.words[word]
+            return self.stems[stem] + self.stems[word[len(stem) :]]
+        return self.stems[word]
 
     def _word(self, word: bytes) -> bytes:
         if self.direct and word.isalpha() and word.islower():
@@ -189,15 +281,12 @@ class Encoder:
         shown = pa.Array.from_buffers(pa.large_string(), len(plain), plain.buffers(), 0, plain.offset)
         split = pc.ascii_split_whitespace(pc.ascii_lower(shown))
         words = split.flatten().dictionary_encode()
-        get = self.words.__getitem__
-        own = [get(w) if w[-1:].isalnum() else self._whole(w) for w in words.dictionary.cast(pa.large_binary()).to_pylist()]
-        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
-        pool, begins = np.frombuffer(b"".join(own), "<u4"), np.cumsum(sizes) - sizes
+        different = words.dictionary.cast(pa.large_binary())
+        offsets = np.frombuffer(different.buffers()[1], np.int64)[different.offset : different.offset + len(different) + 1]
+        pool, begins, sizes = self.words.look_up(np.frombuffer(different.buffers()[2] or b"", np.uint8), offsets)
         at = words.indices.to_numpy(zero_copy_only=False)
-        long = sizes[at]
-        ends = np.cumsum(long)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = pool[np.repeat(begins[at] - ends + long, long) + np.arange(total)]
+        ids = pool[_ragged(begins[at], sizes[at])]
+        ends = np.cumsum(sizes[at])
         bounds = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
         raw = memoryview(ids.astype("<u4").tobytes())
         return [special[i] + end if i in special else bytes(raw[4 * a : 4 * b]) + end for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))]

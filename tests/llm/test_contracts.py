@@ -69,3 +69,16 @@ def test_token_ids_of_every_character(form):
     got = encoder.batch(pa.array([t.encode() for t in said], pa.binary()))
     wrong = [t for t, g, w in zip(said, got, want, strict=True) if np.frombuffer(g, "<u4")[:-1].tolist() != w.ids]
     assert wrong == []
+
+
+def test_words_in_arrays_equal_a_table(monkeypatch):
+    """Words that share a hash, long ones, empty ones, and arrays that begin anew."""
+    monkeypatch.setattr(token_ids.Words, "_hashes", lambda self, data, starts, sizes: (data[np.minimum(starts, len(data) - 1)] % np.uint8(7)).astype(np.uint64) << np.uint64(50))
+    words = token_ids.Words(lambda w: np.frombuffer(w * 2 + b"x", np.uint8).astype("<u4").tobytes(), 600)
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        said = [bytes(rng.integers(97, 100, rng.choice([0, 1, 2, 3, 60])).astype(np.uint8)) for _ in range(20)]
+        data, offsets = np.frombuffer(b"".join(said) or b"a", np.uint8), np.cumsum([0, *map(len, said)])
+        ids, begins, sizes = words.look_up(data, offsets)
+        assert [ids[b : b + n].astype(np.uint8).tobytes() for b, n in zip(begins, sizes, strict=True)] == [w * 2 + b"x" for w in said]
+        assert words.held() <= 600
