@@ -34,11 +34,17 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by host and first path part of the page with their id, without one by source and language."""
+def sites_of(pages: DataFrame) -> DataFrame:
+    """(doc_id, host, path): one page's host and first path part for each page id."""
     url = F.col("url")
-    own = [F.min(url_filter.host(url)).alias("host"), F.min(F.regexp_extract(url_filter.path(url), "^/([^/]*)", 1)).alias("path")]
-    sites = table(spark, sf_dir, "pages").where(F.col("page_id").isNotNull()).groupBy(F.col("page_id").alias("doc_id")).agg(*own)
+    own = F.min(F.struct(url_filter.host(url).alias("host"), F.regexp_extract(url_filter.path(url), "^/([^/]*)", 1).alias("path")))
+    return pages.where(F.col("page_id").isNotNull()).groupBy(F.col("page_id").alias("doc_id")).agg(own.alias("s")).select("doc_id", "s.*")
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by host and first path part of the page with their id (of several the
+    first by host and path), without one by source and language."""
+    sites = sites_of(table(spark, sf_dir, "pages"))
     host = F.concat(F.lit("source="), "source")
     return site_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), host, F.col("lang"), sites=sites)
 

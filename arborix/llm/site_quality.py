@@ -6,8 +6,11 @@ shares of good documents are gathered for host and path, and each is shrunk
 toward the level above it by a strength that the spread between all sites gives
 (method of moments, sites of one document included): sparse sites follow the
 global share, large ones themselves. A document's posterior is its evidence and
-the share of its path without the document itself, so that it is not its own
-witness.
+the shares of its host and of its path without the document itself, so that it is
+not its own witness.
+
+Sites of more than HOT documents are so few that they are broadcast; their
+documents are not shuffled, whatever share of all they are.
 
 Defined results: a null or empty text has the bins of zero counts; documents
 without host or path form sites of their own; labels are optional, and of labels
@@ -42,6 +45,8 @@ SMOOTH, LEAST, MOST = 1.0, 5.0, 1000.0
 DEFAULT_GOOD = 0.9
 #: Sites up to this number are broadcast, and more are joined by shuffle.
 BROADCAST_SITES = 100_000
+#: Documents of a site that is not dealt by its key; there are at most N / HOT of them.
+HOT = 100_000
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -121,8 +126,8 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, key
     ``sites`` (doc_id, host, path; a row a document) comes before the columns host
     and path; it meets the documents' bins, so that no text is shuffled.
     """
-    slim = docs.select(F.col(key).cast("long").alias("doc_id"), host.cast("string").alias("host"), path.cast("string").alias("path"), F.col(text).alias("text"))
-    known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).cast("long").alias("doc_id")).agg((F.avg(label) >= 0.5).alias("good"))
+    slim = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), host.cast("string").alias("host"), path.cast("string").alias("path"), F.col(f"`{text}`").alias("text"))
+    known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(f"`{key}`").cast("long").alias("doc_id")).agg((F.avg(label) >= 0.5).alias("good"))
     bins = measured(slim).select("doc_id", "host", "path", *[binned(n, F.col(n)).alias(n) for n in BINS])
     if sites is not None:
         known_at = sites.select(F.col("doc_id"), F.col("host").alias("own_host"), F.col("path").alias("own_path"))
@@ -131,7 +136,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, key
     share, table = ratios(bins.join(known, "doc_id"))
     evidence = F.lit(0.0)
     for name in BINS:
-        evidence = evidence + F.element_at(F.array(*[F.lit(x) for x in table[name]]), F.col(name) + 1)
+        evidence = evidence + F.get(F.array(*[F.lit(x) for x in table[name]]), F.col(name))
     odds = math.log(share / (1 - share))
     own = bins.select("doc_id", "host", "path", evidence.alias("evidence"))
     own = own.withColumn("p", 1 / (1 + F.exp(-(F.col("evidence") + odds))))
@@ -140,19 +145,28 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, key
     everywhere, at_host, at_path = strengths(paths)
     prior = share if everywhere is None else everywhere
     shrunk = lambda n, good, up, k: (good + up * k) / (n + k)
-    hosts = hosts.select("host", shrunk(F.col("n"), F.col("good"), F.lit(prior), at_host).alias("host_share")).alias("h")
-    sites = paths.alias("p").join(hosts, F.col("p.host").eqNullSafe(F.col("h.host"))).select("p.host", "p.path", "p.n", "p.good", "h.host_share")
+    hosts = hosts.select("host", F.col("n").alias("host_n"), F.col("good").alias("host_good")).alias("h")
+    sites = paths.alias("p").join(hosts, F.col("p.host").eqNullSafe(F.col("h.host"))).select("p.host", "p.path", "p.n", "p.good", "h.host_n", "h.host_good")
     sites = checkpointed(sites)
-    small = F.broadcast(sites) if sites.count() <= BROADCAST_SITES else sites
-    joined = own.alias("d").join(small.alias("s"), F.col("d.host").eqNullSafe(F.col("s.host")) & F.col("d.path").eqNullSafe(F.col("s.path")))
-    joined = joined.withColumn("path_share", shrunk(F.col("s.n"), F.col("s.good"), F.col("s.host_share"), at_path))
-    without = shrunk(F.col("s.n") - 1, F.col("s.good") - F.col("d.p"), F.col("s.host_share"), at_path)
+    same = lambda s: F.col("d.host").eqNullSafe(F.col(f"{s}.host")) & F.col("d.path").eqNullSafe(F.col(f"{s}.path"))
+    facts = ["d.doc_id", "d.evidence", "d.p", "s.n", "s.good", "s.host_n", "s.host_good"]
+    if sites.count() <= BROADCAST_SITES:
+        joined = own.alias("d").join(F.broadcast(sites).alias("s"), same("s")).select(*facts)
+    else:
+        hot = F.broadcast(sites.where(F.col("n") > HOT))
+        joined = own.alias("d").join(hot.alias("s"), same("s")).select(*facts)
+        rest = own.alias("d").join(hot.alias("o"), same("o"), "left_anti").alias("d")
+        joined = joined.unionByName(rest.join(sites.where(F.col("n") <= HOT).alias("s"), same("s")).select(*facts))
+    joined = joined.withColumn("host_share", shrunk(F.col("host_n"), F.col("host_good"), F.lit(prior), at_host))
+    joined = joined.withColumn("path_share", shrunk(F.col("n"), F.col("good"), F.col("host_share"), at_path))
+    without_host = shrunk(F.col("host_n") - 1, F.col("host_good") - F.col("p"), F.lit(prior), at_host)
+    without = shrunk(F.col("n") - 1, F.col("good") - F.col("p"), without_host, at_path)
     site = F.least(F.lit(0.999), F.greatest(F.lit(0.001), without))
-    posterior = 1 / (1 + F.exp(-(F.col("d.evidence") + F.log(site / (1 - site)))))
+    posterior = 1 / (1 + F.exp(-(F.col("evidence") + F.log(site / (1 - site)))))
     return joined.select(
-        "d.doc_id",
-        F.round("d.evidence", 6).alias("evidence"),
-        F.round("s.host_share", 6).alias("host_share"),
+        "doc_id",
+        F.round("evidence", 6).alias("evidence"),
+        F.round("host_share", 6).alias("host_share"),
         F.round("path_share", 6).alias("path_share"),
         F.round(posterior, 6).alias("posterior"),
         (posterior >= 0.5).alias("kept"),
