@@ -19,9 +19,13 @@ own documents can meet. A range owner sums the runs of all blocks. A block sends
 a range at most one run a level and none that is empty, so messages never
 outnumber n-grams.
 
-Words have 64-bit hashes. Longer n-grams have hashes of log2(bytes) + SPARE_BITS
-bits, 40 at least, so that about one in 2 ** SPARE_BITS of them or fewer shares
-its hash, and then the sum of two counts, with another, however large the corpus.
+Words have 64-bit hashes. Longer n-grams are sent under hashes of log2(bytes) +
+``spare_bits`` bits, 40 at least, so that about one in 2 ** spare_bits of them or
+fewer shares its hash, and then the sum of two counts, with another, however large
+the corpus. A count is never more than its context's, so that p stays a
+probability; for the contexts concerned the sum over the vocabulary is no longer
+exactly one. With spare_bits = None all 64 bits are sent, and no counts are mixed
+before hashes of 64 bits collide.
 
 Defined results: a null or empty text is the end token alone; repeated rows are
 counted and scored each; without training rows N and V are 0 and every word has
@@ -47,6 +51,8 @@ from arborix.session import checkpointed
 ORDER, KAPPA = 3, 1000.0
 BLOCK_BYTES, RANGE_BYTES = 8 << 20, 16 << 20
 SPARE_BITS = 14
+#: Bytes of text beyond which blocks and ranges grow, with the root of the input.
+LARGE = 1 << 40
 #: Words of a text that a walk reads in one piece.
 PIECE = 128
 END = b""
@@ -196,6 +202,7 @@ class Automaton:
             gram, count = block.grams[n - 1], totals[n - 1]
             prefix, last = gram // block.size, gram % block.size
             shorter = last if n == 2 else block.suffix_rows(n)
+            count = np.minimum(count, totals[n - 2][prefix])
             p = (count + kappa * p[shorter]) / (totals[n - 2][prefix] + kappa)
             seen = count > 0
             self.seen.append(seen)
@@ -245,16 +252,19 @@ class Automaton:
 RESULT = "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER, kappa: float = KAPPA, train: Column | None = None) -> DataFrame:
+def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER, kappa: float = KAPPA, train: Column | None = None, spare_bits: int | None = SPARE_BITS) -> DataFrame:
     """Every document's add-one and backoff scores, learned from the rows of ``train``."""
     if order < 1:
         raise ValueError("order must be 1 or more")
-    train = ~held_out(F.col(key)) if train is None else train
-    rows = docs.select(F.col(key).cast("string").alias("doc_id"), F.col(text).cast("binary").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    name = F.col(f"`{key}`")
+    train = ~held_out(name) if train is None else train
+    rows = docs.select(name.cast("string").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(size / BLOCK_BYTES))
-    ranges = max(1, math.ceil(size / RANGE_BYTES))
-    width = min(64, max(40, math.ceil(math.log2(size + 1)) + SPARE_BITS))
+    # a block sends a run to each range: beyond LARGE both grow, or runs would be too short
+    grown = max(1.0, math.sqrt(size / LARGE))
+    blocks = max(1, math.ceil(size / (BLOCK_BYTES * grown)))
+    ranges = max(1, math.ceil(size / (RANGE_BYTES * grown)))
+    width = 64 if spare_bits is None else min(64, max(40, math.ceil(math.log2(size + 1)) + spare_bits))
     block = F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(blocks)).cast("int")
     dealt = rows.withColumn("block", block).mapInArrow(_packed_texts, "doc_id string, text binary, train boolean, block int, n long")
 

@@ -500,6 +500,16 @@ def test_language_model(docs, empty, monkeypatch, order):
     assert language_model.scores(empty).count() == 0
 
 
+def test_language_model_with_mixed_counts(docs, monkeypatch):
+    """Keys of few bits mix counts: probabilities stay such, and full keys are exact."""
+    exact = {tuple(r)[:6]: r["score"] for r in language_model.scores(docs, spare_bits=None).collect()}
+    monkeypatch.setattr(language_model, "max", lambda *x: min(x) if x[0] == 40 else max(*x), raising=False)
+    mixed = {tuple(r)[:6]: r["score"] for r in language_model.scores(docs.withColumn("a.b", F.col("doc_id")), key="a.b", spare_bits=18).collect()}
+    assert exact.keys() == mixed.keys()
+    assert all(s <= 1e-9 for s in mixed.values())
+    assert sum(abs(exact[k] - mixed[k]) > 1e-9 for k in exact) < len(exact)
+
+
 def test_language_model_registered_order(spark):
     """The registered query tells texts apart that only a context of two words can."""
     rows = [(i, t, "en", "s", 0, 0, "") for i, t in enumerate(["a b c", "d b e"] * 400 + ["a b e"])]
@@ -625,6 +635,19 @@ def test_url_rules_equal_all_subsets(spark):
         assert x["verdict"] == (own[3] if own else "allow") and x["learned_rule"] == (" ".join(own[2]) if own else None)
 
 
+def test_url_rules_on_a_late_token(spark):
+    """A rule on tokens behind the bound on mined ones is found where mining may look at all."""
+    rows = []
+    for i in range(400):
+        bad = i % 4 == 0
+        # two tokens that tell the label well, and a pair that tells it for sure
+        own = [t for t, k in (("near1", 16), ("near2", 24)) if bad == (i % k != 0)] + (["u", "v"] if bad else ["u"] if i % 3 else ["v"])
+        rows.append((sorted(own), bad))
+    labelled = spark.createDataFrame(rows, "tokens array<string>, blocked boolean")
+    rules = lambda most: {tuple(r["tokens"]) for r in url_filter.learn(labelled, 20, 0.99, 1.2, most).collect()}
+    assert ("u", "v") in rules(None) and ("u", "v") not in rules(2)
+
+
 def test_url_tokens_do_not_run_together(spark):
     """Urls whose tokens look alike once joined by blanks are told apart."""
     rows = [(i, "http://x.net/a/b" if i % 2 else "http://x.net/a path=b") for i in range(100)]
@@ -652,8 +675,19 @@ def test_site_quality(spark, empty):
     assert site_quality.classify(empty, labels, F.col("source"), F.col("lang")).count() == 0
 
 
-def test_site_quality_equals_loops(spark):
+def test_sites_are_of_one_page(spark):
+    from arborix.llm.queries import sites_of
+
+    pages = spark.createDataFrame([(1, "http://b.org/a/x"), (1, "http://a.org/z/x"), (2, None), (None, "http://c.org/")], "page_id long, url string")
+    assert sorted(map(tuple, sites_of(pages).collect())) == [(1, "a.org", "z"), (2, "", "")]
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_site_quality_equals_loops(spark, monkeypatch, broadcast):
     """Evidence, strengths, shares without the document, all from plain loops."""
+    if not broadcast:
+        monkeypatch.setattr(site_quality, "BROADCAST_SITES", 0)
+        monkeypatch.setattr(site_quality, "HOT", 6)
     r = random.Random(8)
     rows = []
     for i in range(160):
@@ -697,7 +731,8 @@ def test_site_quality_equals_loops(spark):
     want = []
     for x, e, p in zip(own, evidence, soft, strict=True):
         host = (hg[x[2]] + m * hk) / (hn[x[2]] + hk)
-        site = min(0.999, max(0.001, (pg[x[2:]] - p + host * pk) / (pn[x[2:]] - 1 + pk)))
+        others = (hg[x[2]] - p + m * hk) / (hn[x[2]] - 1 + hk)
+        site = min(0.999, max(0.001, (pg[x[2:]] - p + others * pk) / (pn[x[2:]] - 1 + pk)))
         post = 1 / (1 + math.exp(-(e + math.log(site / (1 - site)))))
         want.append((x[0] or 0, e, host, (pg[x[2:]] + host * pk) / (pn[x[2:]] + pk), post))
     found = sorted((x["doc_id"] or 0, x["evidence"], x["host_share"], x["path_share"], x["posterior"]) for x in got)
