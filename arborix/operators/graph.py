@@ -1,8 +1,8 @@
 """Traversals, one join for each level.
 
-A level joins the frontier with the edges, so a hop costs one shuffle of the
-edges (or none, if the frontier is small enough for Spark to broadcast it), and
-each level's result is checkpointed to keep the plan short.
+Edges are read once and dealt by the node that they leave; a checkpoint keeps them
+so, and a level deals only its frontier to where the edges are. Each level's result
+is checkpointed to keep the plan short.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
 
     Ends without a node row go on expanding; a start never reaches itself.
     """
-    links = edges.select("from_id", "to_id")
+    links = checkpointed(edges.select("from_id", "to_id").repartition("from_id"))
     frontier = starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("depth"))
     seen = frontier
     for level in range(1, depth + 1):
@@ -50,7 +50,7 @@ def call_path(nodes: DataFrame, edges: DataFrame, source: str, target: str) -> D
     hit = nodes.where(F.col("name") == target).select("id").unionByName(nodes.sparkSession.createDataFrame([(goal,)], "id string")).distinct()
     hit = checkpointed(hit.withColumn("hit", F.lit(True)))
     calls = edges.where("edge_type = 'calls'").select("id", "from_id", "to_id")
-    calls = calls.join(hit.withColumnRenamed("id", "to_id"), "to_id", "left")
+    calls = checkpointed(calls.join(hit.withColumnRenamed("id", "to_id"), "to_id", "left").repartition("from_id"))
     session = nodes.sparkSession
     frontier = session.createDataFrame([(first, [])], "at string, path array<string>")
     seen = frontier.select("at")

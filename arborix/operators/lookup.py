@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborix.functions.text import truncate_bytes
+from arborix.operators.trigram import containing
 
 DEFAULT_LIMIT, MAX_LIMIT, DEFAULT_DEPTH = 10, 1000, 3
 
@@ -124,13 +125,9 @@ def edge_view(edges: DataFrame) -> DataFrame:
     return edges.select("from_id", "to_id", "edge_type")
 
 
-def names_to_nodes(nodes: DataFrame, names: DataFrame) -> DataFrame:
-    """(ordinal, name part) rows to all nodes whose name holds the part.
-
-    The names come from one question, so the list is short and goes to every
-    task; the nodes stay where they are.
-    """
-    return nodes.join(F.broadcast(names), F.contains(nodes["name"], names["part"]))
+def names_to_nodes(nodes: DataFrame, names: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """(ordinal, name part) rows to all nodes whose name holds the part, through posting lists."""
+    return containing(nodes, names, index)
 
 
 def soft_limited(found: DataFrame, enough: int = 3) -> DataFrame:
@@ -140,4 +137,4 @@ def soft_limited(found: DataFrame, enough: int = 3) -> DataFrame:
     per_name = found.groupBy("ordinal").agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
     used = per_name.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("before") < enough)
-    return found.join(F.broadcast(used.select("ordinal")), "ordinal", "left_semi")
+    return found.join(used.select("ordinal"), "ordinal", "left_semi")

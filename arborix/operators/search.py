@@ -19,7 +19,8 @@ def semantic_search(nodes: DataFrame, vector, limit: int | None = None, language
     """The nodes nearest to a vector, with their score, best first, ties by id.
 
     The ranking reads ids and vectors only and keeps ``limit`` rows in each task;
-    the wide columns are joined to the winners. Scores of 0 or less go after the
+    the wide columns are read for the winners' ids, which a filter names, so that
+    a store sorted by id opens few row groups. Scores of 0 or less go after the
     cut, and so does the language filter unless ``prefilter`` asks for it before.
     """
     values = [float(x) for x in vector]
@@ -28,11 +29,27 @@ def semantic_search(nodes: DataFrame, vector, limit: int | None = None, language
     q = query_vector(values)
     pool = nodes.where(F.col("language") == language) if language and prefilter else nodes
     top = scored(pool, q, len(values)).orderBy(F.desc("score"), "id").limit(clamp_limit(limit)).where("score > 0")
-    wide = search_view(nodes).join(F.broadcast(top), "id")  # at most MAX_LIMIT rows
+    wide = of_winners(nodes, [(r["id"], r["score"]) for r in top.collect()])  # at most MAX_LIMIT rows
     return wide.where(F.col("language") == language) if language and not prefilter else wide
 
 
+def of_winners(nodes: DataFrame, winners: list[tuple[str, float]]) -> DataFrame:
+    """The columns that a search shows of some nodes (id, score)."""
+    top = nodes.sparkSession.createDataFrame(winners, "id string, score double")
+    return search_view(nodes.where(F.col("id").isin([i for i, _ in winners]))).join(F.broadcast(top), "id")
+
+
+#: Probes of a block; each block goes to every task.
+PROBES = 1000
+
+
 def pairs(vectors: DataFrame, probes: DataFrame) -> DataFrame:
-    """Scores of a stated set of probe vectors against all vectors."""
-    p = F.broadcast(probes.select(F.col("id").alias("probe_id"), F.col("embedding").alias("probe")))
-    return vectors.join(p, F.size("embedding") == F.size("probe")).select("probe_id", "id", cosine(F.col("embedding"), F.col("probe")).alias("score"))
+    """Scores of a stated set of probe vectors against all vectors, in blocks of about PROBES."""
+    p = probes.select(F.col("id").alias("probe_id"), F.col("embedding").alias("probe"))
+    parts = max(1, -(-p.count() // PROBES))
+    block = F.pmod(F.xxhash64("probe_id"), F.lit(parts))
+    of = lambda own: vectors.join(F.broadcast(own), F.size("embedding") == F.size("probe")).select("probe_id", "id", cosine(F.col("embedding"), F.col("probe")).alias("score"))
+    out = of(p if parts == 1 else p.where(block == 0))
+    for k in range(1, parts):
+        out = out.unionByName(of(p.where(block == k)))
+    return out

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from arborix.functions import text as X
 from arborix.lang.extract import calls_of, nodes_of
 from arborix.operators import calls, graph, incremental, lookup, merge, report, search
+from arborix.operators.vector_index import VectorIndex
 from arborix.plans import samples
 from arborix.schema import edge_id, empty
 from arborix.session import shared_path, table
@@ -62,6 +63,14 @@ def semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _search_out(search.semantic_search(V.nodes(spark, sf_dir), _vector(spark, sf_dir), 10))
 
 
+@query(ORACLES["semantic_search"])
+def semantic_search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows through clusters of vectors, of which those that cannot matter are not read."""
+    nodes = V.nodes(spark, sf_dir)
+    found, _ = VectorIndex.build(nodes.where("embedding IS NOT NULL").select("id", "embedding")).search(_vector(spark, sf_dir), 10)
+    return _search_out(search.of_winners(nodes, [(r["id"], r["score"]) for r in found.collect()]))
+
+
 @query(f"{N}, {_TOP % 50} SELECT {_SEEN} FROM top JOIN g_nodes USING (id) WHERE score > 0 AND language = 'en'")
 def semantic_search_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _search_out(search.semantic_search(V.nodes(spark, sf_dir), _vector(spark, sf_dir), 50, "en"))
