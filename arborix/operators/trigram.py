@@ -43,6 +43,6 @@ def containing(names: DataFrame, parts: DataFrame, index: DataFrame | None = Non
     found = names.join(met, key).where(F.contains(name, F.col("part")))
     nothing = [r["ordinal"] for r in parts.where("part = ''").select("ordinal").collect()]
     if nothing:
-        everywhere = names.where(F.col(name).isNotNull()).withColumn("ordinal", F.explode(F.array(*[F.lit(o) for o in nothing])).cast(parts.schema["ordinal"].dataType)).withColumn("part", F.lit(""))
+        everywhere = names.where(F.col(name).isNotNull()).withColumn("ordinal", F.explode(F.array(*[F.lit(o).cast(parts.schema["ordinal"].dataType) for o in nothing]))).withColumn("part", F.lit(""))
         found = found.unionByName(everywhere.select(*found.columns))
     return found.select(*names.columns, "ordinal", "part")
