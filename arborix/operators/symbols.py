@@ -11,6 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arborix.operators.graph import reach
+
+#: Includes in includes that are followed.
+INCLUDES = 16
 #: (separator of a qualified name, separator of an outside id) of each language.
 SEPARATORS = {"go": (".", "::"), "clojure": ("/", "/"), "c": ("::", "::"), "cpp": ("::", "::")}
 
@@ -23,6 +27,15 @@ def _found(references: DataFrame, symbols: DataFrame, on: list[tuple[Column, str
     return references.join(one, met, "left").drop(*[f"__{k}" for k in keys])
 
 
+def _included(references: DataFrame, symbols: DataFrame, imports: DataFrame, depth: int = INCLUDES) -> DataFrame:
+    """(file_path, name, id): what files with references see through their includes, of a
+    name that several included files have the nearest one's."""
+    links = imports.select(F.col("file_path").alias("from_id"), F.col("target").alias("to_id")).distinct()
+    far = reach(links, references.select(F.col("file_path").alias("id")).distinct(), depth)
+    seen = far.select(F.col("start").alias("file_path"), F.col("id").alias("target"), "depth").join(symbols.select(F.col("file_path").alias("target"), "name", "id"), "target")
+    return seen.groupBy("file_path", "name").agg(F.min(F.struct("depth", "id")).alias("near")).select("file_path", "name", "near.id")
+
+
 def resolve(references: DataFrame, symbols: DataFrame, imports: DataFrame, language: str, scope: str = "file") -> DataFrame:
     """references with ``resolved``: a definition's id, an outside id, or null.
 
@@ -30,16 +43,14 @@ def resolve(references: DataFrame, symbols: DataFrame, imports: DataFrame, langu
     package's definition or else to an id outside; a plain name is looked up in
     the file, then in its package. C and C++: ``A::b`` is a known name or outside,
     members stay outside, a plain name is looked up in the file, then in the
-    files that it includes.
+    files that it includes, and those that these include, the nearest first.
     """
     mark, outside = SEPARATORS[language]
     name, columns = F.col("name"), references.columns
     r = _found(references, symbols, [(F.col("file_path"), "file_path"), (name, "name")], "local")
     if language in ("c", "cpp"):
         if scope == "corpus":
-            known = symbols.select(F.col("file_path").alias("target"), "name", "id")
-            through = imports.join(known, "target").select("file_path", "name", "id")
-            r = _found(r, through, [(F.col("file_path"), "file_path"), (name, "name")], "included")
+            r = _found(r, _included(references, symbols, imports), [(F.col("file_path"), "file_path"), (name, "name")], "included")
         else:
             r = r.withColumn("included", F.lit(None).cast("string"))
         qualified, member = F.contains(name, F.lit("::")), F.contains(name, F.lit(".")) | F.contains(name, F.lit("->"))

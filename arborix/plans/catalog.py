@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborix.functions import text as X
-from arborix.lang.extract import calls_of, nodes_of
+from arborix.lang.extract import calls_of, imports_of, nodes_of, symbols_of
 from arborix.operators import calls, graph, incremental, lookup, merge, report, search
 from arborix.operators.vector_index import VectorIndex
 from arborix.plans import samples
 from arborix.schema import edge_id, empty
-from arborix.session import shared_path, table
+from arborix.session import shared_path, table, written
 from arborix.sources import files as S
 from arborix.sources import views as V
 from arborix.sources.store import Store
@@ -481,21 +481,19 @@ def clean_docstring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.clean_docstring(quoted).alias("cleaned"))
 
 
-@query("SELECT doc_id, 'f' || doc_id AS id, lang || ' and ' || source AS summary, CAST(doc_id % 3 AS VARCHAR) AS version FROM documents")
+@query("SELECT doc_id, 'f' || doc_id AS id, lang || ' and ' || source || ' other: x' AS summary, CAST(doc_id % 3 AS VARCHAR) AS version FROM documents")
 def parse_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     block = F.concat(
         F.lit("/* @semantic\n * id: f"), "doc_id", F.lit("\n * summary: "), "lang", F.lit("\n *   and "), "source", F.lit("\n * other: x\n * Version: "), (F.col("doc_id") % 3).cast("string"), F.lit("\n */")
     )
     m = X.annotations(block)
-    summary = F.regexp_replace(m["summary"], " other: x$", "")
-    return table(spark, sf_dir, "documents").select("doc_id", m["id"].alias("id"), summary.alias("summary"), m["Version"].alias("version"))
+    return table(spark, sf_dir, "documents").select("doc_id", m["id"].alias("id"), m["summary"].alias("summary"), m["Version"].alias("version"))
 
 
-@query(
-    """SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN NULL ELSE 'a' || conv_id END AS answer, CASE WHEN turn % 3 = 0 THEN NULL ELSE 'f' END AS findings FROM conversations"""
-)
+@query("SELECT conv_id, turn, CASE WHEN turn % 3 <> 0 AND text <> '' THEN text END AS answer, CASE WHEN turn % 3 <> 0 AND text <> '' THEN role END AS findings FROM conversations")
 def json_answer_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = F.to_json(F.struct(F.when(F.col("turn") % 3 == 0, "").otherwise(F.concat(F.lit("a"), "conv_id")).alias("answer"), F.lit("f").alias("findings")))
+    """Answers that a model wraps in JSON and words; each third one is empty."""
+    body = F.to_json(F.struct(F.when(F.col("turn") % 3 == 0, "").otherwise(F.col("text")).alias("answer"), F.col("role").alias("findings")))
     said = F.concat(F.lit("Here it is:\n"), body, F.lit("\nDone."))
     found = table(spark, sf_dir, "conversations").withColumn("a", X.answer_of(said))
     return found.select("conv_id", "turn", "a.answer", "a.findings")
@@ -605,3 +603,81 @@ def tool_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
     call = X.arguments(F.to_json(F.struct(F.col("role").alias("name"), F.col("turn").alias("n"))))
     failed = F.from_json(X.error_result(F.col("text")), "error boolean, message string")
     return c.select("conv_id", "turn", call["name"].alias("name"), call["n"].alias("n"), F.when(failed["error"], failed["message"]).alias("message"))
+
+
+@query(samples.SYMBOLS_SQL)
+def symbol_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definitions of modules of several files and languages, with their packages."""
+    files_ = samples.modules(spark, sf_dir)
+    return symbols_of(files_, nodes_of(files_)).select(F.col("file_path").alias("file"), "package", "name")
+
+
+@query(samples.IMPORTS_SQL)
+def import_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imports, includes and required names of the same modules."""
+    return imports_of(samples.modules(spark, sf_dir)).select(F.col("file_path").alias("file"), "alias", "target")
+
+
+@query(samples.RESOLVED_SQL)
+def symbol_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls across files: through packages, siblings, required namespaces and includes of includes."""
+    files_ = samples.modules(spark, sf_dir)
+    return calls_of(files_, written(nodes_of(files_), "nodes"), symbols="corpus").select("from_id", "to_id")
+
+
+@query(f"""{N} SELECT id, true AS found FROM g_nodes WHERE name = 'doc_42' UNION ALL SELECT 'no such node', false""")
+def node_required(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A node that must be there, and one that is not."""
+    out, nodes_ = [], V.nodes(spark, sf_dir)
+    for asked in (_node(spark, sf_dir, 42), "no such node"):
+        try:
+            out.append((lookup.node_or_error(nodes_, asked).select("id").first()[0], True))
+        except LookupError as e:
+            out.append((str(e).removeprefix("node not found: "), False))
+    return spark.createDataFrame(out, "id string, found boolean")
+
+
+@query(
+    f"""{N} SELECT id, name, node_type, language, file_path, start_line, end_line, md5(encode(text)[1:497]) AS head,
+    CASE WHEN strlen(text) > 500 THEN '...' ELSE right(text, 3) END AS tail FROM g_nodes JOIN documents ON g_nodes.id = source || '::' || doc_id"""
+)
+def search_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a search shows of every node, its content cut to 500 bytes."""
+    seen = lookup.search_view(V.nodes(spark, sf_dir))
+    return seen.select(*[c for c in seen.columns if c != "content"], F.md5(F.substring(F.encode("content", "UTF-8"), 1, 497)).alias("head"), F.right("content", F.lit(3)).alias("tail"))
+
+
+_BLOCK = """'### ' || doc_id || '. ' || name || ' (' || node_type || ')' || chr(10) || 'File: ' || file_path || ':' || start_line || '-' || end_line || chr(10)
+  || 'Language: ' || coalesce(language, '') || chr(10) || 'Doc: ' || name || chr(10) || '```' || chr(10)"""
+
+
+@query(
+    f"""{N}, b AS (SELECT id, {_BLOCK} AS top, text FROM g_nodes JOIN documents ON g_nodes.id = source || '::' || doc_id)
+    SELECT id, md5(encode(top || text || chr(10) || '```' || chr(10) || chr(10))[1:900]) AS head,
+    right(CASE WHEN strlen(text) > 1000 THEN '...' ELSE text END || chr(10) || '```' || chr(10) || chr(10), 8) AS tail FROM b"""
+)
+def context_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The markdown that a model's context shows of every node, content cut to 1,000 bytes."""
+    n = V.nodes(spark, sf_dir)
+    number = F.substring_index("id", "::", -1)
+    block = X.node_block(number, *[F.col(c) for c in ("name", "node_type", "file_path", "start_line", "end_line", "language", "name", "content")])
+    return n.select("id", block.alias("block")).select("id", F.md5(F.substring(F.encode("block", "UTF-8"), 1, 900)).alias("head"), F.right("block", F.lit(8)).alias("tail"))
+
+
+#: Patterns of a scan, and what they are as regular expressions.
+_GLOBS = {
+    "node_modules": "node_modules", "*.min.js": r"[^/]*\.min\.js", "test?.go": r"test[^/]\.go", "test[123].go": r"test[123]\.go", "test[!123].go": r"test[!123]\.go",
+    "test[^123].go": r"test[^123]\.go", "[a-c]*": "[a-c][^/]*", "**/*.go": r"[^/]*[^/]*/[^/]*\.go", "a\\*b": r"a\*b", "*": "[^/]*", "": "",
+}
+_NAMES = ["node_modules", "app.min.js", "app.js", "test1.go", "test12.go", "test4.go", "test!.go", "b", "x/y.go", "a*b", "axb", ""]
+
+
+@query(
+    f"""WITH n AS (SELECT doc_id, ([{', '.join(repr(x) for x in _NAMES)}])[doc_id % {len(_NAMES)} + 1] AS name FROM documents)
+    SELECT doc_id, name, {', '.join(f"regexp_full_match(name, '{r}') AS g{k}" for k, r in enumerate(_GLOBS.values()))} FROM n"""
+)
+def glob_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names against patterns with stars, marks, classes and escapes, one expression each."""
+    name = F.get(F.array(*map(F.lit, _NAMES)), (F.col("doc_id") % len(_NAMES)).cast("int"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", name.alias("name"))
+    return docs.select("doc_id", "name", *[S.glob_match(F.col("name"), g).alias(f"g{k}") for k, g in enumerate(_GLOBS)])

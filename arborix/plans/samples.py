@@ -588,3 +588,48 @@ SELECT file || '::' || replace(replace(tail, '{{n}}', n), '{{row}}', CAST(a + he
   CASE WHEN tail = 'Greet{{n}}' THEN 'function::greet' END AS marked_id, CASE WHEN tail = 'Greet{{n}}' THEN 'Greets' END AS summary FROM f JOIN d USING (key)"""
 CALLS_SQL = f"""WITH {_FILES}, {_values("c", "key, a, b", CALLED)}
 SELECT file || '::' || replace(a, '{{n}}', n) AS from_id, CASE WHEN starts_with(b, 'external::') THEN '' ELSE file || '::' END || replace(b, '{{n}}', n) AS to_id FROM f JOIN c USING (key)"""
+
+
+#: Files of a module for each page: (file, language, text).
+MODULE = [
+    ("util.go", "go", "package util{n}\n\nfunc Do{n}() int {\n\treturn inner{n}()\n}\n\nfunc inner{n}() int { return 1 }\n"),
+    ("more.go", "go", "package util{n}\n\nfunc (t *T{n}) More() {\n\tinner{n}()\n}\n"),
+    ("main.go", "go", 'package main\n\nimport (\n\tu "util{n}"\n\t"a/fmt"\n)\n\nfunc main{n}() {\n\tu.Do{n}()\n\tfmt.Println(1)\n}\n'),
+    ("a.c", "c", '#include "m{n}/a.h"\n\nint run{n}(void) {\n  deep{n}(1);\n  return N::out{n}(2);\n}\n'),
+    ("a.h", "c", '#include "m{n}/b.h"\n'),
+    ("b.h", "c", "static int deep{n}(int a) {\n  return a;\n}\n"),
+    ("core.clj", "clojure", "(ns core{n}\n  (:require [lib{n} :as l]\n            [far.away :refer [there]]))\n\n(defn go{n} [a]\n  (l/call{n} a))\n"),
+    ("lib.clj", "clojure", "(ns lib{n})\n\n(defn call{n} [x]\n  (x/y x))\n"),
+]
+#: Their definitions (file, package, name), imports (file, alias, target) and calls.
+DEFINED = [
+    ("util.go", "util{n}", "Do{n}"), ("util.go", "util{n}", "inner{n}"), ("more.go", "util{n}", "T{n}.More"), ("main.go", "main", "main{n}"),
+    ("a.c", None, "run{n}"), ("b.h", None, "deep{n}"), ("core.clj", "core{n}", "go{n}"), ("lib.clj", "lib{n}", "call{n}"),
+]
+IMPORTED = [
+    ("main.go", "u", "util{n}"), ("main.go", "fmt", "a/fmt"), ("a.c", "m{n}/a.h", "m{n}/a.h"), ("a.h", "m{n}/b.h", "m{n}/b.h"),
+    ("core.clj", "l", "lib{n}"), ("core.clj", "there", "far.away"),
+]
+RESOLVED = [
+    ("m{n}/util.go::Do{n}", "m{n}/util.go::inner{n}"), ("m{n}/more.go::(t *T{n}).More", "m{n}/util.go::inner{n}"), ("m{n}/main.go::main{n}", "m{n}/util.go::Do{n}"),
+    ("m{n}/main.go::main{n}", "a/fmt::Println"), ("m{n}/a.c::run{n}", "m{n}/b.h::deep{n}"), ("m{n}/a.c::run{n}", "external::N::out{n}"),
+    ("m{n}/core.clj::go{n}", "m{n}/lib.clj::call{n}"), ("m{n}/lib.clj::call{n}", "external::x/y"),
+]
+
+
+def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of a module for each page: file_path, language, content."""
+    pages = table(spark, sf_dir, "pages").select("page_id")
+    files = F.explode(F.array(*[F.struct(*[F.lit(x).alias(k) for k, x in zip(("name", "language", "text"), f, strict=True)]) for f in MODULE])).alias("f")
+    n = F.col("page_id").cast("string")
+    return pages.select("page_id", files).select(F.concat(F.lit("m"), n, F.lit("/"), "f.name").alias("file_path"), "f.language", F.encode(F.replace("f.text", F.lit("{n}"), n), "UTF-8").alias("content"))
+
+
+def _for_pages(name: str, columns: str, rows: list[tuple], *shown: str) -> str:
+    filled = ", ".join(f"replace({c}, '{{n}}', CAST(page_id AS VARCHAR)) AS {c}" for c in shown)
+    return f"WITH {_values(name, columns, rows)} SELECT {filled} FROM pages, {name}"
+
+
+SYMBOLS_SQL = _for_pages("d", "file, package, name", [(f"m{{n}}/{f}", p, n) for f, p, n in DEFINED], "file", "package", "name")
+IMPORTS_SQL = _for_pages("d", "file, alias, target", [(f"m{{n}}/{f}", a, t) for f, a, t in IMPORTED], "file", "alias", "target")
+RESOLVED_SQL = _for_pages("d", "from_id, to_id", RESOLVED, "from_id", "to_id")

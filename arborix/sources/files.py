@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -118,7 +117,10 @@ DEFAULT_EXCLUDES = (
 
 
 def _any_part(parts: Column, patterns) -> Column:
-    return F.exists(parts, lambda x: reduce(lambda a, p: a | glob_match(x, p), patterns, F.lit(False)))
+    """Whether a part matches one of the patterns, all of which are one expression."""
+    known = [r for r in map(glob_regex, patterns) if r is not None]
+    either = "^(?:" + "|".join(f"(?:{r.removeprefix('^').removesuffix('$')})" for r in known) + ")$"
+    return F.exists(parts, lambda x: x.rlike(either)) if known else F.lit(False)
 
 
 def excluded(path: Column, patterns=DEFAULT_EXCLUDES) -> Column:
