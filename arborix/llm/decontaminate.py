@@ -32,7 +32,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborix.llm.text import bare_words, small_batches
@@ -45,6 +45,8 @@ SEED_BITS, LEAST_BITS, MOST_BITS = 32, 20, 28
 HOT = 10_000
 #: Tables of at most so many rows, or characters of items, may be broadcast.
 BROADCAST_ROWS, BROADCAST_CHARS = 100_000, 4_000_000
+#: Items, about, that a document meets at a time, and texts of a batch.
+TOGETHER, TEXTS = 64, 100
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -264,34 +266,48 @@ def _matches(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: s
     # an item that many documents share is dealt over several tasks too
     parts = 1 if chars <= BROADCAST_CHARS else 16
     own = F.broadcast(own) if parts == 1 else own.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    both = pairs.join(kept.select("doc", "doc_id", "digest", "stretches"), "doc")
-    both = both.join(own, "item") if parts == 1 else both.withColumn("part", F.pmod("doc", F.lit(parts)).cast("int")).join(own, ["item", "part"])
+    # a document meets its items TOGETHER at a time: its tokens are sent once for so many
+    many = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("doc")) / TOGETHER)
+    asked = pairs.withColumn("share", F.pmod(F.xxhash64("item"), many))
+    asked = asked.join(own, "item") if parts == 1 else asked.withColumn("part", F.pmod("doc", F.lit(parts)).cast("int")).join(own, ["item", "part"])
+    asked = asked.groupBy("doc", "share").agg(F.collect_list(F.struct("item_id", "ids")).alias("items"))
+    both = asked.join(kept.select("doc", "doc_id", "digest", "stretches"), "doc")
 
     def run(batches):
-        for batch in small_batches(batches):
-            at, found = [], []
-            for i, (s, w) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
-                text_ids, ids = np.frombuffer(s, np.uint64), np.frombuffer(w, np.uint64)
-                got = coverage(ids, text_ids)
-                if got is not None:
-                    at.append(i)
-                    found.append((got[0] / len(ids), len(ids), *got))
-            rows = batch.select([0, 1, 2]).take(pa.array(at, pa.int64()))
+        for batch in small_batches(batches, TEXTS):
+            at, ids_of, found = [], [], []
+            for i, (s, asked) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                doc = np.frombuffer(s, np.uint64)
+                held = {}
+                for x in asked:
+                    ids = np.frombuffer(x["ids"], np.uint64)
+                    got = coverage(ids, doc, held)
+                    if got is not None:
+                        at.append(i)
+                        ids_of.append(x["item_id"])
+                        found.append((got[0] / len(ids), len(ids), *got))
+            rows = batch.select([0, 1]).take(pa.array(at, pa.int64()))
             made = [pa.array(list(x), pa.float64() if k == 0 else pa.int64()) for k, x in enumerate(zip(*found, strict=True))] if found else [pa.array([], t) for t in (pa.float64(), *[pa.int64()] * 3)]
-            yield pa.RecordBatch.from_arrays([*rows.columns, *made], names=["doc_id", "digest", "item_id", "coverage", "item_tokens", "covered_tokens", "n_tiles"])
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(ids_of, pa.int64()), *made], names=["doc_id", "digest", "item_id", "coverage", "item_tokens", "covered_tokens", "n_tiles"])
 
     schema = "doc_id long, digest string, item_id long, coverage double, item_tokens long, covered_tokens long, n_tiles long"
-    return both.select("doc_id", "digest", "item_id", "stretches", "ids").mapInArrow(run, schema)
+    return both.select("doc_id", "digest", "stretches", "items").mapInArrow(run, schema)
 
 
-def coverage(item: np.ndarray, doc: np.ndarray) -> tuple[int, int] | None:
+def coverage(item: np.ndarray, doc: np.ndarray, held: dict[int, np.ndarray] | None = None) -> tuple[int, int] | None:
     """(covered tokens, tiles) of an item, None below COVERAGE.
 
     Tiles lie under shared seeds, so an item whose shared seeds touch too few
-    tokens is turned down before any tiling.
+    tokens is turned down before any tiling. ``held`` keeps the document's sorted
+    seeds from item to item.
     """
     size, least = min(MIN_TILE, len(item)), need(len(item))
-    own = np.flatnonzero(np.isin(seeds(item, size), seeds(doc, size)))
+    held = {} if held is None else held
+    if size not in held:
+        held[size] = np.unique(seeds(doc, size))
+    mine = seeds(item, size)
+    place = np.minimum(np.searchsorted(held[size], mine), max(len(held[size]) - 1, 0))
+    own = np.flatnonzero(held[size][place] == mine) if len(held[size]) else np.zeros(0, np.int64)
     touched = np.zeros(len(item), bool)
     for k in range(size):
         touched[own + k] = True

@@ -436,6 +436,19 @@ def test_decontamination_equals_all_pairs(spark, monkeypatch, seed):
         assert {x["doc_id"] for x in kept if x["doc_id"] is not None} == {i for i in range(len(texts)) if i % 10} - leaking | {900}
 
 
+@pytest.mark.parametrize("chars", [4_000_000, 0])
+def test_decontamination_of_one_text_with_many_items(spark, monkeypatch, chars):
+    """A text that thousands of items are candidates of gives them all, its tokens sent once for many."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_CHARS", chars)
+    r = random.Random(9)
+    vocab = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(r.choice(vocab) for _ in range(6))) for i in range(3000)]
+    docs = [(1, " ".join(t for _, t in items)), (2, "nothing of that"), (None, items[5][1])]
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {x["item_id"] for x in got if x["doc_id"] == 1} == set(range(3000))
+    assert 5 in {x["item_id"] for x in got if x["doc_id"] is None} and not any(x["doc_id"] == 2 for x in got)
+
+
 def test_decontamination_finds_shuffled_phrases(spark):
     """Five pieces of four tokens in another order: no run of five is shared."""
     words = [f"w{i}" for i in range(20)]
