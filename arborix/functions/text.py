@@ -51,8 +51,10 @@ def clean_comment(comment: Column) -> Column:
     body = _strip(comment)
     body = F.when(body.startswith("/*"), F.substring(body, F.lit(3), F.length(body))).otherwise(body)
     body = F.when(body.endswith("*/"), F.substring(body, F.lit(1), F.length(body) - 2)).otherwise(body)
-    lines = F.transform(F.split(body, "\n"), lambda x: _strip(_strip_prefixes(_strip(x), COMMENT_MARKS)))
-    return F.array_join(F.filter(lines, lambda x: x != ""), " ")
+    # all lines at once: blanks and each mark at a line's beginning, blanks at its end
+    blank, marks = r"[ \t\x0B\f\r]", "".join(f"(?:{re.escape(m)})?" for m in COMMENT_MARKS)
+    bare = F.regexp_replace(body, rf"(?dm)^{blank}*+{marks}{blank}*+|{blank}++$", "")
+    return F.regexp_replace(F.regexp_replace(bare, r"^\n+|\n+\z", ""), r"\n+", " ")
 
 
 def clean_docstring(text: Column) -> Column:

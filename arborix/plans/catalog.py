@@ -13,8 +13,10 @@ from arborix.lang.extract import calls_of, imports_of, nodes_of, symbols_of
 from arborix.operators import calls, graph, incremental, lookup, merge, report, search
 from arborix.operators.vector_index import VectorIndex
 from arborix.plans import samples
+from arborix.plans.engine import Engine
 from arborix.schema import edge_id, empty
 from arborix.session import shared_path, table, written
+from arborix.sources import embedding
 from arborix.sources import files as S
 from arborix.sources import views as V
 from arborix.sources.store import Store
@@ -681,3 +683,44 @@ def glob_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.get(F.array(*map(F.lit, _NAMES)), (F.col("doc_id") % len(_NAMES)).cast("int"))
     docs = table(spark, sf_dir, "documents").select("doc_id", name.alias("name"))
     return docs.select("doc_id", "name", *[S.glob_match(F.col("name"), g).alias(f"g{k}") for k, g in enumerate(_GLOBS)])
+
+
+def _indexed(spark: SparkSession, sf_dir: str) -> tuple[Engine, DataFrame]:
+    """An engine whose store has the sources of all pages, and these."""
+    tree = samples.sources(spark, sf_dir).withColumns({"mod_time": F.lit(1).cast("long"), "file_size": F.octet_length("content").cast("long")})
+    engine = Engine(spark, shared_path(spark, "store"), buckets=8)
+    engine.index(tree)
+    return engine, tree
+
+
+#: Pages whose files are written again with a line more on top, and such that go.
+_AGAIN, _GONE_PAGES = "page_id % 10 = 3", "page_id % 10 = 7"
+_UPDATED = f"u AS (SELECT * FROM ({samples.NODES_SQL}) x JOIN (SELECT page_id, 'p' || page_id || '.' AS p FROM pages) y ON starts_with(x.id, y.p) WHERE NOT {_GONE_PAGES})"
+
+
+@query(
+    f"""WITH {_UPDATED} SELECT CASE WHEN node_type = 'import' AND name IN ('import', 'include', 'use') AND {_AGAIN}
+      THEN regexp_extract(id, '^(.*_)[0-9]+$', 1) || start_line ELSE id END AS id, name, node_type,
+    start_line + CASE WHEN {_AGAIN} THEN 1 ELSE 0 END AS start_line, end_line + CASE WHEN {_AGAIN} THEN 1 ELSE 0 END AS end_line FROM u"""
+)
+def engine_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes in a store after an index of all sources and changes of some: written again, and gone."""
+    engine, tree = _indexed(spark, sf_dir)
+    page = F.regexp_extract("file_path", r"^p(\d+)\.", 1).cast("long") % 10
+    again = tree.where(page == 3).withColumn("content", F.concat(F.encode(F.lit("\n"), "UTF-8"), "content"))
+    engine.apply(again, tree.where(page == 7).select("file_path"))
+    return engine.nodes.select("id", "name", "node_type", "start_line", "end_line")
+
+
+@query(f"WITH n AS ({samples.NODES_SQL}), e AS ({samples.CALLS_SQL}) SELECT f.file AS file_path, (SELECT count(*) FROM n WHERE starts_with(n.id, f.file || '::')) AS nodes, (SELECT count(*) FROM e WHERE starts_with(e.from_id, f.file || '::')) AS edges FROM (SELECT DISTINCT split_part(id, '::', 1) AS file FROM n) f")
+def engine_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the store says of each file after an index."""
+    engine, _ = _indexed(spark, sf_dir)
+    return engine.store.read("file_metadata").select("file_path", F.col("node_count").cast("long").alias("nodes"), F.col("edge_count").cast("long").alias("edges"))
+
+
+@query(f"{N} SELECT id, 1 AS attempts, true AS ok, 16 AS dimension FROM g_nodes WHERE trim(content) <> '' UNION ALL SELECT id, 1, false, NULL FROM g_nodes WHERE trim(content) = ''")
+def embedded_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors from a provider for every node, in batches: which have one."""
+    found = embedding.embedded(V.nodes(spark, sf_dir), embedding.HashProvider(16))
+    return found.select("id", "attempts", "ok", F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("dimension"))

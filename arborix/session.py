@@ -41,9 +41,27 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Paths that this process has made in shared folders.
+_made: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clean(spark: SparkSession) -> int:
+    """Remove the tables and files that this process wrote to the shared folder; how many.
+
+    Results that are still to be read rest on them, so this is for the end of a
+    job. Checkpoints go with ``spark.cleaner.referenceTracking.cleanCheckpoints``.
+    """
+    gone = 0
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

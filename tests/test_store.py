@@ -127,3 +127,13 @@ def test_a_number_is_committed_once(spark, tmp_path):
     with pytest.raises(Conflict):
         store._publish(store.snapshot(made.version - 1), {}, {"nodes": {0}})
     assert store.version() == made.version and store.read("nodes").count() == 40
+
+
+def test_what_a_job_wrote_can_go(spark):
+    from arborix.session import clean, written
+
+    clean(spark)
+    kept = written(spark.range(5), "some")
+    assert kept.count() == 5 and clean(spark) == 1 and clean(spark) == 0
+    with pytest.raises(Exception):
+        kept.count()
