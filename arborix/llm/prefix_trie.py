@@ -137,7 +137,8 @@ def _prefixes(turns: DataFrame) -> tuple[DataFrame, int]:
         rows, first = _named(rows, ["a", "b"], first)
         rows = written(rows.select("conv_id", "length", (F.col("pos") + (1 << k)).alias("depth"), "name", "words"), "prefixes")
         found = rows if found is None else found.unionByName(rows)
-    return found, longest
+    # one table from here on, so that later plans stay short
+    return written(found, "members"), longest
 
 
 def _ends(members: DataFrame) -> DataFrame:
