@@ -39,33 +39,68 @@ def transitive_dependencies(nodes: DataFrame, edges: DataFrame, node_id: str, de
     return nodes.join(reach(edges, start, clamp_depth(depth)).select("id", "depth"), "id")
 
 
+def _meeting(first: str, hits: DataFrame, out_of: DataFrame, into: DataFrame) -> tuple[list[DataFrame], list[DataFrame]] | None:
+    """Levels (id) of nodes by their distance from ``first`` and to ``hits`` that meet at
+    the length of the shortest chains; None if there is none of MAX_PATH edges.
+
+    The side with fewer nodes goes on. Levels from the start begin with its
+    successors, so a chain has an edge and may come back to where it began.
+    """
+    session = hits.sparkSession
+    ahead, back = [session.createDataFrame([(first,)], "id string")], [hits]
+    sizes = [1, hits.count()]
+    seen = [session.createDataFrame([], "id string"), hits]
+    while len(ahead) + len(back) - 2 < MAX_PATH and all(sizes):
+        side = 0 if sizes[0] <= sizes[1] else 1
+        if side == 0:
+            step = ahead[-1].join(out_of, F.col("id") == F.col("from_id")).select(F.col("to_id").alias("id"))
+        else:
+            step = back[-1].join(into, F.col("id") == F.col("to_id")).select(F.col("from_id").alias("id"))
+        level = checkpointed(step.distinct().join(seen[side], "id", "left_anti"))
+        (ahead, back)[side].append(level)
+        sizes[side], seen[side] = level.count(), seen[side].unionByName(level)
+        # with levels i and j done, all chains of i + j edges and fewer have met
+        if not level.join(seen[1 - side], "id", "left_semi").isEmpty() or (side == 1 and not level.where(F.col("id") == first).isEmpty()):
+            return ahead, back
+    return None
+
+
 def call_path(nodes: DataFrame, edges: DataFrame, source: str, target: str) -> DataFrame:
     """The shortest chain of calls as rows (step, id, from_id, to_id), none if there is none.
 
     The target is met at its id or at any node of its name; a path has an edge
     at least, so a node leads to itself only around a cycle. Of equally short
     paths the one with the least edge ids, in turn, is taken.
+
+    Levels grow from both ends until they meet. Then only nodes on shortest chains
+    are walked: what lies before the meeting is found going back from it, and a
+    walk from the start keeps the least path to each node.
     """
     first, goal = resolve_id(nodes, source), resolve_id(nodes, target)
-    hit = nodes.where(F.col("name") == target).select("id").unionByName(nodes.sparkSession.createDataFrame([(goal,)], "id string")).distinct()
-    hit = checkpointed(hit.withColumn("hit", F.lit(True)))
-    calls = edges.where("edge_type = 'calls'").select("id", "from_id", "to_id")
-    calls = checkpointed(calls.join(hit.withColumnRenamed("id", "to_id"), "to_id", "left").repartition("from_id"))
     session = nodes.sparkSession
-    frontier = session.createDataFrame([(first, [])], "at string, path array<string>")
-    seen = frontier.select("at")
-    for _ in range(MAX_PATH):
-        step = frontier.join(calls, F.col("at") == F.col("from_id")).select(F.col("to_id").alias("at"), F.array_append("path", F.col("id")).alias("path"), "hit")
-        step = checkpointed(step)
-        found = step.where("hit").orderBy("path").select("path").first()
-        if found:
-            rows = session.createDataFrame([(i + 1, e) for i, e in enumerate(found["path"])], "step int, id string")
-            return edges.select("id", "from_id", "to_id").join(F.broadcast(rows), "id").select("step", "id", "from_id", "to_id")
-        frontier = checkpointed(step.groupBy("at").agg(F.min("path").alias("path")).join(seen, "at", "left_anti"))
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier.select("at"))
-    return session.createDataFrame([], "step int, id string, from_id string, to_id string")
+    hits = checkpointed(nodes.where(F.col("name") == target).select("id").unionByName(session.createDataFrame([(goal,)], "id string")).distinct())
+    calls = edges.where("edge_type = 'calls'").select(F.col("id").alias("edge"), "from_id", "to_id")
+    out_of, into = checkpointed(calls.repartition("from_id")), checkpointed(calls.select("from_id", "to_id").repartition("to_id"))
+    met = _meeting(first, hits, out_of, into)
+    if met is None:
+        return session.createDataFrame([], "step int, id string, from_id string, to_id string")
+    ahead, back = met
+    i, j = len(ahead) - 1, len(back) - 1
+    # nodes on shortest chains, by their place: from the meeting on they are levels of the far end
+    places = {i + k: back[j - k] for k in range(j + 1)}
+    if i:
+        places[i] = ahead[i].join(back[j], "id", "left_semi")
+    for k in range(i - 1, 0, -1):
+        before = places[k + 1].join(into, F.col("id") == F.col("to_id")).select(F.col("from_id").alias("id")).distinct()
+        places[k] = checkpointed(before.join(ahead[k], "id", "left_semi"))
+    walk = session.createDataFrame([(first, [])], "at string, path array<string>")
+    for k in range(1, i + j + 1):
+        step = walk.join(out_of, F.col("at") == F.col("from_id")).select(F.col("to_id").alias("at"), F.array_append("path", F.col("edge")).alias("path"))
+        on = places[k].select(F.col("id").alias("at"))
+        walk = checkpointed(step.join(on, "at", "left_semi").groupBy("at").agg(F.min("path").alias("path")))
+    least = walk.orderBy("path").select("path").first()["path"]
+    rows = session.createDataFrame([(n + 1, e) for n, e in enumerate(least)], "step int, id string")
+    return edges.where(F.col("id").isin(least)).select("id", "from_id", "to_id").join(F.broadcast(rows), "id").select("step", "id", "from_id", "to_id")
 
 
 def trace_view(nodes: DataFrame, path: DataFrame) -> DataFrame:

@@ -94,3 +94,38 @@ def test_merges(spark):
     assert [r["id"] for r in merge.replace_files(other, edges, one, new, edges.limit(0), keep_incoming=True)[1].collect()] == ["a->b:calls"]
     twice = spark.createDataFrame([("x", 1, 0), ("x", 2, 1)], "id string, v int, ordinal int")
     assert report.last_wins(twice).first()["v"] == 2 and report.dedup_first(twice).first()["v"] == 1
+
+
+def least_path(links, first, hits):
+    """Breadth first, the least path of edge ids to each node."""
+    level, seen = {first: ()}, {first}
+    for _ in range(graph.MAX_PATH):
+        step = {}
+        for at, path in level.items():
+            for e, a, b in links:
+                if a == at and (b not in step or path + (e,) < step[b]):
+                    step[b] = path + (e,)
+        done = [p for n, p in step.items() if n in hits]
+        if done:
+            return min(done)
+        level = {n: p for n, p in step.items() if n not in seen}
+        seen |= set(level)
+    return None
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_call_paths_equal_a_plain_walk(spark, seed):
+    """Random graphs with cycles, loops, equal names, long chains and ends that are not there."""
+    r = random.Random(seed)
+    ids = [f"f{k}.py::n{k}" for k in range(24)]
+    links = {(a, b) for a, b in zip(ids, ids[1:], strict=False)} if seed == 0 else set()
+    links |= {(r.choice(ids), r.choice(ids)) for _ in range((4, 18, 30, 60)[seed])}
+    rows = sorted((f"{a}->{b}:calls", a, b) for a, b in links)
+    nodes = spark.createDataFrame([(i, f"n{k % 20}") for k, i in enumerate(ids)], "id string, name string").cache()
+    edges = spark.createDataFrame([(*x, "calls") for x in rows] + [("x", ids[0], ids[9], "imports")], "id string, from_id string, to_id string, edge_type string").cache()
+    for source, target in [(ids[0], ids[16]), (ids[0], ids[15]), (ids[3], "n3"), (ids[r.randrange(24)], f"n{r.randrange(20)}"), (ids[5], "not there")]:
+        hits = {i for k, i in enumerate(ids) if f"n{k % 20}" == target} | {target}
+        want = least_path(rows, source, hits)
+        got = graph.call_path(nodes, edges, source, target).orderBy("step").collect()
+        assert [x["id"] for x in got] == list(want or ()), (source, target)
+        assert [x["step"] for x in got] == list(range(1, len(got) + 1))
