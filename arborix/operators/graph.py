@@ -56,11 +56,15 @@ def _meeting(first: str, hits: DataFrame, out_of: DataFrame, into: DataFrame) ->
             step = ahead[-1].join(out_of, F.col("id") == F.col("from_id")).select(F.col("to_id").alias("id"))
         else:
             step = back[-1].join(into, F.col("id") == F.col("to_id")).select(F.col("from_id").alias("id"))
-        level = checkpointed(step.distinct().join(seen[side], "id", "left_anti"))
+        new = step.distinct().join(seen[side], "id", "left_anti")
+        other = seen[1 - side].select("id", F.lit(True).alias("met"))
+        both = checkpointed(new.join(other, "id", "left").select("id", (F.coalesce("met", F.lit(False)) | (F.lit(side == 1) & (F.col("id") == first))).alias("met")))
+        level = both.select("id")
         (ahead, back)[side].append(level)
-        sizes[side], seen[side] = level.count(), seen[side].unionByName(level)
+        sizes[side], meet = both.agg(F.count(F.lit(1)), F.max("met")).first()
+        seen[side] = seen[side].unionByName(level)
         # with levels i and j done, all chains of i + j edges and fewer have met
-        if not level.join(seen[1 - side], "id", "left_semi").isEmpty() or (side == 1 and not level.where(F.col("id") == first).isEmpty()):
+        if meet:
             return ahead, back
     return None
 
@@ -97,7 +101,9 @@ def call_path(nodes: DataFrame, edges: DataFrame, source: str, target: str) -> D
     for k in range(1, i + j + 1):
         step = walk.join(out_of, F.col("at") == F.col("from_id")).select(F.col("to_id").alias("at"), F.array_append("path", F.col("edge")).alias("path"))
         on = places[k].select(F.col("id").alias("at"))
-        walk = checkpointed(step.join(on, "at", "left_semi").groupBy("at").agg(F.min("path").alias("path")))
+        walk = step.join(on, "at", "left_semi").groupBy("at").agg(F.min("path").alias("path"))
+        # plans stay short, and most chains need no checkpoint
+        walk = checkpointed(walk) if k % 5 == 0 else walk
     least = walk.orderBy("path").select("path").first()["path"]
     rows = session.createDataFrame([(n + 1, e) for n, e in enumerate(least)], "step int, id string")
     return edges.where(F.col("id").isin(least)).select("id", "from_id", "to_id").join(F.broadcast(rows), "id").select("step", "id", "from_id", "to_id")
