@@ -5,8 +5,10 @@ A word is a run of characters outside space and tab to carriage return.
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -124,10 +126,27 @@ def held(key: str, make: Callable):
     return _held[key]
 
 
+#: glibc's parameter for the size from which a block is a mapping of its own.
+_MMAP_THRESHOLD, _LARGE = -3, 256 << 10
+
+
+def give_back() -> None:
+    """From now on large blocks go back to the system once they are free, and free ones now.
+
+    The C library else keeps them for the process. Where it is another one than
+    glibc nothing changes.
+    """
+    with suppress(OSError, AttributeError):
+        library = ctypes.CDLL(None)
+        library.mallopt(_MMAP_THRESHOLD, _LARGE)
+        library.malloc_trim(0)
+
+
 def release() -> None:
     """Let go of what the worker process keeps, before work that does not need it."""
     _held.clear()
     pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
