@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from arborix.functions.vector import query_vector
+from arborix.functions.vector import cosine, query_vector
 from arborix.operators import search
 from arborix.operators.trigram import containing, postings
 from arborix.operators.vector_index import VectorIndex
@@ -35,6 +35,21 @@ def test_pairs_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, search.pairs(vectors, vectors).collect())) == whole and len(whole) == 901
 
 
+def test_pairs_are_those_of_the_column_function(spark):
+    """Vectors meet probes packed, so tasks get arrays and not one row for each pair; odd vectors too."""
+    rows = [("a", [1.0, 2.0]), ("b", [None, 2.0]), ("c", None), ("d", []), ("e", [0.0, 0.0]), ("f", [float("nan"), 1.0]), ("g", [float("inf"), 1.0]), ("h", [1.0]), (None, [3.0, -1.0]), ("i", [])]
+    rng = np.random.default_rng(3)
+    rows += [(f"r{i}", rng.normal(size=2).tolist()) for i in range(300)]
+    vectors = spark.createDataFrame(rows, "id string, embedding array<float>")
+    probes = vectors.where("id IS NULL OR id < 'r2'")
+    p = probes.select(F.col("id").alias("probe_id"), F.col("embedding").alias("probe"))
+    want = vectors.join(p, F.size("embedding") == F.size("probe")).select("probe_id", "id", cosine(F.col("embedding"), F.col("probe")).alias("score"))
+    got = search.pairs(vectors, probes)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "zip_with" not in plan
+
+
 def test_parts_of_names(spark):
     names = ["doc_12", "doc_112", "a", "ab", "", "İstanbul", "straße_12", None, "doc_12"]
     nodes = spark.createDataFrame([(str(i), n, 1) for i, n in enumerate(names)], "id string, name string, part_of int")
