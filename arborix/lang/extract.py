@@ -22,6 +22,10 @@ from arborix.functions.text import annotations, clean_comment, clean_docstring,
 from arborix.lang import patterns as P
 from arborix.operators.calls import call_edges, enclosing
 from arborix.operators.symbols import resolve
+from arborix.session import written
+
+#: Bytes of sources that a task parses, and the most parts; beyond them parts grow.
+PART, PARTS = 1 << 19, 65_536
 
 
 def _base(language: Column) -> Column:
@@ -174,7 +178,14 @@ def declarations(heads: DataFrame) -> DataFrame:
     )
 
 
-def _closed(lines: DataFrame, found: DataFrame) -> DataFrame:
+def _parts(files: DataFrame) -> int:
+    """In how many parts files are dealt. Lines of sources take many times the bytes
+    that they have in a shuffle, so a part is measured by its sources."""
+    size = F.col("file_size") if "file_size" in files.columns else F.octet_length("content")
+    return max(1, min(PARTS, -(-(files.agg(F.sum(size)).first()[0] or 0) // PART)))
+
+
+def _closed(lines: DataFrame, found: DataFrame, parts: int) -> DataFrame:
     """found with ``end``: the row that closes a declaration's block, and the last row
     above it that is not blank.
 
@@ -187,20 +198,27 @@ def _closed(lines: DataFrame, found: DataFrame) -> DataFrame:
     code = lines.where(~python | ((F.trim("code") != "") & ~F.col("inner")))
     last = F.lag("indent").over(Window.partitionBy("file_path").orderBy("row"))
     code = code.withColumn("low", F.when(python, F.col("indent")).otherwise(F.col("depth"))).withColumn("high", F.when(python, last).otherwise(before - 1))
-    closing = code.where("low <= high").select("file_path", F.explode(F.sequence("low", "high")).alias("level"), "row", F.struct("row", "solid").alias("end"), F.lit(None).cast("struct<id:string,row:int>").alias("of"))
-    asked = found.where(python | F.col("begin").isNotNull()).select(
-        "file_path", F.when(python, F.col("indent")).otherwise(before).alias("level"), F.when(python, F.col("row")).otherwise(F.col("begin.row")).alias("row"), F.lit(None).cast("struct<row:int,solid:int>").alias("end"), F.struct("id", "row").alias("of")
-    )
+    own = F.struct(*[F.col(c) for c in found.columns if c != "file_path"])
+    closing = code.where("low <= high").select("file_path", F.explode(F.sequence("low", "high")).alias("level"), "row", F.struct("row", "solid").alias("end"), F.lit(None).cast(found.select(own).schema[0].dataType).alias("of"))
+    # what has no block asks at no level
+    level = F.when(python, F.col("indent")).when(F.col("begin").isNotNull(), before)
+    asked = found.select("file_path", level.alias("level"), F.when(python, F.col("row")).otherwise(F.col("begin.row")).alias("row"), F.lit(None).cast("struct<row:int,solid:int>").alias("end"), own.alias("of"))
     below = Window.partitionBy("file_path", "level").orderBy(F.col("row").desc(), F.col("of").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    met = closing.unionByName(asked).withColumn("end", F.min("end").over(below)).where("of IS NOT NULL")
-    return found.join(met.select("file_path", F.col("of.id").alias("id"), F.col("of.row").alias("row"), "end"), ["file_path", "id", "row"], "left")
+    met = closing.unionByName(asked).repartition(parts, "file_path").withColumn("end", F.min("end").over(below)).where("of IS NOT NULL")
+    return met.select("file_path", "of.*", "end")
 
 
 def nodes_of(files: DataFrame) -> DataFrame:
     """Node rows of sources, with head_end (the line that ends a declaration's head),
-    signature and ordinal (the order in the file)."""
+    signature and ordinal (the order in the file).
+
+    Files are dealt once, before they are taken apart; all windows and the join with
+    their texts work where they then lie.
+    """
+    parts = _parts(files)
+    files = files.select("file_path", "language", "content").repartition(parts, "file_path")
     lines = _marked(lines_of(files))
-    spans = _closed(lines, declarations(heads_of(lines)))
+    spans = _closed(lines, declarations(heads_of(lines)), parts)
     single = F.col("node_type") == "import"
     before = F.col("depth") - F.col("opened") + F.col("closed")
     closes = F.when(F.col("begin.depth") <= before, F.col("begin.row")).otherwise(F.col("end.row"))
@@ -285,9 +303,10 @@ def symbols_of(files: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _resolved(placed: DataFrame, files: DataFrame, nodes: DataFrame, scope: str) -> DataFrame:
-    """Call sites with ``resolved``, by the symbols of their language."""
-    symbols, imports = symbols_of(files, nodes), imports_of(files)
-    sites = placed.withColumnRenamed("callee", "name")
+    """Call sites with ``resolved``, by the symbols of their language. Each of the
+    tables is read for every language, so files are parsed for them once."""
+    symbols, imports = written(symbols_of(files, nodes), "symbols"), written(imports_of(files), "imports")
+    sites = written(placed.withColumnRenamed("callee", "name"), "sites")
     out = sites.where(~F.col("base").isin("go", "clojure", "c")).withColumn("resolved", F.lit(None).cast("string"))
     for base in ("go", "clojure", "c"):
         out = out.unionByName(resolve(sites.where(F.col("base") == base), symbols, imports, base, scope))

@@ -305,3 +305,19 @@ def test_sources_that_are_no_code(spark):
     assert got["long.py::a"] == (1, 2) and got["long.py::b"] == (20005, 20005) and got["data.c::a"] == (20003, 20006)
     assert got["quote.rs::a"] == (1, 3) and got["quote.rs::b"] == (4, 4)
     assert not any("fake" in i for i in got)
+
+
+def test_parts_grow_with_the_sources(spark, monkeypatch):
+    """Files are dealt once, by their bytes, and no later step deals their lines again."""
+    from arborix.lang import extract
+    from arborix.plans import samples
+
+    tree = samples.sources(spark, "/root/testdata/sf0.001")
+    whole = sorted(map(repr, extract.nodes_of(tree).collect()))
+    size = tree.selectExpr("sum(octet_length(content))").first()[0]
+    monkeypatch.setattr(extract, "PART", 2000)
+    dealt = extract.nodes_of(tree)
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert f", {-(-size // 2000)}), REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+    assert sorted(map(repr, dealt.collect())) == whole and whole
+    assert extract.nodes_of(tree.limit(0)).count() == 0
