@@ -661,6 +661,41 @@ def test_url_rules_on_a_late_token(spark):
     assert ("u", "v") in rules(None) and ("u", "v") not in rules(2)
 
 
+def test_url_rules_behind_many_tokens(spark):
+    """By itself, mining looks at every token: 17 that tell the label well hide no pair that tells it for sure."""
+    rows = []
+    for i in range(400):
+        bad = i % 4 == 0
+        own = ([f"near{k:02d}" for k in range(17)] if bad == (i % 16 != 0) else []) + (["u", "v"] if bad else ["u"] if i % 3 else ["v"])
+        rows.append((sorted([*own, "scheme"]), bad))
+    labelled = spark.createDataFrame(rows, "tokens array<string>, blocked boolean")
+    assert ("u", "v") in {tuple(r["tokens"]) for r in url_filter.learn(labelled, 20, 0.99, 1.2).collect()}
+
+
+def test_url_rules_are_the_same_however_dealt(spark, monkeypatch):
+    """Rules of urls that are dealt to tokens, and dealt again, are those of all subsets."""
+    r = random.Random(4)
+    known = []
+    for _ in range(300):
+        t = {x for x in "abcdefg" if r.random() < 0.5} | {"all"} | ({"a", "h"} if r.random() < 0.3 else set())
+        known.append((frozenset(t), r.random() < (1 if {"b", "c", "h"} <= t else 0.8 if {"a", "d"} <= t else 0.2)))
+    share = sum(b for _, b in known) / len(known)
+    labelled = spark.createDataFrame([(sorted(t), b) for t, b in known], "tokens array<string>, blocked boolean")
+    for lift in (1.2, 0.5):
+        found = {}
+        for k in range(1, 10):
+            for c in itertools.combinations(["a", "all", *"bcdefgh"], k):
+                labels = [b for t, b in known if t.issuperset(c)]
+                for name, hits, base in (("block", sum(labels), share), ("allow", len(labels) - sum(labels), 1 - share)):
+                    if hits >= 20 and hits / len(labels) >= 0.6 and hits / len(labels) >= lift * base:
+                        found[c, name] = hits / len(labels)
+        want = {x: v for x, v in found.items() if not any(y[1] == x[1] and set(y[0]) < set(x[0]) and w >= v for y, w in found.items())}
+        for most in (16, 4, 1):
+            monkeypatch.setattr(url_filter, "GROWN_TOKENS", most)
+            got = url_filter.learn(labelled, min_lift=lift).collect()
+            assert len(got) == len(want) and {(tuple(x["tokens"]), x["verdict"]): pytest.approx(x["confidence"]) for x in got} == want
+
+
 def test_url_tokens_do_not_run_together(spark):
     """Urls whose tokens look alike once joined by blanks are told apart."""
     rows = [(i, "http://x.net/a/b" if i % 2 else "http://x.net/a path=b") for i in range(100)]
