@@ -45,7 +45,7 @@ EXPLICIT = [
 #: have its tokens, and so much more often than the label has by itself.
 MIN_ROWS, MIN_CONFIDENCE, MIN_LIFT = 20, 0.6, 1.2
 #: Tokens of a url that FP-growth takes at once; urls with more are dealt first.
-GROWN_TOKENS = 16
+GROWN_TOKENS = 10
 BLOCK, ALLOW = "label=block", "label=allow"
 #: Learned rules are broadcast up to this number, else joined by shuffle.
 BROADCAST_RULES = 100_000
