@@ -7,7 +7,8 @@ statement are joined, and declarations are found on whole statements by their
 language's patterns. A block's last line is the next one that goes back to its
 bracket depth, or to its indentation: windows find it in one pass over a file's
 lines, in proportion to brackets and blanks, and no declaration is joined with the
-lines after it. Comments of any length above a declaration and docstrings below it
+lines after it. Lines are made and sorted once; a statement carries the levels that its
+lines close. Comments of any length above a declaration and docstrings below it
 give its documentation. Call sites are matched on the code and joined with the
 function that encloses them. A file is the unit of work: all windows are
 partitioned by its path, and no step needs two files together.
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborix.functions.text import annotations, clean_comment, clean_docstring, import_alias
+from arborix.functions.text import annotations, clean_comment, clean_docstring, import_alias, let
 from arborix.lang import patterns as P
 from arborix.operators.calls import call_edges, enclosing
 from arborix.operators.symbols import resolve
@@ -80,8 +81,9 @@ def lines_of(files: DataFrame) -> DataFrame:
     code = F.col("text")
     for base in P.SCANNERS:
         code = F.when(F.col("base") == base, _code(F.col("text"), base)).otherwise(code)
-    rows = texts.select("file_path", "language", "base", F.posexplode(F.arrays_zip(F.split("text", "\n").alias("line"), F.split(code, "\n").alias("code"))).alias("row", "both"))
-    rows = rows.select("file_path", "language", "base", "row", F.col("both.line").alias("line"), F.coalesce("both.code", F.lit("")).alias("code"))
+    # before an inner explode Spark filters by the size of what it explodes, and would scan every file twice
+    rows = texts.select("file_path", "language", "base", F.posexplode_outer(F.arrays_zip(F.split("text", "\n").alias("line"), F.split(code, "\n").alias("code"))).alias("row", "both"))
+    rows = rows.where("row IS NOT NULL").select("file_path", "language", "base", "row", F.col("both.line").alias("line"), F.coalesce("both.code", F.lit("")).alias("code"))
     rows = rows.withColumn("joined", F.col("code").endswith(ON)).withColumn("code", F.replace("code", F.lit(ON), F.lit("")))
     rows = rows.withColumn("indent", F.length(F.regexp_extract("line", r"^[ \t]*", 0)))
     lisp = F.col("base").isin("clojure", "commonlisp")
@@ -109,30 +111,18 @@ def _ends() -> Column:
     return (F.trim("code") != "") & ~F.col("joined") & F.when(base.isin("c", "java", "rust"), by_mark).otherwise(~goes_on)
 
 
-def heads_of(marked: DataFrame) -> DataFrame:
-    """Statements: the columns of their first line of code, ``head`` (their code as one
-    line, indented as it is) and ``last`` (row, opened, depth) of their last line."""
-    solid = F.trim("code") != ""
-    onward = Window.partitionBy("file_path").orderBy(F.col("row").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    rows = marked.withColumn("next", F.coalesce(F.min(F.when(solid, F.struct("row", F.left(F.trim("code"), F.lit(1)).alias("c")))).over(onward)["c"], F.lit("")))
-    before = Window.partitionBy("file_path").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("statement", F.coalesce(F.sum(_ends().cast("int")).over(before), F.lit(0))).where(solid)
-    own = [c for c in marked.columns if c != "file_path"]
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", F.trim("code").alias("c")))), lambda x: x["c"]), " ")
-    # min and max of structs pick the first and the last row
-    one = rows.groupBy("file_path", "statement").agg(F.min(F.struct("row", *[c for c in own if c != "row"])).alias("f"), F.max(F.struct("row", "opened", "depth")).alias("last"), text.alias("text"))
-    return one.select("file_path", *[F.col(f"f.{c}").alias(c) for c in own], F.concat(F.repeat(F.lit(" "), F.col("f.indent")), "text").alias("head"), "last")
-
-
 def _marked(lines: DataFrame) -> DataFrame:
-    """lines with what a declaration on them has to know of the lines around.
+    """lines that hold code, with what a declaration on them has to know of the lines around.
 
     paren: the next line that begins with ")"; solid: the last one above that is not blank; all_solid: the
-    last one of the file; above: where the comment that ends right above begins.
+    last one of the file; above: where the comment that ends right above begins; statement: the number of
+    the statement that it belongs to; low and high: the levels that it closes, none if low is above high.
+    All windows go down a file's lines, so these are sorted once.
     """
-    earlier = Window.partitionBy("file_path").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    later = Window.partitionBy("file_path").orderBy(F.col("row").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    hashes, lisp = F.col("base").isin("python", "julia"), F.col("base").isin("clojure", "commonlisp")
+    in_order = Window.partitionBy("file_path").orderBy("row")
+    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    later = lambda value: F.expr(f"lead({value}) IGNORE NULLS OVER (PARTITION BY file_path ORDER BY row)")
+    hashes, lisp, python = F.col("base").isin("python", "julia"), F.col("base").isin("clojure", "commonlisp"), F.col("base") == "python"
     bare = F.trim("code") == ""
     commented = bare & F.ltrim("line").startswith(F.when(hashes, "#").when(lisp, ";").otherwise("//"))
     solid = F.when(F.trim("line") != "", F.col("row"))
@@ -144,38 +134,80 @@ def _marked(lines: DataFrame) -> DataFrame:
             "solid": F.max(solid).over(earlier),
             "all_solid": F.max(solid).over(Window.partitionBy("file_path")),
             "comment_from": F.when(~hashes & ~lisp & bare & F.col("line").rlike(r"\*/[ \t]*$"), block).when(commented, run),
-            "paren": F.min(F.when(F.col("code").startswith(")"), F.col("row"))).over(later),
+            "paren": later("IF(startswith(code, ')'), row, NULL)"),
+            "next": F.coalesce(later("IF(trim(code) <> '', left(trim(code), 1), NULL)"), F.lit("")),
+            "inner": F.coalesce(F.lag("joined").over(in_order), F.lit(False)),
         }
     )
-    in_order = Window.partitionBy("file_path").orderBy("row")
-    return rows.withColumns({"above": F.lag("comment_from").over(in_order), "inner": F.coalesce(F.lag("joined").over(in_order), F.lit(False))})
+    own = F.when(python & ~bare & ~F.col("inner"), F.col("indent"))
+    rows = rows.withColumns(
+        {
+            "above": F.lag("comment_from").over(in_order),
+            "statement": F.coalesce(F.sum(_ends().cast("int")).over(earlier), F.lit(0)),
+            "low": F.when(python, own).otherwise(F.col("depth")).cast("long"),
+            "high": F.when(python, F.last(own, ignorenulls=True).over(earlier)).otherwise(_before() - 1).cast("long"),
+        }
+    )
+    return rows.where(~bare)
 
 
-def declarations(heads: DataFrame) -> DataFrame:
-    """(file_path, language, base, row, node_type, name, id, ...): pattern matches, the first that fits a statement of heads_of()."""
-    per_language: dict[str, list[str]] = {}
-    for base, _, regex, _, _ in P.DECLARATIONS:
-        per_language.setdefault(base, []).append(f"(?:{regex})")
-    likely = F.lit(False)
+def _before() -> Column:
+    """The brackets that are open before a line."""
+    return F.col("depth") - F.col("opened") + F.col("closed")
+
+
+def heads_of(marked: DataFrame) -> DataFrame:
+    """Statements: the columns of their first line of code, ``head`` (their code as one
+    line, indented as it is), ``last`` (row, opened, depth) of their last line and
+    ``closing``: their lines (row, solid, low, high) that close levels."""
+    own = ["language", "base", "line", "indent", "depth", "opened", "closed", "paren", "all_solid", "above"]
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", F.trim("code").alias("c")))), lambda x: x["c"]), " ")
+    closing = F.collect_list(F.when(F.col("low") <= F.col("high"), F.struct("row", "solid", "low", "high")))
+    # min and max of structs pick the first and the last row
+    one = marked.groupBy("file_path", "statement").agg(F.min(F.struct("row", *own)).alias("f"), F.max(F.struct("row", "opened", "depth")).alias("last"), text.alias("text"), closing.alias("closing"))
+    return one.select("file_path", *[F.col(f"f.{c}").alias(c) for c in ["row", *own]], F.concat(F.repeat(F.lit(" "), F.col("f.indent")), "text").alias("head"), "last", "closing")
+
+
+def _declared(head: Column) -> Column:
+    """struct(n, name) of the first of the language's declarations that fits a head, or null."""
+    per_language: dict[str, list[int]] = {}
+    for n, d in enumerate(P.DECLARATIONS):
+        per_language.setdefault(d[0], []).append(n)
+    out = F
     for base, own in per_language.items():
-        likely = F.when(F.col("base") == base, F.col("head").rlike("|".join(own))).otherwise(likely)
-    # few lines pass; only on those are a language's patterns tried one by one
-    known = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(d[0]).alias("base"), F.lit(d[2]).alias("regex")) for n, d in enumerate(P.DECLARATIONS)])
-    fits = F.filter(known, lambda p: (p["base"] == F.col("base")) & F.regexp_like(F.col("head"), p["regex"]))
-    found = heads.where(likely).withColumn("n", F.get(fits, F.lit(0))["n"])
-    pick = lambda k: F.get(F.array(*[F.lit(d[k]) for d in P.DECLARATIONS]), F.col("n"))
-    found = found.select("*", pick(1).alias("node_type"), pick(2).alias("regex"), pick(3).alias("prefix"), pick(4).alias("fixed"))
-    one = F.expr("regexp_extract(head, regex, 1)")
-    two = F.expr("CASE WHEN base = 'go' AND node_type = 'method' THEN regexp_extract(head, regex, 2) END")
+        one = F
+        for n in own:
+            _, kind, regex, _, fixed = P.DECLARATIONS[n]
+            name = F.lit(fixed) if fixed else F.regexp_extract(head, regex, 1)
+            if (base, kind) == ("go", "method"):
+                name = F.concat(name, F.lit("."), F.regexp_extract(head, regex, 2))
+            one = one.when(head.rlike(regex), F.struct(F.lit(n).alias("n"), name.alias("name")))
+        # few heads pass; only on those are a language's patterns tried one by one
+        likely = head.rlike("|".join(f"(?:{P.DECLARATIONS[n][2]})" for n in own))
+        out = out.when(F.col("base") == base, F.when(likely, one))
+    return out
+
+
+def declarations(heads: DataFrame) -> DataFrame:
+    """(file_path, level, row, end, of): of the statements of heads_of() the declarations, and the
+    lines that close a level with that as ``end``; ``of`` has a declaration's columns, null at a closing line."""
+    found = heads.withColumn("d", let(F.col("head"), _declared))
     # a brace ends a head, while a Lisp's bracket and Julia's words open it
     opens_first = F.col("base").isin("julia", "clojure", "commonlisp")
-    found = found.withColumn("begin", F.when(opens_first & (F.col("opened") > 0), F.struct("row", "depth")).when(~opens_first & (F.col("last.opened") > 0), F.struct("last.row", "last.depth")))
-    receiver = (F.col("base") == "go") & (F.col("node_type") == "method")
-    found = found.withColumn("name", F.when(F.col("fixed") != "", F.col("fixed")).when(receiver, F.concat(one, F.lit("."), two)).otherwise(one))
-    tail = F.when(F.col("fixed") != "", F.col("row").cast("string")).when(F.col("prefix") == "method_", F.concat_ws("_", "name", "row")).otherwise(F.col("name"))
-    return found.where("name <> ''").select(
-        "file_path", "language", "base", "row", "line", "indent", "depth", "opened", "closed", "last", "begin", "paren", "all_solid", "above", "node_type", "name", F.concat("file_path", F.lit("::"), "prefix", tail).alias("id")
-    )
+    begin = F.when(opens_first & (F.col("opened") > 0), F.struct("row", "depth")).when(~opens_first & (F.col("last.opened") > 0), F.struct("last.row", "last.depth"))
+    pick = lambda k: F.get(F.array(*[F.lit(d[k]) for d in P.DECLARATIONS]), F.col("d.n"))
+    tail = F.when(pick(4) != "", F.col("row").cast("string")).when(pick(3) == "method_", F.concat_ws("_", "d.name", "row")).otherwise(F.col("d.name"))
+    own = [c for c in heads.columns if c not in ("file_path", "head", "closing")]
+    of = F.struct(*own, begin.alias("begin"), pick(1).alias("node_type"), F.col("d.name").alias("name"), F.concat("file_path", F.lit("::"), pick(3), tail).alias("id"))
+    python = F.col("base") == "python"
+    # what has no block asks at no level
+    level = F.when(python, F.col("indent")).when(begin.isNotNull(), _before()).cast("long")
+    asked = F.struct(F.when(python, F.col("row")).otherwise(begin["row"]).alias("row"), F.lit(None).cast("int").alias("solid"), level.alias("low"), level.alias("high"), of.alias("of"))
+    none = F.lit(None).cast(found.select(of).schema[0].dataType)
+    closing = F.transform("closing", lambda c: F.struct(c["row"].alias("row"), c["solid"].alias("solid"), c["low"].alias("low"), c["high"].alias("high"), none.alias("of")))
+    met = found.select("file_path", F.explode_outer(F.concat(closing, F.when(F.col("d.name") != "", F.array(asked)).otherwise(F.array()))).alias("x")).where("x IS NOT NULL")
+    end = F.when(F.col("x.of").isNull(), F.struct("x.row", "x.solid"))
+    return met.select("file_path", F.explode_outer(F.sequence("x.low", "x.high")).alias("level"), F.col("x.row").alias("row"), end.alias("end"), F.col("x.of").alias("of"))
 
 
 def _parts(files: DataFrame) -> int:
@@ -185,27 +217,16 @@ def _parts(files: DataFrame) -> int:
     return max(1, min(PARTS, -(-(files.agg(F.sum(size)).first()[0] or 0) // PART)))
 
 
-def _closed(lines: DataFrame, found: DataFrame, parts: int) -> DataFrame:
-    """found with ``end``: the row that closes a declaration's block, and the last row
+def _closed(met: DataFrame) -> DataFrame:
+    """The declarations of declarations() with ``end``: the row that closes a block, and the last row
     above it that is not blank.
 
     A line that goes from one depth down to another closes all levels between, so
     levels and lines meet in a window instead of declarations and lines: the next
     closing line of a declaration's level is a running minimum from below.
     """
-    python = F.col("base") == "python"
-    before = F.col("depth") - F.col("opened") + F.col("closed")
-    code = lines.where(~python | ((F.trim("code") != "") & ~F.col("inner")))
-    last = F.lag("indent").over(Window.partitionBy("file_path").orderBy("row"))
-    code = code.withColumn("low", F.when(python, F.col("indent")).otherwise(F.col("depth"))).withColumn("high", F.when(python, last).otherwise(before - 1))
-    own = F.struct(*[F.col(c) for c in found.columns if c != "file_path"])
-    closing = code.where("low <= high").select("file_path", F.explode(F.sequence("low", "high")).alias("level"), "row", F.struct("row", "solid").alias("end"), F.lit(None).cast(found.select(own).schema[0].dataType).alias("of"))
-    # what has no block asks at no level
-    level = F.when(python, F.col("indent")).when(F.col("begin").isNotNull(), before)
-    asked = found.select("file_path", level.alias("level"), F.when(python, F.col("row")).otherwise(F.col("begin.row")).alias("row"), F.lit(None).cast("struct<row:int,solid:int>").alias("end"), own.alias("of"))
     below = Window.partitionBy("file_path", "level").orderBy(F.col("row").desc(), F.col("of").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    met = closing.unionByName(asked).repartition(parts, "file_path").withColumn("end", F.min("end").over(below)).where("of IS NOT NULL")
-    return met.select("file_path", "of.*", "end")
+    return met.withColumn("end", F.min("end").over(below)).where("of IS NOT NULL").select("file_path", "of.*", "end")
 
 
 def nodes_of(files: DataFrame) -> DataFrame:
@@ -217,11 +238,9 @@ def nodes_of(files: DataFrame) -> DataFrame:
     """
     parts = _parts(files)
     files = files.select("file_path", "language", "content").repartition(parts, "file_path")
-    lines = _marked(lines_of(files))
-    spans = _closed(lines, declarations(heads_of(lines)), parts)
+    spans = _closed(declarations(heads_of(_marked(lines_of(files)))))
     single = F.col("node_type") == "import"
-    before = F.col("depth") - F.col("opened") + F.col("closed")
-    closes = F.when(F.col("begin.depth") <= before, F.col("begin.row")).otherwise(F.col("end.row"))
+    closes = F.when(F.col("begin.depth") <= _before(), F.col("begin.row")).otherwise(F.col("end.row"))
     by_brackets = F.when(F.col("begin").isNull(), F.col("last.row")).otherwise(F.coalesce(closes, "last.row"))
     group_end = F.when(F.col("line").rlike(r"^import\s*\("), F.coalesce("paren", "row")).otherwise(F.col("row"))
     end = F.when(single & (F.col("base") == "go"), group_end).when(single & ~F.col("base").isin("clojure", "commonlisp", "julia"), F.col("row"))
@@ -238,7 +257,8 @@ def nodes_of(files: DataFrame) -> DataFrame:
         F.when(F.col("base") == "python", cut(F.col("head_row") + 1, F.greatest(F.col("end_row") - F.col("head_row"), F.lit(0)))).alias("body"),
         F.when(F.col("above").isNull(), "").otherwise(cut(F.col("above"), F.col("row") - F.col("above"))).alias("above"),
     )
-    comment = _comment_above(F.col("above"), F.col("base"))
+    grouped = grouped.withColumn("comment", _comment_above(F.col("above"), F.col("base")))
+    comment = F.col("comment")
     doc = F.when(F.col("base") == "python", F.regexp_extract("body", r'''(?s)^\s*("""[^"]*+(?:"(?!"")[^"]*+)*+"""|"[^"\n]*+"|\'{3}[^']*+(?:'(?!'')[^']*+)*+\'{3})''', 1)).when(
         F.col("base").isin("clojure", "commonlisp"), F.regexp_extract("content", r'(?s)^\s*\(def\S*\s+\S+\s+(?:\([^)]*\)\s*)?("(?:[^"\\]|\\.)*+")', 1)
     ).otherwise("")
@@ -255,7 +275,7 @@ def nodes_of(files: DataFrame) -> DataFrame:
         (F.col("head_row") + 1).cast("int").alias("head_end"),
         "content",
         made.alias("doc_comment"),
-        annotations(marked).alias("annotations"),
+        F.when(marked == "", F.create_map().cast("map<string,string>")).otherwise(annotations(marked)).alias("annotations"),
         F.lit(0.0).cast("float").alias("complexity"),
         F.trim("line").alias("signature"),
         F.col("row").alias("ordinal"),
@@ -324,7 +344,7 @@ def calls_of(files: DataFrame, nodes: DataFrame, strict: bool = True, symbols: s
     found = F.when(lisp, F.filter(heads, lambda x: ~x.isin(*P.CLOJURE_FORMS) & ~x.rlike(r"^[:'`#\d]"))).otherwise(
         F.filter(F.regexp_extract_all("code", F.lit(word), F.lit(1)), lambda x: ~x.isin(*P.KEYWORDS))
     )
-    sites = lines.select("file_path", "language", "base", (F.col("row") + 1).alias("line"), "row", F.posexplode(found).alias("k", "callee"))
+    sites = lines.select("file_path", "language", "base", (F.col("row") + 1).alias("line"), "row", F.posexplode_outer(found).alias("k", "callee")).where("k IS NOT NULL")
     sites = sites.where(~F.col("base").isin("python", "commonlisp")) if strict else sites
     # C's members are called by their bare name
     sites = sites.withColumn("callee", F.when(F.col("base") == "c", F.regexp_extract("callee", r"([^.>]+)$", 1)).otherwise(F.col("callee")))

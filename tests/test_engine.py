@@ -321,3 +321,30 @@ def test_parts_grow_with_the_sources(spark, monkeypatch):
     assert f", {-(-size // 2000)}), REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
     assert sorted(map(repr, dealt.collect())) == whole and whole
     assert extract.nodes_of(tree.limit(0)).count() == 0
+
+
+def test_files_are_scanned_once(spark):
+    """One pass over the lines gives heads and the lines that close levels; no filter before it scans the files too."""
+    from arborix.lang import extract
+    from arborix.plans import samples
+
+    tree = samples.sources(spark, "/root/testdata/sf0.001")
+    plan = extract.nodes_of(tree)._jdf.queryExecution().optimizedPlan().toString()
+    scans = [line for line in plan.split("\n") if "arrays_zip" in line]
+    assert len(scans) == 1 and "Generate posexplode(" in scans[0]
+    sites = extract.calls_of(tree, extract.nodes_of(tree).limit(0))._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in sites.split("\n") if "Filter" in line and ("arrays_zip" in line or "regexp_extract_all" in line)]
+
+
+def test_windows_take_long_files_and_statements(spark):
+    """Thousands of lines without a closing bracket, and a statement of thousands of lines that closes levels."""
+    n = 6000
+    go = "package a\n\nfunc F() {\n" + "\n" * n + "\tx = 1\n}\n\nfunc G() {}\n"
+    c = "int f(void)\n{\n  return 0;\n}\nint t[] = {\n" + "  {1,\n  2},\n" * n + "};\nint g(int a,\n  int b\n)\n{\n  return a;\n}\n"
+    py = "def a():\n    x = [\n" + "1,\n" * n + "]\n    return x\n\n\ndef b():\n    pass\n"
+    got = {r["id"]: (r["start_line"], r["end_line"]) for r in nodes_of(files.from_rows(spark, [("a.go", go), ("a.c", c), ("a.py", py)])).collect()}
+    top = 2 * n + 7
+    assert got == {
+        "a.go::F": (3, n + 5), "a.go::G": (n + 7, n + 7), "a.c::f": (1, 4), "a.c::g": (top, top + 5),
+        "a.py::a": (1, n + 4), "a.py::b": (n + 7, n + 8),
+    }
